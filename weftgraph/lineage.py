@@ -23,10 +23,12 @@ def lineage_dir(spark: SparkSession) -> str:
     return f"{conf.rstrip('/')}/weftgraph-{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Write a table once and read it back, so later steps and lost executors
-    start from the files and not from the beginning."""
+    start from the files and not from the beginning.  ``by`` are columns that later
+    steps filter on; their values become folders."""
     spark = df.sparkSession
     path = f"{lineage_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.partitionBy(*by) if by else df.write
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -8,8 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators.flow import SINK_TERMINAL, SOURCE_TERMINAL
-from weftgraph.skew import join_salted
+from weftgraph.lineage import materialize
+from weftgraph.operators.flow import (
+    SINK_TERMINAL, SOURCE_TERMINAL, build_network, reentrancies, repair_capacities)
+from weftgraph.settings import MAX_CAPACITY
+from weftgraph.skew import join_salted, with_totals
+
+TOLERANCE = 1e-9
 
 SCHEMA = ("doc_id string, from_key string, to_key string, capacity double, edge_type string, "
           "component string, edge_id string, flow double, in_cut boolean, source_side boolean")
@@ -53,23 +58,125 @@ def _solve(group: pd.DataFrame) -> pd.DataFrame:
     return group.assign(flow=flow, in_cut=from_side & ~to_side, source_side=from_side)
 
 
-def max_flow(network: DataFrame, max_group_edges: int = 200_000) -> DataFrame:
+_COLUMNS = ["doc_id", "from_key", "to_key", "capacity", "edge_type", "component", "edge_id"]
+
+
+def max_flow(network: DataFrame, max_group_edges: int = 50_000) -> DataFrame:
     """Flow of every edge, the minimum cut and the source side, per document.
 
-    One task solves one document, so this serves the usual document of up to some
-    thousand edges.  A network above ``max_group_edges`` stops the job with a
-    message: nothing is dropped or cut short; ``saturated_flow`` handles such
-    documents at any size whenever no finite role capacity is set.
+    Documents of up to ``max_group_edges`` edges are solved one per task call; larger
+    ones by ``spread_max_flow``, whose rounds are joins over all edges, so no
+    document has to fit into a task.
+    """
+    typed = network.select(F.col("doc_id").cast("string").alias("doc_id"), *_COLUMNS[1:])
+    large = materialize(
+        typed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > max_group_edges).select("doc_id"), "large-networks")
+    if large.isEmpty():
+        return typed.groupBy("doc_id").applyInPandas(_solve, SCHEMA)
+    spread = ["from_key", "to_key"]
+    small = join_salted(typed, large, ["doc_id"], spread, "left_anti")
+    big = join_salted(typed, large, ["doc_id"], spread, "left_semi")
+    return small.groupBy("doc_id").applyInPandas(_solve, SCHEMA).unionByName(spread_max_flow(big))
+
+
+def _distances(rest: DataFrame, start: DataFrame, towards: bool) -> DataFrame:
+    """Shortest residual distance to (``towards``) or from the start nodes."""
+    near, far = ("v", "u") if towards else ("u", "v")
+    links = rest.where(F.col("r") > TOLERANCE).select(
+        "doc_id", F.col(near).alias("node"), F.col(far).alias("next"))
+    step = materialize(start.select("doc_id", "node", F.lit(0).alias("dist")), "distances")
+    found, dist = step, 0
+    while not step.isEmpty():
+        dist += 1
+        nxt = (step.join(links, ["doc_id", "node"]).select("doc_id", F.col("next").alias("node")).distinct()
+               .join(found, ["doc_id", "node"], "left_anti").withColumn("dist", F.lit(dist)))
+        step = materialize(nxt, "distances")
+        found = found.unionByName(step)
+    return found
+
+
+def _drain(rest: DataFrame, excess: DataFrame, target: str, closed: str) -> tuple[DataFrame, DataFrame]:
+    """Push all excess that can reach the target there, nearest way first.
+
+    Distances are fixed during a phase; every pulse moves the excess of all nodes one
+    step nearer, shared over the open edges by what they still take.  A phase ends
+    when nothing moves; excess then stuck has a longer way in the next phase.
     """
-    columns = ["doc_id", "from_key", "to_key", "capacity", "edge_type", "component", "edge_id"]
-    typed = network.select(F.col("doc_id").cast("string").alias("doc_id"), *columns[1:])
-    size = typed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    checked = size.select("doc_id", F.when(
-        F.col("_n") > max_group_edges,
-        F.raise_error(F.concat(F.lit("network too large for one task: "), F.col("doc_id")))
-        .cast("boolean")).otherwise(F.lit(True)).alias("_ok")).where("_ok")
-    sound = join_salted(typed, checked.select("doc_id"), ["doc_id"], ["from_key", "to_key"], "left_semi")
-    return sound.groupBy("doc_id").applyInPandas(_solve, SCHEMA)
+    docs = rest.select("doc_id").distinct()
+    ends = docs.select("doc_id", F.lit(target).alias("node"))
+    while True:
+        dist = _distances(rest.where(F.col("u") != closed).where(F.col("v") != closed), ends, True)
+        du = dist.select("doc_id", F.col("node").alias("u"), F.col("dist").alias("_du"))
+        dv = dist.select("doc_id", F.col("node").alias("v"), F.col("dist").alias("_dv"))
+        moved = False
+        while True:
+            active = excess.where((F.col("e") > TOLERANCE) & ~F.col("node").isin(target, closed)).select(
+                "doc_id", F.col("node").alias("u"), "e")
+            open_arcs = (rest.where(F.col("r") > TOLERANCE).join(active, ["doc_id", "u"])
+                         .join(du, ["doc_id", "u"]).join(dv, ["doc_id", "v"])
+                         .where(F.col("_du") == F.col("_dv") + 1).select("doc_id", "u", "v", "r", "e"))
+            room = with_totals(open_arcs, ["doc_id", "u"], [F.sum("r").alias("_room")], ["v"])
+            push = materialize(room.select(
+                "doc_id", "u", "v", (F.col("r") * F.least(F.lit(1.0), F.col("e") / F.col("_room"))).alias("d")),
+                "push")
+            if push.isEmpty():
+                break
+            moved = True
+            back = push.select("doc_id", F.col("v").alias("u"), F.col("u").alias("v"), (-F.col("d")).alias("d"))
+            change = push.unionByName(back).groupBy("doc_id", "u", "v").agg(F.sum("d").alias("d"))
+            rest = materialize(
+                rest.join(change, ["doc_id", "u", "v"], "left")
+                .select("doc_id", "u", "v", "cap", F.greatest(
+                    F.col("r") - F.coalesce("d", F.lit(0.0)), F.lit(0.0)).alias("r")), "residual")
+            net = push.select("doc_id", F.explode(F.array(
+                F.struct(F.col("u").alias("node"), (-F.col("d")).alias("e")),
+                F.struct(F.col("v").alias("node"), F.col("d").alias("e")))).alias("x")).select("doc_id", "x.*")
+            excess = materialize(excess.unionByName(net).groupBy("doc_id", "node").agg(
+                F.sum("e").alias("e")), "excess")
+        if not moved:
+            return rest, excess
+
+
+def spread_max_flow(network: DataFrame) -> DataFrame:
+    """Exact maximum flow of documents of any size, as rounds of joins.
+
+    What the edges at S carry is first assumed to be all they may, then pushed towards
+    T, and what cannot arrive is pushed back to S.
+    """
+    finite = F.sum(F.when(F.col("capacity") < MAX_CAPACITY, F.col("capacity"))).alias("_bound")
+    net = with_totals(network, ["doc_id"], [finite], ["from_key", "to_key"])
+    net = materialize(net.withColumn("_cap", F.when(
+        F.col("capacity") >= MAX_CAPACITY, F.coalesce("_bound", "capacity")).otherwise(F.col("capacity"))),
+        "network")
+    arcs = net.groupBy("doc_id", F.col("from_key").alias("u"), F.col("to_key").alias("v")).agg(
+        F.sum("_cap").alias("cap"))
+    both = arcs.unionByName(arcs.select("doc_id", F.col("v").alias("u"), F.col("u").alias("v"),
+                                        F.lit(0.0).alias("cap")))
+    arcs = materialize(both.groupBy("doc_id", "u", "v").agg(F.sum("cap").alias("cap")), "arcs")
+    fed = arcs.where(F.col("u") == SOURCE_TERMINAL)
+    given = fed.select("doc_id", F.col("v").alias("u"), F.col("u").alias("v"), F.col("cap").alias("_g"))
+    rest = arcs.join(given, ["doc_id", "u", "v"], "left").select(
+        "doc_id", "u", "v", "cap", F.when(F.col("u") == SOURCE_TERMINAL, F.lit(0.0)).otherwise(
+            F.col("cap") + F.coalesce("_g", F.lit(0.0))).alias("r"))
+    rest = materialize(rest, "residual")
+    excess = materialize(fed.select("doc_id", F.col("v").alias("node"), F.col("cap").alias("e")), "excess")
+    rest, excess = _drain(rest, excess, SINK_TERMINAL, SOURCE_TERMINAL)
+    rest, excess = _drain(rest, excess, SOURCE_TERMINAL, SINK_TERMINAL)
+    start = rest.select("doc_id", F.lit(SOURCE_TERMINAL).alias("node")).distinct()
+    side = _distances(rest, start, False).select("doc_id", "node", F.lit(True).alias("_in"))
+    flow = rest.select("doc_id", F.col("u").alias("from_key"), F.col("v").alias("to_key"),
+                       F.greatest(F.col("cap") - F.col("r"), F.lit(0.0)).alias("_f"), F.col("cap").alias("_all"))
+    spread = ["edge_id", "edge_type"]
+    out = net.join(flow, ["doc_id", "from_key", "to_key"])
+    out = join_salted(out, side.select("doc_id", F.col("node").alias("from_key"), F.col("_in").alias("_a")),
+                      ["doc_id", "from_key"], spread, "left")
+    out = join_salted(out, side.select("doc_id", F.col("node").alias("to_key"), F.col("_in").alias("_b")),
+                      ["doc_id", "to_key"], spread, "left")
+    a, b = F.coalesce("_a", F.lit(False)), F.coalesce("_b", F.lit(False))
+    # parallel edges share the flow of their node pair by capacity
+    share = F.when(F.col("_all") > 0, F.col("_f") * F.col("_cap") / F.col("_all")).otherwise(F.lit(0.0))
+    return out.select(*_COLUMNS, share.alias("flow"), (a & ~b).alias("in_cut"), a.alias("source_side"))
 
 
 def max_flow_value(flows: DataFrame) -> DataFrame:
@@ -90,16 +197,14 @@ def component_edge_flows(flows: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def repair_reentrancies(nodes: DataFrame, edges: DataFrame, align_edges: DataFrame,
-                        component: str = "source", only_report: bool = False) -> tuple[DataFrame, DataFrame]:
+                        component: str = "source", only_report: bool = False,
+                        max_group_edges: int = 50_000) -> tuple[DataFrame, DataFrame]:
     """Maximum flow, then one even-split repair of starved reentrant vertices.
 
     Returns the flows (solved again where something was repaired) and the
     reentrancies seen before the repair.
     """
-    from weftgraph.lineage import materialize
-    from weftgraph.operators.flow import build_network, reentrancies, repair_capacities
-
-    first = materialize(max_flow(build_network(nodes, edges, align_edges, component)), "max-flow")
+    first = materialize(max_flow(build_network(nodes, edges, align_edges, component), max_group_edges), "max-flow")
     inner = component_edge_flows(first, edges)
     report = reentrancies(inner)
     if only_report:
@@ -110,6 +215,7 @@ def repair_reentrancies(nodes: DataFrame, edges: DataFrame, align_edges: DataFra
     touched = fixed.select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
     network = build_network(nodes, edges, align_edges, component, extra=fixed)
     network = network.withColumn("doc_id", F.col("doc_id").cast("string"))
-    again = max_flow(join_salted(network, touched, ["doc_id"], ["from_key", "to_key"], "left_semi"))
+    again = max_flow(join_salted(network, touched, ["doc_id"], ["from_key", "to_key"], "left_semi"),
+                     max_group_edges)
     kept = join_salted(first, touched, ["doc_id"], ["from_key", "to_key"], "left_anti")
     return kept.unionByName(again), report

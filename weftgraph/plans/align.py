@@ -118,8 +118,9 @@ def prepare(nodes: DataFrame, edges: DataFrame) -> Network:
     if not dropped.isEmpty():
         fed = W.feedable(nodes, edges, closure)
         unfed = materialize(nodes.select(*KEY, "node_id").join(fed, [*KEY, "node_id"], "left_anti"), "unfed")
-    return Network(materialize(mass_paths(edges, closure), "mass-paths"),
-                   materialize(both, "flow-edges"), closure, unfed)
+    by = ("component",)  # every flow step reads one component
+    return Network(materialize(mass_paths(edges, closure), "mass-paths", by),
+                   materialize(both, "flow-edges", by), closure, unfed)
 
 
 def maxflow(net: Network, state: DataFrame, component: str) -> DataFrame:
@@ -211,16 +212,16 @@ def align(nodes: DataFrame, edges: DataFrame, align_edges: DataFrame,
         work = materialize(work, "align-state")
         settled.append(work.where("quiet >= 2"))
         state = work.where("quiet < 2")
-        busy = state.select("doc_id").distinct()
-        if state.isEmpty():
+        moving, resting = work.agg(F.count_if(F.col("quiet") < 2), F.count_if(F.col("quiet") >= 2)).first()
+        if not moving:
             final_flows.extend(flows_now.values())
             break
-        done = materialize(work.where("quiet >= 2").select("doc_id").distinct(), "settled")
-        if not done.isEmpty():
+        if resting:
+            # settled documents keep this loop's flows and leave; the others go on
+            done = materialize(settled[-1].select("doc_id").distinct(), "settled")
             for component, flows in flows_now.items():
                 final_flows.append(join_salted(flows, done, ["doc_id"], ["child_id"], "left_semi"))
-                flows_now[component] = materialize(
-                    join_salted(flows, busy, ["doc_id"], ["child_id"], "left_semi"), "flows")
+                flows_now[component] = join_salted(flows, done, ["doc_id"], ["child_id"], "left_anti")
             live = Network(join_salted(live.mass_paths, done, ["doc_id"], ["node_id"], "left_anti"),
                            join_salted(live.edges, done, ["doc_id"], ["child_id"], "left_anti"),
                            live.closure, live.unfed)
