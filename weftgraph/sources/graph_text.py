@@ -55,9 +55,11 @@ def parse_graph(text: str) -> tuple[str, list[dict]]:
             continue
         if not stack:
             raise ValueError("text outside of the graph")
+        if role is not None and (lex == ")" or lex.startswith(":")):
+            raise ValueError(f"role without a target: {role}")
         if lex == ")":
             stack.pop()
-        elif lex.startswith(":") and role is None:
+        elif lex.startswith(":"):
             role, role_ix = _cut_alignment(lex)
         elif role is not None:
             target, token_ix = _cut_alignment(lex)
