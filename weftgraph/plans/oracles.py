@@ -661,3 +661,113 @@ per as (select pair_id, r, label, count(*) filter (where side = 'a') as ca, coun
         from counts group by all),
 d as (select pair_id, sum(ca * cb) as ab, sum(ca * ca) as aa, sum(cb * cb) as bb from per group by all)
 select pair_id, round(case when aa > 0 and bb > 0 then ab / (sqrt(aa) * sqrt(bb)) else 0.0 end, 6) as wlk from d"""
+
+
+ORACLES["compare_scores"] = f"""with {_ngrams(range(1, 3))},
+v as (select p.pair_id, n,
+        coalesce(max(case when ta > 0 then match / ta else 0.0 end), 0.0) as pr,
+        coalesce(max(case when tb > 0 then match / tb else 0.0 end), 0.0) as re
+      from (select pair_id, unnest([1, 2]) as n from p) p left join m using (pair_id, n) group by all),
+cells as (select pair_id, 'rouge' || n || '_precision' as score, round(pr, 2) as left_value, round(re, 2) as right_value from v
+          union all select pair_id, 'rouge' || n || '_recall', round(re, 2), round(pr, 2) from v)
+select * from cells where left_value <> right_value"""
+
+# Similarity of the conversations, straight from the definitions.  A token's rings
+# are its sentence, its sentence's other tokens and the root, then the other
+# sentences; document nodes have zero vectors.
+CONV_SIM = f"""{CONV}, {_sentences('conv', 'turn')},
+nvec as (select count(*) as n from embeddings),
+tk as (select doc_id, component, sent_ix, unnest(toks) as w, generate_subscripts(toks, 1) as ix from tokens),
+words as (select distinct w from tk),
+wv as (select w, list_transform(cast(embedding as double[]), lambda x: x) as vec
+       from words, nvec join embeddings on vec_id = cast(('0x' || substr(md5(w), 1, 8)) as bigint) % n),
+tv as (select doc_id, component, sent_ix, ix, w, vec, case when regexp_full_match(w, '[0-9]+') then 1.0 else 0.4 end as own
+       from tk join wv using (w)),
+tdim as (select doc_id, component, sent_ix, unnest(vec) as x, generate_subscripts(vec, 1) as d,
+           own from tv),
+sdim as (select doc_id, component, sent_ix, d, sum(x) as s, sum(own * x) as o, count(*) as k from tdim group by all),
+cdim as (select doc_id, component, d, sum(s / k) as m from sdim group by all),
+scount as (select doc_id, component, count(*) as ns, count(*) filter (where len(toks) > 0) as nfull from tokens group by all),
+sv as (select doc_id, component, sent_ix, any_value(k) as k, list(s / k order by d) as smean, list(o order by d) as osum,
+              list(m order by d) as call
+       from sdim join cdim using (doc_id, component, d) group by all),
+-- words count with the concept weight 0.4 in a neighbourhood, numbers in full:
+-- sentence + 0.1 * mean(other tokens, root) + 0.1 * mean(other sentences)
+tn as (select t.doc_id, t.component, t.sent_ix, t.ix,
+         case when regexp_full_match(t.w, '[0-9]+') then 'attribute' else 'concept' end as kind, t.vec, s.smean,
+         list_transform(range(1, 65), lambda i: s.smean[i] + 0.1 * (s.osum[i] - t.own * t.vec[i]) / s.k
+           + case when c.ns > 1 then 0.1 * (s.call[i] - s.smean[i]) / (c.ns - 1) else 0.0 end) as nv
+       from tv t join sv s using (doc_id, component, sent_ix) join scount c using (doc_id, component)),
+-- equal words of one side and sentence have equal vectors, so they are compared once
+g as (select doc_id, component, sent_ix, kind, vec, smean, nv, count(*) as c,
+        sqrt(list_dot_product(vec, vec)) as a, sqrt(list_dot_product(smean, smean)) as b, sqrt(list_dot_product(nv, nv)) as e
+      from tn group by doc_id, component, sent_ix, kind, vec, smean, nv),
+raw as (select x.doc_id, x.kind, x.c * y.c as c,
+          greatest(list_dot_product(x.vec, y.vec) / nullif(x.a * y.a, 0), 0.0) as cv,
+          greatest(list_dot_product(x.smean, y.smean) / nullif(x.b * y.b, 0), 0.0) as cs,
+          greatest(list_dot_product(x.nv, y.nv) / nullif(x.e * y.e, 0), 0.0) as cn
+        from g x join g y on x.doc_id = y.doc_id and x.kind = y.kind
+        where x.component = 'source' and y.component = 'summary'),
+sims as (select doc_id, kind as attrib_type, c,
+           least(greatest(pow(cv, case kind when 'concept' then 2 else 0.8 end) + 1 / (1 + exp(0.5 - cn * cn)) - 0.5, 0.0), 1.0)
+             * (cs * 0.5 + 0.5) as sim from raw
+         union all
+         select x.doc_id, 'sentence', 1, greatest(list_dot_product(x.smean, y.smean) / nullif(
+             sqrt(list_dot_product(x.smean, x.smean)) * sqrt(list_dot_product(y.smean, y.smean)), 0), 0.0)
+         from sv x join sv y on x.doc_id = y.doc_id where x.component = 'source' and y.component = 'summary')
+"""
+ORACLES["conversation_pairs"] = f"""with {CONV_SIM}
+select doc_id, attrib_type, cast(sum(c) as bigint) as n, round(sum(c * sim), 5) as total, round(max(sim), 6) as best
+from sims where sim > 0.3 group by all"""
+
+
+def _conversation_loop(rounds: int = 8) -> str:
+    """The alignment loop on the conversations, unrolled; token 0 is the sentence itself."""
+    out = CONV_SIM + """,
+kk as materialized (select doc_id, component, sent_ix, len(toks) as k from tokens),
+nn as materialized (select *, sqrt(list_dot_product(vec, vec)) as a, sqrt(list_dot_product(smean, smean)) as b,
+                           sqrt(list_dot_product(nv, nv)) as e from tn),
+st0 as materialized (
+  select * from (
+    select x.doc_id, x.sent_ix as s_sent, x.ix as s_ix, y.sent_ix as m_sent, y.ix as m_ix,
+       least(greatest(pow(greatest(list_dot_product(x.vec, y.vec) / nullif(x.a * y.a, 0), 0.0),
+                          case x.kind when 'concept' then 2 else 0.8 end)
+             + 1 / (1 + exp(0.5 - pow(greatest(list_dot_product(x.nv, y.nv) / nullif(x.e * y.e, 0), 0.0), 2))) - 0.5, 0.0), 1.0)
+       * (greatest(list_dot_product(x.smean, y.smean) / nullif(x.b * y.b, 0), 0.0) * 0.5 + 0.5) as cap
+    from nn x join nn y on x.doc_id = y.doc_id and x.kind = y.kind
+    where x.component = 'source' and y.component = 'summary'
+    union all
+    select x.doc_id, x.sent_ix, 0, y.sent_ix, 0, greatest(list_dot_product(x.smean, y.smean) / nullif(
+             sqrt(list_dot_product(x.smean, x.smean)) * sqrt(list_dot_product(y.smean, y.smean)), 0), 0.0)
+    from sv x join sv y on x.doc_id = y.doc_id where x.component = 'source' and y.component = 'summary')
+  where cap > 0.3)"""
+    for i in range(2 * rounds):
+        side, comp = ("s", "source") if i % 2 == 0 else ("m", "summary")
+        out += f""",
+st{i + 1} as materialized (
+  select s.* replace (case when s.cap <= 0.1 or w.f / (k.k + 1) < 0.1 or (s.{side}_ix > 0 and c.f < 0.1) then 0.0 else s.cap end as cap)
+  from st{i} s
+  join (select doc_id, {side}_sent as u, sum(cap) as f from st{i} group by all) w on w.doc_id = s.doc_id and w.u = s.{side}_sent
+  join (select doc_id, {side}_sent as u, {side}_ix as v, sum(cap) as f from st{i} group by all) c
+    on c.doc_id = s.doc_id and c.u = s.{side}_sent and c.v = s.{side}_ix
+  join kk k on k.doc_id = s.doc_id and k.sent_ix = s.{side}_sent and k.component = '{comp}')"""
+    return out + f""",
+al as (select * from st{2 * rounds} where cap > 0),
+hit as (select doc_id, 'source' as component, s_sent as u, s_ix as v, sum(cap) as f from al group by all
+        union all select doc_id, 'summary', m_sent, m_ix, sum(cap) from al group by all),
+got as (select doc_id, component, count(*) as aligned, sum(f) as f from hit group by all),
+size as (select doc_id, component, cast(sum(k + 1) as bigint) as alignable from kk group by all),
+con as (select doc_id, component, alignable, coalesce(aligned, 0) as aligned, coalesce(f, 0.0) / (alignable + 1) as root_flow
+        from size left join got using (doc_id, component)),
+agg as (select doc_id, case when min(aligned) = 0 then 0.0 else count(*) / sum(alignable / aligned) end as hm,
+               avg(root_flow) as mf, cast(sum(alignable) as bigint) as talignable, cast(sum(aligned) as bigint) as taligned
+        from con group by all)
+"""
+
+
+ORACLES["align_conversations"] = f"""with {_conversation_loop()}
+select c.doc_id, component, round(hm, 6) as agg_aligned_portion_hmean, round(mf, 6) as agg_mean_flow,
+       talignable as agg_tot_alignable, taligned as agg_tot_aligned,
+       round(taligned / talignable, 6) as agg_aligned_portion, cast(0 as bigint) as agg_reentrancies,
+       round(root_flow, 6) as root_flow, alignable, aligned, round(aligned / alignable, 6) as aligned_portion,
+       cast(0 as bigint) as reentrancies from con c join agg using (doc_id)"""

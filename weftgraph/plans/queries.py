@@ -829,26 +829,40 @@ def compare_scores(spark, sf):
     """Cells in which the scores of a pair and of its exchanged sides differ."""
     p = E.text_pairs(D.conv_pairs(spark, sf))
     swapped = p.select("pair_id", F.col("b").alias("a"), F.col("a").alias("b"))
-    return E.compare_scores(E.bleu(p), E.bleu(swapped), digits=1).select(
-        "pair_id", "score", (F.col("left_value") + 0.0).alias("left_value"),
-        (F.col("right_value") + 0.0).alias("right_value"))
+    one, two = (E.rouge_n(t, range(1, 3)) for t in (p, swapped))
+    return E.compare_scores(one, two, digits=2).select("pair_id", "score", _r("left_value"), _r("right_value"))
 
 
 # --- the whole program on texts ------------------------------------------------------
 
-def conversation_alignment(spark, sf, settings: AlignSettings = AlignSettings()) -> Alignment:
-    """Conversations: graph, vectors, similarity, alignment, statistics."""
+def conversation_vectors(spark, sf, settings: AlignSettings) -> tuple[DataFrame, DataFrame]:
+    """Nodes of the conversations with all their vectors, and the edges."""
     nodes, edges, vectors = D.conv_graph(spark, sf)
+    vectors = materialize(vectors, "token-vectors")
     sentences = S.mean_vectors(vectors, [*KEY, "sent_ix"], D.EMB_DIM)
     words = spark.createDataFrame([], "text string, vec array<double>")
-    own = S.node_vectors(nodes, vectors, words, sentences, D.EMB_DIM)
+    own = S.node_vectors(materialize(nodes, "nodes"), vectors, words, sentences, D.EMB_DIM)
     own = materialize(S.concept_vector(own, D.EMB_DIM, settings=settings), "node-vectors")
     edges = materialize(edges, "edges")
-    full = S.neighborhood_vector(own, edges, D.EMB_DIM, settings)
-    pairs = S.pair_similarity(full, settings)
-    align_edges = S.alignment_capacities(pairs, settings).select(
+    return S.neighborhood_vector(own, edges, D.EMB_DIM, settings), edges
+
+
+def conversation_alignment(spark, sf, settings: AlignSettings = AlignSettings()) -> Alignment:
+    """Conversations: graph, vectors, similarity, alignment, statistics."""
+    full, edges = conversation_vectors(spark, sf, settings)
+    links = S.alignment_capacities(S.pair_similarity(full, settings), settings).select(
         "doc_id", "src_node", "smy_node", "sim", "capacity")
-    return align(own.drop("vec", "svec", "label_vec"), edges, materialize(align_edges, "pairs"), settings)
+    nodes = full.select(*B.NODE_COLUMNS)
+    return align(nodes, edges, materialize(links, "pairs"), settings)
+
+
+@query
+def conversation_pairs(spark, sf):
+    """Aligned pairs of the conversations by document and type."""
+    settings = AlignSettings()
+    full, _ = conversation_vectors(spark, sf, settings)
+    return S.pair_similarity(full, settings).groupBy("doc_id", "attrib_type").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("sim"), 5).alias("total"), F.round(F.max("sim"), 6).alias("best"))
 
 
 @query
