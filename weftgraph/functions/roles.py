@@ -21,7 +21,7 @@ def parse_role(label: Column) -> Column:
     """
     checked = F.when(label.startswith(":"), label).otherwise(
         F.raise_error(F.concat(F.lit("role must start with a colon: "), F.coalesce(label, F.lit("null")))))
-    bare = F.substring(checked, 2, 1_000_000)
+    bare = F.regexp_replace(checked, "^:", "")
     whole = bare.isin(*NAMES_ENDING_IN_OF) | ~checked.rlike(ROLE_PATTERN)
     prefix = F.when(whole, bare).otherwise(F.regexp_extract(checked, ROLE_PATTERN, 1))
     digits = F.when(whole, F.lit("")).otherwise(F.regexp_extract(checked, ROLE_PATTERN, 2))

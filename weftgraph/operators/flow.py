@@ -301,7 +301,7 @@ def discount_flow(edge_flows: DataFrame, align_in: DataFrame, total: float) -> D
                         .otherwise(F.col("capacity"))).drop("_sum"))
 
 
-def reentrancies(edge_flows: DataFrame, max_list: int | None = None) -> DataFrame:
+def reentrancies(edge_flows: DataFrame) -> DataFrame:
     """Vertices with more than one parent role edge, with a flow summary.
 
     The number of parents, the flow total and the zero test are plain aggregates;

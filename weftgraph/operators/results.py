@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.coref import bipartite_relations, component_relations
-from weftgraph.operators.flow import orient, reentrancies, share_alignments
+from weftgraph.operators.flow import reentrancies, share_alignments
 from weftgraph.operators.graph import KEY, delete_edges
 from weftgraph.schemas import ALIGNABLE_TYPES, EDGE_TYPES, NODE_TYPES
 from weftgraph.settings import AlignSettings
@@ -42,7 +42,7 @@ def describe_columns(df: DataFrame) -> DataFrame:
     return df
 
 
-def component_flows(nodes: DataFrame, edge_flows: DataFrame, align_edges: DataFrame) -> DataFrame:
+def component_flows(edge_flows: DataFrame, align_edges: DataFrame) -> DataFrame:
     """Edges into each component as source node, target node and edge.
 
     Role and sentence edges run child to parent; alignment edges come from the
@@ -81,7 +81,7 @@ def root_flow(edge_flows: DataFrame) -> DataFrame:
 
 def alignment_flows(nodes: DataFrame, edge_flows: DataFrame, align_edges: DataFrame) -> DataFrame:
     """The result table of all flows, with alignment totals of every target."""
-    flows = component_flows(nodes, edge_flows, align_edges)
+    flows = component_flows(edge_flows, align_edges)
     is_align = F.col("edge_type") == "align"
     totals = [F.sum(F.when(is_align, F.col("flow")).otherwise(0.0)).alias("align_flow"),
               F.count_if(is_align).alias("align_count")]
@@ -228,7 +228,7 @@ def result_status(docs: DataFrame, failures: DataFrame) -> DataFrame:
 
 
 def corpus_report(flows: DataFrame) -> DataFrame:
-    """Flows of all documents with the document id first, strongest first by document."""
+    """Flows of all documents with the document id first."""
     rest = [c for c in flows.columns if c != "doc_id"]
     return flows.select("doc_id", *rest)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -339,7 +340,7 @@ def sentence_index(spark, sf):
 def _conv_sections(spark, sf) -> DataFrame:
     """Turns as parsed sentences; a user turn is a section of its own, its first a header."""
     c = D.conv_texts(spark, sf).withColumnRenamed("part_ix", "sent_ix")
-    leaf = F.transform(F.slice(X.tokenize(F.col("text")), 1, 1_000_000), lambda t, i: F.struct(
+    leaf = F.transform(X.tokenize(F.col("text")), lambda t, i: F.struct(
         F.lit("s").alias("source"), F.lit(":tok").alias("role"), t.alias("target"),
         F.array(i).alias("token_ix"), F.lit(None).cast("array<int>").alias("role_token_ix")))
     top = F.array(F.struct(F.lit("s").alias("source"), F.lit(":instance").alias("role"), F.lit("say-01").alias("target"),
@@ -383,7 +384,7 @@ def path_sentences(spark, sf):
 @query
 def graph_corpus_roundtrip(spark, sf):
     """Conversations written as graph text, read back, parsed and counted."""
-    path = f"{lineage_dir(spark)}/blocks-{abs(hash((sf, id(object()))))}"
+    path = f"{lineage_dir(spark)}/blocks-{uuid.uuid4().hex}"
     s = _conv_sections(spark, sf)
     word = lambda t: F.concat(F.lit(" :tok "), F.lit('"'), t, F.lit('"'))
     graph = F.concat(F.lit("(s / say-01"), F.array_join(F.transform(X.tokenize(F.col("text")), word), ""), F.lit(")"))
@@ -773,7 +774,7 @@ def missing_vectors(spark, sf):
 @query
 def several_corpora(spark, sf):
     """Documents of each language as a corpus of its own, written and read back."""
-    base = f"{lineage_dir(spark)}/corpora-{abs(hash((sf, id(object()))))}"
+    base = f"{lineage_dir(spark)}/corpora-{uuid.uuid4().hex}"
     d = D.table(spark, sf, "documents")
     parts = F.split("text", "\n", 2)
     rows = d.select(F.col("lang"), F.col("doc_id").cast("string").alias("id"), F.get(parts, F.lit(1)).alias("body"),

@@ -41,20 +41,21 @@ def write_results(stats: DataFrame, path: str, fmt: str = "csv", docs: DataFrame
                   mode: str = "error") -> None:
     """Results by document and one combined table of all successful documents.
 
-    ``csv`` writes the statistics rows; ``json`` the documents and their flow rows.
+    ``csv`` writes the statistics rows; other formats also the documents and their flows.
     Files are grouped by a hash of the document and carry its id, because one
     directory per document does not scale to millions of them.  Failures become a
     table of their own.
     """
     _check(fmt)
     buckets = stats.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
-    if fmt == "json":
+    if fmt == "csv":
+        flat_columns(buckets).write.mode(mode).partitionBy("bucket").csv(f"{path}/by_document", header=True, escape='"')
+    else:
+        buckets.write.mode(mode).partitionBy("bucket").json(f"{path}/by_document")
         if docs is not None:
             docs.write.mode(mode).json(f"{path}/documents")
         if flows is not None:
             flows.write.mode(mode).json(f"{path}/alignments")
-    buckets.write.mode(mode).partitionBy("bucket").json(f"{path}/by_document") if fmt != "csv" else \
-        flat_columns(buckets).write.mode(mode).partitionBy("bucket").csv(f"{path}/by_document", header=True)
     first = ["doc_id", *[c for c in stats.columns if c != "doc_id"]]
     combined = stats.select(*first).withColumnRenamed("doc_id", "id")
     flat_columns(combined).write.mode(mode).csv(f"{path}/results", header=True, escape='"')
