@@ -4,10 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import exact_dedup, mixing, sharding
+from weftgraph.llm import (
+    decontamination, exact_dedup, html_text, language, mixing, near_join, pii, sharding, url_lists, warc_zip)
 from weftgraph.llm.common import table
 
 
+def op1_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
+def op3_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_report(table(spark, sf_dir, "documents"))
+
+
+def op4_crf_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.text_report(table(spark, sf_dir, "pages"))
+
+
+def op5_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op6_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_lists.url_report(table(spark, sf_dir, "pages"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -20,5 +45,12 @@ def op9_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-REGISTRY = {f.__name__: f for f in (op7_exact_dedup, op8_mix_sources, op9_minimax_shards)}
-ORACLES = {"op7_exact_dedup": exact_dedup.ORACLE}
+def op10_token_group_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.jaccard_groups(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
+REGISTRY = {f.__name__: f for f in (
+    op1_bm25_decontamination, op2_weak_pii, op3_rank_order_language, op4_crf_html, op5_zip_warc,
+    op6_temporal_url_lists, op7_exact_dedup, op8_mix_sources, op9_minimax_shards, op10_token_group_jaccard)}
+ORACLES = {"op5_zip_warc": warc_zip.ORACLE, "op6_temporal_url_lists": url_lists.ORACLE,
+           "op7_exact_dedup": exact_dedup.ORACLE}
