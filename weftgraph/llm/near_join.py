@@ -1,16 +1,18 @@
 """N-gram Jaccard join by a token-group matrix.
 
 A document's set are its distinct word shingles.  Documents with equal sets form a class.
-Classes are put in the order of three min-hashes, which brings similar ones together, and
-the order is cut into groups of ``GROUP`` classes.  The matrix holds each group's token
+Classes are put in the order of their two most frequent tokens and two min-hashes, which
+brings similar ones together, and the order is cut into groups of ``GROUP`` classes.  The matrix holds each group's token
 union.  For a query class it bounds the overlap with any member of a group: tokens that
 the union lacks cannot be shared.  Groups whose bound stays below the threshold are
 skipped, the others are opened and their members compared exactly.
 
 Only the tokens that can decide the bound are stored.  A set of n tokens shares at least
-``need(n)`` with every partner, so partners share one of the first ``n - need(n) + 1``
-tokens of each other's set in any order that is the same for all sets.  The order puts
-frequent tokens last; which tokens count as frequent affects the work, not the result.
+``need(n)`` with every partner.  In any order that is the same for all sets, the k-th of
+their common tokens has at most ``n - need(n)`` others and k - 1 common ones before it, so
+partners share k tokens among the first ``n - need(n) + k`` of each.  A group is opened for
+a query if its union holds that many of the query's first tokens.  The order puts frequent
+tokens last; which tokens count as frequent affects the work, not the result.
 
 A token is the 64-bit hash of a shingle, a class the 128-bit hash of its set.
 """
@@ -23,19 +25,21 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.lineage import materialize
 from weftgraph.llm.common import free_name
 from weftgraph.skew import join_salted
 
-GROUP = 64
+GROUP = 256
 #: Query classes that one task compares with an opened group.
 QUERIES = 512
 #: Tokens of at least so many documents go last, at most ``FREQUENT`` of them (a broadcast
 #: of 16 bytes each); others keep their place.
 FREQUENT_FROM, FREQUENT = 24, 1 << 18
+#: A set that may miss k of its tokens has to show ``1 + k // SPARE`` common ones.
+SPARE = 5
 WORDS_HELD = 1 << 20
 
 
@@ -55,6 +59,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _multipliers(width: int) -> np.ndarray:
+    """An odd factor for each place in a shingle."""
+    return _mixed(np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
 def tokens_of(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct tokens of a text: its ``width``-word shingles after lower-casing A-Z,
     or all its words as one shingle if there are fewer; none without words."""
@@ -64,9 +73,9 @@ def tokens_of(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
     n = min(width, len(words))
     h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
     x = np.full(len(words) - n + 1, n, dtype=np.uint64)
-    for k in range(n):
-        x = _mixed(x + h[k:len(words) - n + 1 + k])
-    return np.unique(x)
+    for k, factor in enumerate(_multipliers(n)):
+        x += h[k:len(words) - n + 1 + k] * factor
+    return np.unique(_mixed(x))
 
 
 @dataclass(frozen=True)
@@ -81,8 +90,18 @@ class Link:
         """Tokens that a set of n tokens shares with every set it links to."""
         return -(-self.num * n // self.den)
 
+    def common(self, n: int) -> int:
+        """How many common tokens are asked for at n tokens; more for larger sets."""
+        return 1 + (n - self.need(n)) // SPARE
+
     def deciding(self, n: int) -> int:
-        return n - self.need(n) + 1
+        return n - self.need(n) + self.common(n)
+
+    def least_common(self, n: Column) -> Column:
+        """Deciding tokens that a set of n tokens and any partner of it have in common: what
+        is asked for at the smallest size that a partner can have."""
+        low = F.floor((n * self.num + self.den - 1) / self.den)
+        return 1 + F.floor((low - F.floor((low * self.num + self.den - 1) / self.den)) / SPARE)
 
 
 def _frequent(texts: DataFrame, link: Link) -> tuple[np.ndarray, np.ndarray]:
@@ -105,11 +124,10 @@ def _frequent(texts: DataFrame, link: Link) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(texts: DataFrame, link: Link, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Per row the size and digest of its set, three min-hashes and the deciding tokens."""
+    """Per row the size and digest of its set, what it is ordered by and its deciding tokens."""
     known, often = frequent
-    multipliers = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
-    @F.pandas_udf("n int, digest binary, m1 bigint, m2 bigint, m3 bigint, tokens array<bigint>")
+    @F.pandas_udf("n int, digest binary, o1 bigint, o2 bigint, o3 bigint, o4 bigint, tokens array<bigint>")
     def describe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for s in batches:
@@ -117,16 +135,20 @@ def _sets(texts: DataFrame, link: Link, frequent: tuple[np.ndarray, np.ndarray])
             for t in s:
                 x = tokens_of(t, link.width, hashes)
                 if not len(x):
-                    rows.append((0, b"", 0, 0, 0, x.view(np.int64)))
+                    rows.append((0, b"", 0, 0, 0, 0, x.view(np.int64)))
                     continue
                 rank = np.zeros(len(x), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, x), len(known) - 1)
                     rank = np.where(known[at] == x, often[at], 0)
-                first = x[np.lexsort((x, rank))[:link.deciding(len(x))]] if rank.any() else x[:link.deciding(len(x))]
-                low = [int(v.view(np.int64)) for v in (x.min(), *((x * m).min() for m in multipliers))]
-                rows.append((len(x), xxhash.xxh3_128_digest(x.tobytes()), *low, first.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["n", "digest", "m1", "m2", "m3", "tokens"])
+                order, signed, top = None, x.view(np.int64), [0, 0]
+                if rank.any():
+                    order = np.lexsort((x, rank))
+                    top = [int(signed[i]) if rank[i] else 0 for i in (order[-1], order[-2 if len(x) > 1 else -1])]
+                first = signed[:link.deciding(len(x))] if order is None else signed[order[:link.deciding(len(x))]]
+                low = int((x * np.uint64(0x9E3779B97F4A7C15)).min().view(np.int64))
+                rows.append((len(x), xxhash.xxh3_128_digest(x.tobytes()), *top, int(signed[0]), low, first))
+            yield pd.DataFrame(rows, columns=["n", "digest", "o1", "o2", "o3", "o4", "tokens"])
 
     return texts.withColumn("s", describe(F.col("text"))).select("doc_id", "key", "s.*")
 
@@ -198,14 +220,17 @@ def _rows(docs: DataFrame, link: Link, id_col: str, text_col: str) -> tuple[Data
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keyed = texts.withColumn("key", F.xxhash64("text"))
     rows = materialize(_sets(keyed, link, _frequent(texts.select("text"), link)), "near-sets")
-    order = ["m1", "m2", "m3", "digest"]
+    order = ["o1", "o2", "o3", "o4", "digest"]
     classes = rows.where("n > 0").dropDuplicates(["digest"]).repartitionByRange(*order).sortWithinPartitions(*order)
     # ids of one partition follow each other, so a group never spans partitions
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()).withColumn(
         "gid", F.floor(F.col("cid") / GROUP).cast("long")), "near-classes")
     entries = classes.select(F.explode("tokens").alias("token"), "cid", "n")
     several = entries.groupBy("token").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("token")
-    shared = materialize(entries.join(several, "token", "left_semi").withColumn(
+    shared = materialize(entries.join(several, "token", "left_semi"), "near-shared")
+    enough = (shared.groupBy("cid").agg(F.count(F.lit(1)).alias("_c"), F.max("n").alias("_n"))
+              .where(F.col("_c") >= link.least_common(F.col("_n"))).select("cid"))
+    shared = materialize(shared.join(enough, "cid", "left_semi").withColumn(
         "gid", F.floor(F.col("cid") / GROUP).cast("long")), "near-shared")
     matrix = shared.groupBy("token", "gid").agg(
         F.count(F.lit(1)).alias("_c"), F.min("n").alias("_least"), F.max("n").alias("_most"))
@@ -215,7 +240,8 @@ def _rows(docs: DataFrame, link: Link, id_col: str, text_col: str) -> tuple[Data
         ask.join(matrix, "token")
         .where((F.col("gid") < F.col("own")) | ((F.col("gid") == F.col("own")) & (F.col("_c") > 1)))
         .where((F.col("_most") * link.den >= F.col("n") * link.num) & (F.col("n") * link.den >= F.col("_least") * link.num))
-        .select("query", "gid").distinct(), "near-opened")
+        .groupBy("query", "gid").agg(F.count(F.lit(1)).alias("_c"), F.max("n").alias("_n"))
+        .where(F.col("_c") >= link.least_common(F.col("_n"))).select("query", "gid"), "near-opened")
     units = opened.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts"))
     members = shared.select("cid", "gid").distinct().join(units, "gid")
     wanted = members.select("cid").unionByName(opened.select(F.col("query").alias("cid"))).distinct()
