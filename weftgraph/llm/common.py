@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +45,13 @@ def free_name(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps whose results are written.
+
+    Spark removes a shuffle's files when the driver collects the plan that made them as
+    garbage, which may be long after the step; here it is asked to look now.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -21,15 +21,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.lineage import materialize
-from weftgraph.llm.common import free_name
+from weftgraph.lineage import discard, materialize
+from weftgraph.llm.common import free_name, release
 from weftgraph.skew import join_salted
 
 GROUP = 256
@@ -215,50 +217,85 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _rows(docs: DataFrame, link: Link, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Slim rows ``doc_id, key, n, digest`` and ``digest, component`` of all classes."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    keyed = texts.withColumn("key", F.xxhash64("text"))
-    rows = materialize(_sets(keyed, link, _frequent(texts.select("text"), link)), "near-sets")
+def _classes(rows: DataFrame) -> DataFrame:
+    """``cid, gid`` and one row (``doc_id, key``) of every class of equal sets.
+
+    Ids follow the order of the classes inside a partition, so a group of ``GROUP`` ids in
+    a row never spans partitions.
+    """
     order = ["o1", "o2", "o3", "o4", "digest"]
-    classes = rows.where("n > 0").dropDuplicates(["digest"]).repartitionByRange(*order).sortWithinPartitions(*order)
-    # ids of one partition follow each other, so a group never spans partitions
-    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()).withColumn(
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("f")
+    classes = rows.where("n > 0").groupBy(*order).agg(one)
+    classes = classes.repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialize(classes.select(
+        "digest", "f.doc_id", "f.key", F.monotonically_increasing_id().alias("cid")).withColumn(
         "gid", F.floor(F.col("cid") / GROUP).cast("long")), "near-classes")
-    entries = classes.select(F.explode("tokens").alias("token"), "cid", "n")
-    several = entries.groupBy("token").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("token")
-    shared = materialize(entries.join(several, "token", "left_semi"), "near-shared")
-    enough = (shared.groupBy("cid").agg(F.count(F.lit(1)).alias("_c"), F.max("n").alias("_n"))
+
+
+def _shared(rows: DataFrame, classes: DataFrame, link: Link) -> DataFrame:
+    """``token, cid, gid, n``: deciding tokens that several classes have, of the classes
+    that have as many of them as any partner would ask for."""
+    same = [rows["digest"] == classes["digest"], rows["key"] == classes["key"],
+            rows["doc_id"].eqNullSafe(classes["doc_id"])]
+    entries = rows.join(classes, reduce(and_, same)).select("cid", "gid", "n", F.explode("tokens").alias("token"))
+    # the one shuffle of all tokens; rows repeated in the input only raise counts, and a
+    # count that is too high opens a group more
+    often = F.count(F.lit(1)).over(Window.partitionBy("token"))
+    several = materialize(entries.repartition("token").withColumn("_c", often).where("_c > 1").drop("_c"), "near-several")
+    enough = (several.groupBy("cid").agg(F.count(F.lit(1)).alias("_c"), F.max("n").alias("_n"))
               .where(F.col("_c") >= link.least_common(F.col("_n"))).select("cid"))
-    shared = materialize(shared.join(enough, "cid", "left_semi").withColumn(
-        "gid", F.floor(F.col("cid") / GROUP).cast("long")), "near-shared")
+    return materialize(several.join(enough, "cid", "left_semi"), "near-shared")
+
+
+def _opened(shared: DataFrame, link: Link) -> DataFrame:
+    """``query, gid``: the groups that are opened for each class."""
     matrix = shared.groupBy("token", "gid").agg(
         F.count(F.lit(1)).alias("_c"), F.min("n").alias("_least"), F.max("n").alias("_most"))
     ask = shared.select("token", F.col("cid").alias("query"), F.col("gid").alias("own"), "n")
     # of two groups the earlier is opened for queries of the later; sizes must fit as well
-    opened = materialize(
+    return materialize(
         ask.join(matrix, "token")
         .where((F.col("gid") < F.col("own")) | ((F.col("gid") == F.col("own")) & (F.col("_c") > 1)))
         .where((F.col("_most") * link.den >= F.col("n") * link.num) & (F.col("n") * link.den >= F.col("_least") * link.num))
         .groupBy("query", "gid").agg(F.count(F.lit(1)).alias("_c"), F.max("n").alias("_n"))
         .where(F.col("_c") >= link.least_common(F.col("_n"))).select("query", "gid"), "near-opened")
-    units = opened.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts"))
-    members = shared.select("cid", "gid").distinct().join(units, "gid")
-    wanted = members.select("cid").unionByName(opened.select(F.col("query").alias("cid"))).distinct()
-    reps = classes.select("cid", F.col("doc_id").alias("_id"), F.col("key").alias("_key")).join(wanted, "cid")
-    held = materialize(keyed.join(reps, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-                       .select("cid", "text"), "near-texts")
-    asked = (opened.join(units, "gid").select(
+
+
+def _links(keyed: DataFrame, classes: DataFrame, shared: DataFrame, opened: DataFrame, link: Link) -> DataFrame:
+    """``a, b``: links between classes, enough to connect what is connected."""
+    units = materialize(opened.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts")),
+                        "near-units")
+    asked = opened.join(units, "gid").select(
         F.col("query").alias("cid"), "gid", F.pmod(F.xxhash64("query"), F.col("parts")).cast("int").alias("part"),
-        F.lit(False).alias("member")))
-    present = members.select("cid", "gid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-                             F.lit(True).alias("member"))
-    unit = asked.unionByName(present).join(held, "cid")
-    links = unit.groupBy("gid", "part").applyInPandas(_compare(link), "a bigint, b bigint")
-    joined = components(materialize(links, "near-links"))
+        F.lit(False).alias("member"))
+    present = shared.select("cid", "gid").distinct().join(units, "gid").select(
+        "cid", "gid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("member"))
+    rep = classes.select("cid", F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    wanted = asked.unionByName(present).join(rep, "cid")
+    same = (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    unit = keyed.join(wanted, same).select("gid", "part", "cid", "member", "text")
+    return materialize(unit.groupBy("gid", "part").applyInPandas(_compare(link), "a bigint, b bigint"), "near-links")
+
+
+def _rows(docs: DataFrame, link: Link, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Slim rows ``doc_id, key, n, digest`` and ``digest, component`` of all classes."""
+    spark = docs.sparkSession
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    keyed = texts.withColumn("key", F.xxhash64("text"))
+    frequent = _frequent(texts.select("text"), link)
+    release(spark)
+    sets = materialize(_sets(keyed, link, frequent), "near-sets")
+    rows = materialize(sets.select("doc_id", "key", "n", "digest"), "near-rows")
+    classes = _classes(sets)
+    shared = _shared(sets, classes, link)
+    discard(sets)
+    release(spark)
+    links = _links(keyed, classes, shared, _opened(shared, link), link)
+    release(spark)
+    joined = components(links)
     named = classes.select("cid", "digest").join(joined.withColumnRenamed("v", "cid"), "cid", "left").select(
         "digest", F.coalesce("low", "cid").alias("component"))
-    return rows.select("doc_id", "key", "n", "digest"), materialize(named, "near-components")
+    return rows, materialize(named, "near-components")
 
 
 def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
