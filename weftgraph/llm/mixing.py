@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from weftgraph.lineage import materialize
 from weftgraph.llm.common import free_name, unit_hash, words_of
 from weftgraph.operators.graph import dense_ids
-from weftgraph.skew import join_salted
+from weftgraph.skew import SALT, join_salted
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -130,7 +130,7 @@ def mix_plan(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     part = fitted.where("_k > 0 and _k < _n").select(
         "_src", "size", "_k", F.ceil(F.col("_n") / RANKED).cast("long").alias("_nb"))
     rows = join_salted(sizes.select(_source_key(F.col("source")).alias("_src"), "size", "_key"),
-                       part, ["_src", "size"], ["_key"])
+                       part, ["_src", "size"], ["_key"], salt=SALT)
     rows = rows.withColumn("_bucket", F.least(
         F.floor(F.col("_key") / F.lit(2.0 ** 63) * F.col("_nb")), F.col("_nb") - 1))
     upto = Window.partitionBy("_src", "size").orderBy("_bucket")
@@ -174,7 +174,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     by_length = by_length.select(*[F.col(a).alias(b) for a, b in zip(
         ("_src", "size", "_base", "_last", "source_size", "target"), (src, size, base, last, goal_size, goal))])
     out = join_salted(rows.withColumn(src, _source_key(F.col(source_col).cast("string"))), by_length,
-                      [src, size], [key])
+                      [src, size], [key], salt=SALT)
     out = out.withColumn(copies, F.col(base) + (F.col(key) <= F.col(last)).cast("int"))
     names = [*docs.columns, size, goal_size, goal, copies]
     return out.select(*names), sources

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.lineage import discard, materialize
 from weftgraph.llm.common import free_name, release
-from weftgraph.skew import join_salted
+from weftgraph.skew import SALT, join_salted
 
 GROUP = 256
 #: Query classes that one task compares with an opened group.
@@ -311,9 +311,9 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     rows, named = _rows(docs, Link(width, num, den), id_col, text_col)
     lowest = rows.groupBy("digest").agg(F.min("doc_id").alias("_low")).join(named, "digest")
     first = lowest.groupBy("component").agg(F.min("_low").alias("component_id"))
-    ids = join_salted(lowest.select("digest", "component"), first, ["component"], ["digest"]).select(
+    ids = join_salted(lowest.select("digest", "component"), first, ["component"], ["digest"], salt=SALT).select(
         "digest", "component_id")
-    out = join_salted(rows, ids, ["digest"], ["doc_id", "key"], "left")
+    out = join_salted(rows, ids, ["digest"], ["doc_id", "key"], "left", salt=SALT)
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"),
                       F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from weftgraph.lineage import materialize
 from weftgraph.llm.common import text_bytes
 from weftgraph.operators.graph import dense_ids
-from weftgraph.skew import join_salted
+from weftgraph.skew import SALT, join_salted
 
 SHARDS = 40
 ROW_BYTES = 16
@@ -202,7 +202,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         "shard-rows")
     groups = materialize(rows.groupBy("digest").agg(F.sum("size").alias("bytes")), "shard-groups")
     where = shard_groups(groups, shards, cells)
-    placed = join_salted(rows, where, ["digest"], ["doc_id"])
+    placed = join_salted(rows, where, ["digest"], ["doc_id"], salt=SALT)
     placed = dense_ids(placed, ["shard"], ["digest", "doc_id"], "slot")
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
                          F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

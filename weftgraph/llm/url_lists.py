@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.lineage import materialize
-from weftgraph.skew import join_salted
+from weftgraph.skew import SALT, join_salted
 
 BUCKET_DAYS = 32
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/:?#]+)"
@@ -85,7 +85,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, allow: tuple[str, ...] = (
     distinct = materialize(captures.groupBy("page_id", "url", "day").agg(F.count(F.lit(1)).alias("_n")), "url-captures")
     keyed = distinct.select("page_id", "url", "day", F.explode(capture_keys(F.col("url"))).alias("_k")).select(
         "page_id", "url", "day", "_k.kind", "_k.key", bucket(F.col("day")).alias("bucket"))
-    active = (join_salted(keyed, spans, ["kind", "key", "bucket"], ["page_id", "url", "day"])
+    active = (join_salted(keyed, spans, ["kind", "key", "bucket"], ["page_id", "url", "day"], salt=SALT)
               .where("since <= day and (until is null or day < until)"))
     rank = F.when(F.col("kind") == "prefix", 3).when(F.col("kind") == "host", 2).otherwise(1)
     allows = F.col("list").isin(*allow)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.lineage import lineage_dir, materialize
-from weftgraph.skew import join_salted
+from weftgraph.skew import SALT, join_salted
 
 #: Fixed values of the ZIP format.
 LOCAL, CENTRAL, DESCRIPTOR, END, END64, LOCATOR64 = (
@@ -193,7 +193,7 @@ def decide(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
               .where("_n > 1 and _first is not null").select(F.col("digest").alias("_same"), "_first"))
     # short payloads are never joined: their key is null, spread by the page id's salt
     keyed = rows.withColumn("_same", F.when(long, F.col("digest")))
-    out = join_salted(keyed, firsts, ["_same"], ["page_id", "digest"], "left")
+    out = join_salted(keyed, firsts, ["_same"], ["page_id", "digest"], "left", salt=SALT)
     other = ~F.col("page_id").eqNullSafe(F.col("_first"))
     return out.select("page_id", "url", "html", "digest", F.when(other, F.col("_first")).alias("refers_to"))
 
