@@ -8,12 +8,13 @@ sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1]))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (SparkSession.builder.master("local[8]").appName("weftgraph-tests")
                .config("spark.sql.shuffle.partitions", "2")
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.ui.enabled", "false")
                .config("spark.driver.memory", "8g")
+               .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("steps")))
                .config("spark.sql.execution.arrow.pyspark.enabled", "true")
                .getOrCreate())
     session.sparkContext.setLogLevel("ERROR")

@@ -80,16 +80,21 @@ def test_closed_form_carries_the_same_total(spark, dags):
     assert got == pytest.approx(want)
 
 
-def test_spread_flow_agrees_with_the_grouped_one(spark):
+def test_flow_of_a_document_does_not_depend_on_the_others(spark):
     rows = [("x", "S", "a", 3.0), ("x", "S", "b", 1e10), ("x", "a", "b", 1.0), ("x", "a", "T", 1.0),
-            ("x", "b", "T", 1.5), ("x", "b", "T", 0.25), ("y", "S", "a", 0.5), ("y", "a", "T", 2.0)]
+            ("x", "b", "T", 1.5), ("x", "b", "T", 0.25), ("y", "S", "a", 0.5), ("y", "a", "T", 2.0),
+            ("z", "S", "a", 2.0), ("z", "a", "b", 1e10), ("z", "a", "c", 1e10), ("z", "b", "d", 0.25),
+            ("z", "c", "e", 1e10), ("z", "e", "d", 1e10), ("z", "d", "T", 1e10)]
     net = spark.createDataFrame([(d, u, v, c, "e", "source", str(i)) for i, (d, u, v, c) in enumerate(rows)],
                                 "doc_id string, from_key string, to_key string, capacity double, edge_type string, "
                                 "component string, edge_id string")
-    value = lambda t: {r.doc_id: r.value for r in M.max_flow_value(t).collect()}
-    both = M.max_flow(net, max_group_edges=2)
-    want = pytest.approx({"x": 2.75, "y": 0.5})
-    assert value(both) == want and value(M.max_flow(net)) == want
+    flows = lambda t: {(r.doc_id, r.edge_id): r.flow for r in t.collect()}
+    together = flows(M.max_flow(net))
+    assert {r.doc_id: r.value for r in M.max_flow_value(M.max_flow(net)).collect()} == pytest.approx(
+        {"x": 2.75, "y": 0.5, "z": 2.0})
+    for d in "xyz":
+        alone = flows(M.max_flow(net.where(F.col("doc_id") == d).repartition(3)))
+        assert alone == pytest.approx({k: v for k, v in together.items() if k[0] == d})
 
 
 def reach(edges, doc, comp, start):
@@ -206,10 +211,12 @@ def test_dense_ids_and_salted_joins(spark):
     assert join_salted(df, names, ["g"], ["v"], "left_anti").count() == 1000
 
 
-def test_adjacency_chunks_hold_every_neighbour(spark):
-    e = spark.createDataFrame([("d", "s", i, 0, i, "role") for i in range(1, 201)], EDGES)
-    rows = G.adjacency(e, chunk=16).collect()
-    assert len(rows) > 5 and sorted(x for r in rows for x in r.neighbors) == list(range(1, 201))
+def test_adjacency_has_one_form_for_all_vertices(spark):
+    e = spark.createDataFrame([("d", "s", i, i % 3 and 1, i, "role") for i in range(1, 5001)], EDGES)
+    rows = G.adjacency(e).collect()
+    for v in (0, 1):
+        mine = sorted((r.position, r.neighbor_id) for r in rows if r.node_id == v)
+        assert mine == list(enumerate(i for i in range(1, 5001) if (i % 3 and 1) == v))
 
 
 def test_fingerprint_ignores_order(spark):

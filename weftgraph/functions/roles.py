@@ -16,11 +16,11 @@ NAMES_ENDING_IN_OF = ("prep-on-behalf-of", "prep-out-of")
 def parse_role(label: Column) -> Column:
     """Struct of prefix, index and inverted flag of a role label.
 
-    A label without a leading colon raises; one that does not fit the pattern
-    keeps its text (without the colon) as the prefix.
+    A label without a leading colon (or none) has null parts and is a failure of its
+    document (``role_failures``); one that does not fit the pattern keeps its text
+    (without the colon) as the prefix.
     """
-    checked = F.when(label.startswith(":"), label).otherwise(
-        F.raise_error(F.concat(F.lit("role must start with a colon: "), F.coalesce(label, F.lit("null")))))
+    checked = F.when(label.startswith(":"), label)
     bare = F.regexp_replace(checked, "^:", "")
     whole = bare.isin(*NAMES_ENDING_IN_OF) | ~checked.rlike(ROLE_PATTERN)
     prefix = F.when(whole, bare).otherwise(F.regexp_extract(checked, ROLE_PATTERN, 1))
@@ -33,20 +33,37 @@ def parse_role(label: Column) -> Column:
         inverted.alias("role_inverted"))
 
 
-def lookup_relation(edges: DataFrame, relations: DataFrame, max_relations: int = 10_000) -> DataFrame:
+def role_failures(edges: DataFrame) -> DataFrame:
+    """Failure rows of documents with a role edge whose label has no leading colon."""
+    bad = edges.where("edge_type = 'role' and (role is null or not startswith(role, ':'))")
+    return bad.groupBy("doc_id").agg(F.min(F.coalesce("role", F.lit("null"))).alias("_r")).select(
+        "doc_id", F.lit("role").alias("stage"),
+        F.concat(F.lit("role must start with a colon: "), F.col("_r")).alias("message"))
+
+
+PLAIN_PATTERN = r"^\^[A-Za-z0-9:_-]+\$$"
+
+
+def lookup_relation(edges: DataFrame, relations: DataFrame, block: int = 4096) -> DataFrame:
     """First relation in dictionary order whose pattern matches the edge's role.
 
-    Patterns are matched against the *distinct* labels only, so the regular
-    expression test runs |labels| x |relations| times and not once per edge.  The
-    dictionary is broadcast only after its size has been checked; a larger one
-    is matched by Spark's own choice of join.
+    Only the *distinct* labels are matched.  Patterns that are one fixed text
+    (``^:text$``) meet their label in an equality join.  The others are tested as regular
+    expressions, ``block`` of them at a time, each block broadcast: its size is
+    bounded by the number of rows and by patterns being short.
     """
     labels = edges.select("role").where(F.col("role").isNotNull()).distinct()
-    small = relations.limit(max_relations + 1).count() <= max_relations
-    rel = F.broadcast(relations) if small else relations
-    matched = (labels.join(rel, F.expr("role rlike pattern"))
-               .groupBy("role")
-               .agg(F.min_by("label", "ord").alias("relation"), F.min("ord").alias("relation_ord")))
+    named = relations.select("ord", "label", "pattern")
+    plain = named.where(F.col("pattern").rlike(PLAIN_PATTERN)).withColumn(
+        "role", F.expr("substring(pattern, 2, length(pattern) - 2)"))
+    hits = labels.join(plain, "role").select("role", "ord", "label")
+    other = named.where(~F.col("pattern").rlike(PLAIN_PATTERN))
+    parts = -(-other.count() // block)
+    for i in range(parts):
+        some = other.where(F.pmod(F.xxhash64("pattern", "ord"), F.lit(parts)) == i)
+        hits = hits.unionByName(labels.join(F.broadcast(some), F.expr("role rlike pattern"))
+                                .select("role", "ord", "label"))
+    matched = hits.groupBy("role").agg(F.min_by("label", "ord").alias("relation"), F.min("ord").alias("relation_ord"))
     return join_salted(edges, matched, ["role"], ["doc_id", "edge_id"], "left")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,16 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 def lineage_dir(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables.
 
-    The folder named by ``spark.checkpoint.dir`` is used.  Only a local session
-    without one gets a folder of its own; a cluster session without one is an error.
+    The folder named by ``spark.checkpoint.dir``; where that is unset, a folder of the
+    warehouse, which all executors share as well.
     """
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        conf = tempfile.mkdtemp(prefix="weftgraph-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    return f"{conf.rstrip('/')}/weftgraph-{spark.sparkContext.applicationId}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps"
+    return f"{base.rstrip('/')}/weftgraph-{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -31,4 +25,16 @@ def materialize(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame
     path = f"{lineage_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*by) if by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    out = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    out._weft_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of tables that ``materialize`` gave and no later step reads."""
+    for df in tables:
+        path = getattr(df, "_weft_path", None)
+        if path is not None:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)

@@ -21,10 +21,28 @@ NODE_COLUMNS = [*KEY, "node_id", "attrib_type", "sent_ix", "variable", "instance
 EDGE_COLUMNS = [*KEY, "edge_id", "parent_id", "child_id", "edge_type", "role", "relation",
                 "role_prefix", "role_index", "role_inverted", "token_ix"]
 SENTENCE_SHIFT = 24
+PART_SHIFT = 20
+
+
+def _below(value: Column, bits: int, what: str) -> Column:
+    """The value, or an error where it would run into the next id."""
+    return F.when((value < F.lit(1 << bits)) | value.isNull(), value).otherwise(
+        F.raise_error(F.concat(F.lit(f"more than 2^{bits} {what}: "), value.cast("string"))).cast("long"))
 
 
 def sentence_base(sent_ix: Column) -> Column:
-    return F.shiftleft(sent_ix.cast("long") + 1, SENTENCE_SHIFT)
+    return F.shiftleft(_below(sent_ix.cast("long") + 1, 63 - SENTENCE_SHIFT, "sentences in a document"), SENTENCE_SHIFT)
+
+
+def inner_id(sent_ix: Column, position: Column) -> Column:
+    """Id of the node at a position of a sentence; the id after it is still the sentence's."""
+    return sentence_base(sent_ix) + _below(position.cast("long") + 2, SENTENCE_SHIFT, "nodes in a sentence") - 1
+
+
+def sentence_number(part_ix: Column, position: Column) -> Column:
+    """Number of a sentence over the parts of its document."""
+    part = _below(part_ix.cast("long"), 63 - SENTENCE_SHIFT - PART_SHIFT - 1, "parts in a document")
+    return F.shiftleft(part, PART_SHIFT) + _below(position.cast("long"), PART_SHIFT, "sentences in a part")
 
 
 def explode_triples(sentences: DataFrame) -> DataFrame:
@@ -36,7 +54,7 @@ def explode_triples(sentences: DataFrame) -> DataFrame:
 
 
 def _node_id() -> Column:
-    return sentence_base(F.col("sent_ix")) + F.col("pos") + 1
+    return inner_id(F.col("sent_ix"), F.col("pos"))
 
 
 def concept_nodes(triples: DataFrame) -> DataFrame:
@@ -188,7 +206,7 @@ def build_graph(sentences: DataFrame, intermediate: bool = False,
 def text_sentences(texts: DataFrame) -> DataFrame:
     """Sentences of ``(doc_id, component, part_ix, text)`` rows, numbered over parts."""
     return texts.select(*KEY, "part_ix", F.posexplode(X.split_sentences(F.col("text"))).alias("pos", "text")) \
-        .select(*KEY, (F.shiftleft(F.col("part_ix").cast("long"), 20) + F.col("pos")).alias("sent_ix"), "text")
+        .select(*KEY, sentence_number(F.col("part_ix"), F.col("pos")).alias("sent_ix"), "text")
 
 
 def text_tokens(sentences: DataFrame) -> DataFrame:
@@ -209,7 +227,7 @@ def text_graph(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     sentences = text_sentences(texts)
     tokens = sentences.select(*SENT, F.posexplode(X.tokenize(F.col("text"))).alias("ix", "norm"))
     is_number = F.col("norm").rlike(X.NUMBER_PATTERN)
-    token_id = sentence_base(F.col("sent_ix")) + F.col("ix") + 1
+    token_id = inner_id(F.col("sent_ix"), F.col("ix"))
     token_nodes = tokens.select(
         *SENT, token_id.alias("node_id"),
         F.when(is_number, F.lit("attribute")).otherwise(F.lit("concept")).alias("attrib_type"),

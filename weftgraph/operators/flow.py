@@ -4,7 +4,8 @@ Within a component every edge has (practically) unlimited capacity, the leaves o
 one component are fed and only the root of the other drains.  The alignment
 edges are then the minimum cut and all are saturated, so a maximum flow is a
 subtree sum.  A vertex with several parents shares its flow evenly, which is the
-state the reentrancy repair aims at, so no repair capacity is ever needed.
+state that the reentrancy repair reaches where no such vertex is below another
+one; documents that have such a pair need the exact flow (``operators.maxflow``).
 """
 
 from __future__ import annotations
@@ -97,7 +98,8 @@ def acyclic(edges: DataFrame) -> DataFrame:
 
     Only graphs that have a vertex with several parents can have a cycle below the
     root, so only those are searched.  Inside a strongly connected part an
-    edge is kept when it leads further from the root.
+    edge is kept when it leads to a vertex that is later by depth and then id, so
+    of two opposite edges one stays.
     """
     multi = (edges.groupBy(*KEY, "child_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
              .select(*KEY).distinct())
@@ -117,7 +119,7 @@ def acyclic(edges: DataFrame) -> DataFrame:
     parent = depth.select(*KEY, F.col("node_id").alias("parent_id"), F.col("depth").alias("dp"))
     child = depth.select(*KEY, F.col("node_id").alias("child_id"), F.col("depth").alias("dc"))
     closing = (back.join(parent, [*KEY, "parent_id"], "left").join(child, [*KEY, "child_id"], "left")
-               .where(F.coalesce("dp", F.lit(0)) >= F.coalesce("dc", F.lit(0)))
+               .where(F.struct(F.coalesce("dp", F.lit(0)), "parent_id") >= F.struct(F.coalesce("dc", F.lit(0)), "child_id"))
                .select(*KEY, "edge_id"))
     return edges.join(materialize(closing, "acyclic"), [*KEY, "edge_id"], "left_anti")
 

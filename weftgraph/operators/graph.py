@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.vectors import vector_sum
-from weftgraph.lineage import materialize
+from weftgraph.lineage import discard, materialize
 from weftgraph.skew import join_salted, with_totals
 
 KEY = ["doc_id", "component"]
@@ -95,19 +95,13 @@ def degrees(edges: DataFrame) -> DataFrame:
         F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
-def adjacency(edges: DataFrame, chunk: int = 4096) -> DataFrame:
-    """Sorted neighbour lists; long lists come as several chunks.
+def adjacency(edges: DataFrame) -> DataFrame:
+    """Neighbours of every vertex in order: ``node_id, position, neighbor_id``.
 
-    A vertex with more than ``chunk`` children gets rows ``chunk_ix`` 0, 1, ... of
-    bounded size instead of one list that a single task would have to hold.
+    A row per neighbour whatever their number, so no task holds a hub's list.
     """
-    links = edges.select(*KEY, F.col("parent_id").alias("node_id"),
-                         F.col("child_id").alias("neighbor_id"))
-    n = F.ceil(F.count(F.lit(1)) / F.lit(chunk)).alias("_chunks")
-    split = with_totals(links, [*KEY, "node_id"], [n], ["neighbor_id"])
-    return (split.withColumn("chunk_ix", F.pmod(F.xxhash64("neighbor_id"), F.col("_chunks")))
-            .groupBy(*KEY, "node_id", "chunk_ix")
-            .agg(F.sort_array(F.collect_list("neighbor_id")).alias("neighbors")))
+    links = edges.select(*KEY, F.col("parent_id").alias("node_id"), F.col("child_id").alias("neighbor_id"))
+    return dense_ids(links, [*KEY, "node_id"], ["neighbor_id"], "position")
 
 
 def incident(edges: DataFrame, vertices: DataFrame, mode: str = "in",
@@ -298,33 +292,33 @@ def ring_sums(nodes: DataFrame, edges: DataFrame, k: int, dim: int,
 def weak_components(edges: DataFrame) -> DataFrame:
     """Smallest vertex id of each vertex's weakly connected component.
 
-    Alternating large-star and small-star steps: hubs are handled by group
-    minima, and long chains shrink by halves instead of by one link per round.
+    Every round a vertex takes the smallest label among itself and its neighbours and then
+    that label's own label, so paths shorten by more than half.  The rounds end when no
+    label has changed, which is counted, not inferred.
     """
-    links = edges.select(*KEY, F.col("parent_id").alias("u"), F.col("child_id").alias("v")) \
-        .where("u <> v").distinct()
-    links = materialize(links, "components")
-    state = None
+    ends = edges.select(*KEY, F.explode(F.array(
+        F.struct(F.col("parent_id").alias("u"), F.col("child_id").alias("v")),
+        F.struct(F.col("child_id").alias("u"), F.col("parent_id").alias("v")))).alias("e"))
+    links = materialize(ends.select(*KEY, "e.u", "e.v").distinct(), "components")
+    # the first labels are group minima, so hubs are summed up before the shuffle
+    labels = materialize(links.groupBy(*KEY, "u").agg(F.min("v").alias("m")).select(
+        *KEY, "u", F.least("u", "m").alias("low")), "components")
     while True:
-        both = links.unionByName(links.select(*KEY, F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(*KEY, "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = (join_salted(both.where("v > u"), low, [*KEY, "u"], ["v"])
-                 .select(*KEY, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        # every remaining link points from the larger to the smaller end
-        down = large.select(*KEY, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        low2 = down.groupBy(*KEY, "u").agg(F.min("v").alias("m"))
-        small = (join_salted(down, low2, [*KEY, "u"], ["v"])
-                 .select(*KEY, F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m")))
-                         .alias("e"))
-                 .select(*KEY, F.col("e.u").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct())
-        links = materialize(small, "components")
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*KEY, "u", "v") % 1_000_003)).first()
-        if tuple(now) == state:
+        offered = (join_salted(links, labels, [*KEY, "u"], ["v"])
+                   .groupBy(*KEY, F.col("v").alias("u")).agg(F.min("low").alias("offer")))
+        new = labels.join(offered, [*KEY, "u"]).select(
+            *KEY, "u", F.col("low").alias("old"), F.least("low", "offer").alias("low"))
+        jump = labels.select(*KEY, F.col("u").alias("low"), F.col("low").alias("lower"))
+        moved = join_salted(new, jump, [*KEY, "low"], ["u"], "left")
+        new = materialize(moved.select(*KEY, "u", "old", F.least("low", "lower").alias("low")), "components")
+        changed = not new.where("low < old").isEmpty()
+        discard(labels)
+        labels = new.drop("old")
+        labels._weft_path = new._weft_path
+        if not changed:
             break
-        state = tuple(now)
-    labels = links.select(*KEY, F.col("u").alias("node_id"), F.col("v").alias("component_root"))
-    rest = _ends(edges).join(labels, [*KEY, "node_id"], "left_anti")
-    return labels.unionByName(rest.withColumn("component_root", F.col("node_id")))
+    discard(links)
+    return labels.select(*KEY, F.col("u").alias("node_id"), F.col("low").alias("component_root"))
 
 
 def component_of(nodes: DataFrame, edges: DataFrame, root: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,14 +1,17 @@
-"""Exact maximum flow per document for networks with any capacities."""
+"""Exact maximum flow per document for networks with any capacities.
 
-from __future__ import annotations
+One rule for documents of every size: excess moves towards the sink over shortest residual
+ways, shared over the open edges by what they still take, in rounds of joins over all
+documents together.  No document has to fit into a task, and what one document gets
+does not depend on which others are solved with it.
+"""
 
-from collections import deque
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.lineage import materialize
+from weftgraph.lineage import discard, materialize
 from weftgraph.operators.flow import (
     SINK_TERMINAL, SOURCE_TERMINAL, build_network, reentrancies, repair_capacities)
 from weftgraph.settings import MAX_CAPACITY
@@ -16,70 +19,9 @@ from weftgraph.skew import join_salted, with_totals
 
 TOLERANCE = 1e-9
 
-SCHEMA = ("doc_id string, from_key string, to_key string, capacity double, edge_type string, "
-          "component string, edge_id string, flow double, in_cut boolean, source_side boolean")
-
-
-def _augment(n: int, arcs: list[tuple[int, int, float]], s: int, t: int) -> tuple[list[float], set[int]]:
-    """Shortest augmenting paths in arc order; flow per arc and the source side."""
-    head, rest, out = [], [], [[] for _ in range(n)]
-    for u, v, cap in arcs:
-        out[u].append(len(head)); head.append(v); rest.append(cap)
-        out[v].append(len(head)); head.append(u); rest.append(0.0)
-    while True:
-        via = {s: -1}
-        queue = deque([s])
-        while queue and t not in via:
-            u = queue.popleft()
-            for a in out[u]:
-                if rest[a] > 1e-12 and head[a] not in via:
-                    via[head[a]] = a
-                    queue.append(head[a])
-        if t not in via:
-            return [rest[2 * i + 1] for i in range(len(arcs))], set(via)
-        path, v = [], t
-        while v != s:
-            path.append(via[v])
-            v = head[via[v] ^ 1]
-        push = min(rest[a] for a in path)
-        for a in path:
-            rest[a] -= push
-            rest[a ^ 1] += push
-
-
-def _solve(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["edge_type", "edge_id", "from_key", "to_key"], kind="stable")
-    names = {SOURCE_TERMINAL: 0, SINK_TERMINAL: 1}
-    for key in pd.concat([group["from_key"], group["to_key"]]):
-        names.setdefault(key, len(names))
-    u, v = group["from_key"].map(names), group["to_key"].map(names)
-    flow, side = _augment(len(names), list(zip(u, v, group["capacity"])), 0, 1)
-    from_side, to_side = u.isin(side), v.isin(side)
-    return group.assign(flow=flow, in_cut=from_side & ~to_side, source_side=from_side)
-
-
 _COLUMNS = ["doc_id", "from_key", "to_key", "capacity", "edge_type", "component", "edge_id"]
 
 
-def max_flow(network: DataFrame, max_group_edges: int = 50_000) -> DataFrame:
-    """Flow of every edge, the minimum cut and the source side, per document.
-
-    Documents of up to ``max_group_edges`` edges are solved one per task call; larger
-    ones by ``spread_max_flow``, whose rounds are joins over all edges, so no
-    document has to fit into a task.
-    """
-    typed = network.select(F.col("doc_id").cast("string").alias("doc_id"), *_COLUMNS[1:])
-    large = materialize(
-        typed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > max_group_edges).select("doc_id"), "large-networks")
-    if large.isEmpty():
-        return typed.groupBy("doc_id").applyInPandas(_solve, SCHEMA)
-    spread = ["from_key", "to_key"]
-    small = join_salted(typed, large, ["doc_id"], spread, "left_anti")
-    big = join_salted(typed, large, ["doc_id"], spread, "left_semi")
-    return small.groupBy("doc_id").applyInPandas(_solve, SCHEMA).unionByName(spread_max_flow(big))
-
-
 def _distances(rest: DataFrame, start: DataFrame, towards: bool) -> DataFrame:
     """Shortest residual distance to (``towards``) or from the start nodes."""
     near, far = ("v", "u") if towards else ("u", "v")
@@ -103,16 +45,22 @@ def _drain(rest: DataFrame, excess: DataFrame, target: str, closed: str) -> tupl
     step nearer, shared over the open edges by what they still take.  A phase ends
     when nothing moves; excess then stuck has a longer way in the next phase.
     """
-    docs = rest.select("doc_id").distinct()
-    ends = docs.select("doc_id", F.lit(target).alias("node"))
+    def moving(t: DataFrame) -> DataFrame:
+        return t.where((F.col("e") > TOLERANCE) & ~F.col("node").isin(target, closed))
+
     while True:
-        dist = _distances(rest.where(F.col("u") != closed).where(F.col("v") != closed), ends, True)
+        # only documents that still have excess under way are searched
+        docs = materialize(moving(excess).select("doc_id").distinct(), "drain")
+        if docs.isEmpty():
+            return rest, excess
+        ends = docs.select("doc_id", F.lit(target).alias("node"))
+        inner = rest.where((F.col("u") != closed) & (F.col("v") != closed) & (F.col("r") > TOLERANCE))
+        dist = _distances(join_salted(inner, docs, ["doc_id"], ["u", "v"], "left_semi"), ends, True)
         du = dist.select("doc_id", F.col("node").alias("u"), F.col("dist").alias("_du"))
         dv = dist.select("doc_id", F.col("node").alias("v"), F.col("dist").alias("_dv"))
         moved = False
         while True:
-            active = excess.where((F.col("e") > TOLERANCE) & ~F.col("node").isin(target, closed)).select(
-                "doc_id", F.col("node").alias("u"), "e")
+            active = moving(excess).select("doc_id", F.col("node").alias("u"), "e")
             open_arcs = (rest.where(F.col("r") > TOLERANCE).join(active, ["doc_id", "u"])
                          .join(du, ["doc_id", "u"]).join(dv, ["doc_id", "v"])
                          .where(F.col("_du") == F.col("_dv") + 1).select("doc_id", "u", "v", "r", "e"))
@@ -125,6 +73,7 @@ def _drain(rest: DataFrame, excess: DataFrame, target: str, closed: str) -> tupl
             moved = True
             back = push.select("doc_id", F.col("v").alias("u"), F.col("u").alias("v"), (-F.col("d")).alias("d"))
             change = push.unionByName(back).groupBy("doc_id", "u", "v").agg(F.sum("d").alias("d"))
+            old = (rest, excess)
             rest = materialize(
                 rest.join(change, ["doc_id", "u", "v"], "left")
                 .select("doc_id", "u", "v", "cap", F.greatest(
@@ -134,16 +83,18 @@ def _drain(rest: DataFrame, excess: DataFrame, target: str, closed: str) -> tupl
                 F.struct(F.col("v").alias("node"), F.col("d").alias("e")))).alias("x")).select("doc_id", "x.*")
             excess = materialize(excess.unionByName(net).groupBy("doc_id", "node").agg(
                 F.sum("e").alias("e")), "excess")
+            discard(*old, push)
         if not moved:
             return rest, excess
 
 
-def spread_max_flow(network: DataFrame) -> DataFrame:
-    """Exact maximum flow of documents of any size, as rounds of joins.
+def max_flow(network: DataFrame) -> DataFrame:
+    """Flow of every edge, the minimum cut and the source side, per document.
 
     What the edges at S carry is first assumed to be all they may, then pushed towards
     T, and what cannot arrive is pushed back to S.
     """
+    network = network.select(F.col("doc_id").cast("string").alias("doc_id"), *_COLUMNS[1:])
     finite = F.sum(F.when(F.col("capacity") < MAX_CAPACITY, F.col("capacity"))).alias("_bound")
     net = with_totals(network, ["doc_id"], [finite], ["from_key", "to_key"])
     net = materialize(net.withColumn("_cap", F.when(
@@ -197,14 +148,13 @@ def component_edge_flows(flows: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def repair_reentrancies(nodes: DataFrame, edges: DataFrame, align_edges: DataFrame,
-                        component: str = "source", only_report: bool = False,
-                        max_group_edges: int = 50_000) -> tuple[DataFrame, DataFrame]:
+                        component: str = "source", only_report: bool = False) -> tuple[DataFrame, DataFrame]:
     """Maximum flow, then one even-split repair of starved reentrant vertices.
 
     Returns the flows (solved again where something was repaired) and the
     reentrancies seen before the repair.
     """
-    first = materialize(max_flow(build_network(nodes, edges, align_edges, component), max_group_edges), "max-flow")
+    first = materialize(max_flow(build_network(nodes, edges, align_edges, component)), "max-flow")
     inner = component_edge_flows(first, edges)
     report = reentrancies(inner)
     if only_report:
@@ -215,7 +165,6 @@ def repair_reentrancies(nodes: DataFrame, edges: DataFrame, align_edges: DataFra
     touched = fixed.select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
     network = build_network(nodes, edges, align_edges, component, extra=fixed)
     network = network.withColumn("doc_id", F.col("doc_id").cast("string"))
-    again = max_flow(join_salted(network, touched, ["doc_id"], ["from_key", "to_key"], "left_semi"),
-                     max_group_edges)
+    again = max_flow(join_salted(network, touched, ["doc_id"], ["from_key", "to_key"], "left_semi"))
     kept = join_salted(first, touched, ["doc_id"], ["from_key", "to_key"], "left_anti")
     return kept.unionByName(again), report

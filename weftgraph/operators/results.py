@@ -69,14 +69,19 @@ def _with_relations(align_edges: DataFrame) -> DataFrame:
 
 
 def root_flow(edge_flows: DataFrame) -> DataFrame:
-    """Flow of the one edge into the sink; several or none for a component is an error."""
-    per = edge_flows.groupBy(*KEY).agg(
-        F.count_if(F.col("edge_type") == "terminal").alias("_n"),
-        F.sum(F.when(F.col("edge_type") == "terminal", F.col("flow"))).alias("root_flow"))
-    checked = F.when(F.col("_n") == 1, F.col("root_flow")).otherwise(
-        F.raise_error(F.concat(F.lit("not one terminal edge: "), F.col("doc_id").cast("string")))
-        .cast("double"))
-    return per.select(*KEY, checked.alias("root_flow"))
+    """Flow of the one edge into the sink; null for a component with several or none,
+    which is a failure of its document (``terminal_failures``)."""
+    is_end = F.col("edge_type") == "terminal"
+    return edge_flows.groupBy(*KEY).agg(
+        F.count_if(is_end).alias("_n"), F.sum(F.when(is_end, F.col("flow"))).alias("_f")).select(
+        *KEY, F.when(F.col("_n") == 1, F.col("_f")).alias("root_flow"))
+
+
+def terminal_failures(edge_flows: DataFrame) -> DataFrame:
+    """Failure rows of documents with a component that has not exactly one edge into the sink."""
+    bad = root_flow(edge_flows).where("root_flow is null")
+    return bad.groupBy("doc_id").agg(F.min("component").alias("_c")).select(
+        "doc_id", F.lit("flow").alias("stage"), F.concat(F.lit("not one terminal edge: "), F.col("_c")).alias("message"))
 
 
 def alignment_flows(nodes: DataFrame, edge_flows: DataFrame, align_edges: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 """The alignment program over all documents at once.
 
-Every document's maximum flow has a closed form here (see ``operators.flow``), so one
-round of the loop is a join of the alignment table with a fixed table of
-"who is below whom" and an aggregation, for all documents together.  Documents
-that have settled leave the loop.
+Where no vertex with several parents is below another one, the repaired maximum flow has a
+closed form (see ``operators.flow``): a repaired vertex gives all that it gave before, so
+its even split starves nobody.  One round of the loop is then a join of the alignment
+table with a fixed table of "who is below whom" and an aggregation, for all documents
+together.  In the other documents a repair can hold flow back, so they take the exact
+maximum flow with its repair in every round.  Documents that have settled leave the loop.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.lineage import materialize
 from weftgraph.operators import flow as W
+from weftgraph.operators import maxflow as M
 from weftgraph.operators import results as R
 from weftgraph.operators.coref import add_coref
 from weftgraph.operators.graph import KEY, descendants, roots
@@ -35,6 +38,9 @@ class Alignment:
     edge_flows: DataFrame
     coref: DataFrame | None
     settings: AlignSettings
+    #: ``doc_id, loops, converged``: loops a document took, and whether it settled by itself
+    #: or was stopped by ``max_loops``
+    loops: DataFrame | None = None
 
     def flows(self) -> DataFrame:
         return R.alignment_flows(self.nodes, self.edge_flows, self.align_edges)
@@ -62,6 +68,8 @@ class Network:
     edges: DataFrame        # component edges and root terminals, share and descendants
     closure: DataFrame      # who is below whom
     unfed: DataFrame | None  # nodes no leaf can feed (only on cycles)
+    # nodes and edges of the documents in which a vertex with several parents is below another
+    nested: tuple[DataFrame, DataFrame] | None = None
 
 
 def mass_paths(edges: DataFrame, closure: DataFrame) -> DataFrame:
@@ -97,6 +105,16 @@ def mass_paths(edges: DataFrame, closure: DataFrame) -> DataFrame:
     return trees.unionByName(summed)
 
 
+def nested_documents(edges: DataFrame, closure: DataFrame) -> DataFrame:
+    """Documents in which a vertex with several parent role edges is below another one."""
+    multi = materialize(
+        edges.where("edge_type = 'role'").groupBy(*KEY, F.col("child_id").alias("node_id"))
+        .agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*KEY, "node_id"), "reentrant-vertices")
+    below = closure.where("ancestor <> node_id").join(multi, [*KEY, "node_id"], "left_semi")
+    above = multi.withColumnRenamed("node_id", "ancestor")
+    return below.join(above, [*KEY, "ancestor"], "left_semi").select("doc_id").distinct()
+
+
 def prepare(nodes: DataFrame, edges: DataFrame) -> Network:
     closure = materialize(descendants(edges, include_self=True), "closure")
     shares = W.parent_shares(W.acyclic(edges)).select(*KEY, "edge_id", "share")
@@ -119,12 +137,44 @@ def prepare(nodes: DataFrame, edges: DataFrame) -> Network:
         fed = W.feedable(nodes, edges, closure)
         unfed = materialize(nodes.select(*KEY, "node_id").join(fed, [*KEY, "node_id"], "left_anti"), "unfed")
     by = ("component",)  # every flow step reads one component
+    docs = materialize(nested_documents(edges, closure), "nested")
+    nested = None if docs.isEmpty() else tuple(
+        materialize(join_salted(t, docs, ["doc_id"], [key], "left_semi"), "nested")
+        for t, key in ((nodes, "node_id"), (edges, "child_id")))
     return Network(materialize(mass_paths(edges, closure), "mass-paths", by),
-                   materialize(both, "flow-edges", by), closure, unfed)
+                   materialize(both, "flow-edges", by), closure, unfed, nested)
+
+
+def repaired_flow(net: Network, state: DataFrame, component: str) -> DataFrame:
+    """Exact maximum flow of the nested documents with one repair of starved vertices, in the
+    shape of ``maxflow``."""
+    nodes, edges = net.nested
+    docs = nodes.select("doc_id").distinct()
+    mine = join_salted(state, docs, ["doc_id"], ["src_node", "smy_node"], "left_semi")
+    flows, _ = M.repair_reentrancies(nodes, edges, mine.where("capacity > 0"), component)
+    inner = flows.where(F.col("component") == component).select(
+        F.col("doc_id").alias("_doc"), F.col("edge_id").alias("_eid"), F.col("flow").alias("_flow"))
+    ends = flows.where(F.col("to_key") == W.SINK_TERMINAL).select(
+        F.col("doc_id").alias("_doc"), F.lit("T").alias("_eid"), F.col("flow").alias("_flow"))
+    found = inner.unionByName(ends).groupBy("_doc", "_eid").agg(F.sum("_flow").alias("_flow"))
+    asked = join_salted(net.edges.where(F.col("component") == component), docs, ["doc_id"], ["child_id"], "left_semi")
+    eid = F.when(F.col("edge_type") == "terminal", "T").otherwise(F.col("edge_id").cast("string"))
+    out = asked.withColumn("_doc", F.col("doc_id").cast("string")).withColumn("_eid", eid)
+    return (out.join(found, ["_doc", "_eid"], "left").withColumn("raw", F.coalesce("_flow", F.lit(0.0)))
+            .withColumn("flow", F.col("raw") / F.col("n_desc")).drop("_doc", "_eid", "_flow"))
 
 
 def maxflow(net: Network, state: DataFrame, component: str) -> DataFrame:
-    """Raw maximum flow of every edge of a component, terminal included."""
+    """Raw maximum flow of every edge of a component after its repair, terminal included."""
+    if net.nested is None:
+        return closed_flow(net, state, component)
+    nested = net.nested[0].select("doc_id").distinct()
+    plain = join_salted(closed_flow(net, state, component), nested, ["doc_id"], ["child_id"], "left_anti")
+    return plain.unionByName(repaired_flow(net, state, component).select(*plain.columns))
+
+
+def closed_flow(net: Network, state: DataFrame, component: str) -> DataFrame:
+    """Flow of documents without nested reentrancies: shares of the inflow, summed up."""
     pointed = W.orient(state, component)
     if net.unfed is not None:
         other = "summary" if component == "source" else "source"
@@ -143,6 +193,15 @@ def maxflow(net: Network, state: DataFrame, component: str) -> DataFrame:
             .withColumn("flow", F.col("raw") / F.col("n_desc")).drop("_mass"))
 
 
+def _still(nested, done: DataFrame):
+    """Nested documents that have not settled."""
+    if nested is None:
+        return None
+    nodes, edges = (materialize(join_salted(t, done, ["doc_id"], [key], "left_anti"), "nested")
+                    for t, key in zip(nested, ("node_id", "child_id")))
+    return None if nodes.isEmpty() else (nodes, edges)
+
+
 Step = Callable[[DataFrame, DataFrame, Network, str, AlignSettings], DataFrame]
 
 
@@ -174,7 +233,8 @@ def align(nodes: DataFrame, edges: DataFrame, align_edges: DataFrame,
     ``align_edges`` has ``doc_id, src_node, smy_node, sim, capacity``.  Each loop
     computes the flow towards either component, clamps weak alignments and prunes
     the alignments under weak edges, until no role edge of a document changed its
-    flow in two loops in a row or the loop limit is reached.
+    flow in two loops in a row or the loop limit is reached; ``loops`` of the result says
+    which.
     """
     net = prepare(nodes, edges)
     state = align_edges if coref is None else add_coref(align_edges, coref, nodes)
@@ -184,7 +244,7 @@ def align(nodes: DataFrame, edges: DataFrame, align_edges: DataFrame,
     busy = state.select("doc_id").distinct()
     live = Network(join_salted(net.mass_paths, busy, ["doc_id"], ["node_id"], "left_semi"),
                    join_salted(net.edges, busy, ["doc_id"], ["child_id"], "left_semi"),
-                   net.closure, net.unfed)
+                   net.closure, net.unfed, net.nested)
     previous = {}
     for component in DIRECTIONS:
         flows = materialize(maxflow(live, state, component), "flows")
@@ -192,8 +252,13 @@ def align(nodes: DataFrame, edges: DataFrame, align_edges: DataFrame,
         for step in construct:
             state = step(state, flows, live, component, settings)
     state = materialize(state.withColumn("quiet", F.lit(0)), "align-state")
-    settled, final_flows = [], []
-    for _ in range(settings.max_loops):
+    settled, final_flows, taken = [], [], []
+
+    def note(rows: DataFrame, loops: int, converged: bool) -> None:
+        taken.append(rows.select("doc_id").distinct().select(
+            "doc_id", F.lit(loops).alias("loops"), F.lit(converged).alias("converged")))
+
+    for loop_no in range(1, settings.max_loops + 1):
         flows_now, updates = {}, None
         work = state
         for component in DIRECTIONS:
@@ -211,6 +276,7 @@ def align(nodes: DataFrame, edges: DataFrame, align_edges: DataFrame,
                 .drop("_loud"))
         work = materialize(work, "align-state")
         settled.append(work.where("quiet >= 2"))
+        note(settled[-1], loop_no, True)
         state = work.where("quiet < 2")
         moving, resting = work.agg(F.count_if(F.col("quiet") < 2), F.count_if(F.col("quiet") >= 2)).first()
         if not moving:
@@ -224,10 +290,11 @@ def align(nodes: DataFrame, edges: DataFrame, align_edges: DataFrame,
                 flows_now[component] = join_salted(flows, done, ["doc_id"], ["child_id"], "left_anti")
             live = Network(join_salted(live.mass_paths, done, ["doc_id"], ["node_id"], "left_anti"),
                            join_salted(live.edges, done, ["doc_id"], ["child_id"], "left_anti"),
-                           live.closure, live.unfed)
+                           live.closure, live.unfed, _still(live.nested, done))
         previous = flows_now
     else:
         settled.append(state)
+        note(state, settings.max_loops, False)
         final_flows.extend(previous.values())
     aligned = settled[0]
     for part in settled[1:]:
@@ -240,7 +307,13 @@ def align(nodes: DataFrame, edges: DataFrame, align_edges: DataFrame,
     rest = join_salted(net.edges, seen, ["doc_id"], ["child_id"], "left_anti")
     rest = rest.withColumn("raw", F.lit(0.0)).withColumn("flow", F.lit(0.0))
     flows = materialize(flows.unionByName(rest.select(*flows.columns)), "edge-flows")
-    return Alignment(nodes, edges, materialize(aligned, "aligned"), flows, coref, settings)
+    loops = taken[0]
+    for part in taken[1:]:
+        loops = loops.unionByName(part)
+    idle = nodes.select("doc_id").distinct().join(busy, "doc_id", "left_anti").select(
+        "doc_id", F.lit(0).alias("loops"), F.lit(True).alias("converged"))
+    return Alignment(nodes, edges, materialize(aligned, "aligned"), flows, coref, settings,
+                     materialize(loops.unionByName(idle), "loops"))
 
 
 def align_one(nodes: DataFrame, edges: DataFrame, align_edges: DataFrame, doc_id,

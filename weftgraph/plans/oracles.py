@@ -210,7 +210,8 @@ union all select doc_id, node_id, 0, 1 from hnodes"""
 ORACLES["descendants"] = f"""with {CLOSURE}
 select doc_id, ancestor, count(*) as n, cast(max(hops) as bigint) as depth from closure group by all"""
 ORACLES["adjacency"] = f"""with {DAG}
-select doc_id, parent_id as node_id, string_agg(child_id, ',' order by child_id) as neighbors from dag group by all"""
+select doc_id, parent_id as node_id, row_number() over (partition by doc_id, parent_id order by child_id) - 1 as position,
+       child_id as neighbor_id from dag"""
 ORACLES["incident_edges"] = f"""with {DAG}
 select doc_id, edge_id, child_id as node_id from dag where edge_type = 'role' and (doc_id, child_id) in (
   select (doc_id, child_id) from dag group by doc_id, child_id having count(*) > 1)"""
@@ -272,8 +273,7 @@ ORACLES["prune_subtrees"] = f"""with {FLOW},
 weak as (select child_id from fpn where edge_type in ('role', 'sentence') and flow < 15)
 select distinct doc_id, node_id from (
   select c.doc_id, c.node_id from closure c join weak on weak.child_id = c.ancestor
-  union all select f.doc_id, f.child_id from fpn f join weak using (child_id))
-where node_id like 'l%'"""
+  union all select f.doc_id, f.child_id from fpn f join weak using (child_id))"""
 
 SUMMARY = DAG + """,
 sline as (select o_custkey as doc_id, 'p' || l_partkey as src_node, 'b' || p_brand as smy_node, l_discount
@@ -565,7 +565,8 @@ select k as doc_id, count(source) as n, case when count(source) > 0 then 'found'
 from wanted left join documents on source = k group by k"""
 ORACLES["corpus_summary"] = """select doc_id, cast(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as bigint) as len from documents"""
 ORACLES["corpus_fingerprint"] = """with h as (
-  select sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '"}') as h from documents),
+  select sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","n_chars":' || n_chars || ',"source":"' || source ||
+                '","text":' || to_json(text) || '}') as h from documents),
 s as (select count(*) as n, """ + ", ".join(
     f"sum(cast(('0x' || substr(h, {1 + 12 * i}, 12)) as hugeint)) as s{i}" for i in range(5)) + """ from h)
 select sha256(concat_ws('-', n, s0, s1, s2, s3, s4)) as fingerprint, n as n_docs from s"""
@@ -580,10 +581,10 @@ ORACLES["several_corpora"] = """select lang as corpus, count(*) as n, count(*) f
 # --- scores -----------------------------------------------------------------------------------------
 
 TEXT_PAIRS = """
-p as (select u.conv_id || '-' || a.turn as pair_id,
-        regexp_extract_all(lower(u.text), '[\\p{L}\\p{N}]+') as a, regexp_extract_all(lower(a.text), '[\\p{L}\\p{N}]+') as b
-      from conversations u join conversations a on u.conv_id = a.conv_id and u.turn + 1 = a.turn
-      where u.role = 'user' and a.role = 'assistant')
+p as (select u.conv_id || '-' || (u.turn + 1) as pair_id, regexp_extract_all(lower(u.text), '[\\p{L}\\p{N}]+') as a,
+        regexp_extract_all(lower(coalesce(a.text, '')), '[\\p{L}\\p{N}]+') as b
+      from conversations u left join conversations a on u.conv_id = a.conv_id and u.turn + 1 = a.turn and a.role = 'assistant'
+      where u.role = 'user')
 """
 
 
@@ -631,14 +632,14 @@ ORACLES["bleu"] = f"with {_ngrams(range(1, 5))}, {_bleu('p')} select pair_id, ro
 PURCHASES = """
 lines as (select l_orderkey, l_linenumber, sum(l_quantity) as q, min(l_returnflag) as flag from lineitem group by all),
 o as (select o_custkey as pair_id, case o_orderstatus when 'F' then 'a' else 'b' end as side, o_orderkey, o_orderpriority
-      from orders where o_orderstatus in ('F', 'O')),
+      from orders),
 ln as (select pair_id, side, l_orderkey, l_linenumber, flag || cast(floor(q / 10) as bigint) as label
        from lines join o on l_orderkey = o_orderkey),
 nodes as (select distinct pair_id, side, -1 as node_id, 'customer' as label from o
-          union all select pair_id, side, o_orderkey * 16, o_orderpriority from o
-          union all select pair_id, side, l_orderkey * 16 + l_linenumber + 1, label from ln),
-edges as (select pair_id, side, -1 as parent_id, o_orderkey * 16 as child_id, ':' || o_orderpriority as role from o
-          union all select pair_id, side, l_orderkey * 16, l_orderkey * 16 + l_linenumber + 1, ':line' || l_linenumber from ln)
+          union all select pair_id, side, o_orderkey * 4096, o_orderpriority from o
+          union all select pair_id, side, l_orderkey * 4096 + l_linenumber + 1, label from ln),
+edges as (select pair_id, side, -1 as parent_id, o_orderkey * 4096 as child_id, ':' || o_orderpriority as role from o
+          union all select pair_id, side, l_orderkey * 4096, l_orderkey * 4096 + l_linenumber + 1, ':line' || l_linenumber from ln)
 """
 ORACLES["smatch_triples"] = f"""with {PURCHASES}
 select pair_id, side, 'instance' as kind, count(*) as n from nodes group by all

@@ -262,7 +262,7 @@ def descendants(spark, sf):
 @query
 def adjacency(spark, sf):
     return G.adjacency(D.dag_edges(spark, sf)).select(
-        "doc_id", "node_id", F.array_join("neighbors", ",").alias("neighbors"))
+        "doc_id", "node_id", F.col("position").cast("long").alias("position"), "neighbor_id")
 
 
 @query
@@ -442,8 +442,16 @@ def roleset_match(spark, sf):
 
 # --- flow --------------------------------------------------------------------------
 
+def _hier(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Edges of the sales trees, written once, and the flow of their lines."""
+    edges = materialize(D.hier_edges(spark, sf), "hier-edges")
+    inflow = edges.where("weight is not null").select(
+        *KEY, F.col("child_id").alias("node_id"), F.col("weight").alias("capacity"))
+    return edges, W.saturated_flow(edges, inflow, D.hier_roots(spark, sf))
+
+
 def _hier_flows(spark, sf) -> DataFrame:
-    return W.saturated_flow(D.hier_edges(spark, sf), D.hier_inflow(spark, sf), D.hier_roots(spark, sf))
+    return _hier(spark, sf)[1]
 
 
 @query
@@ -451,24 +459,27 @@ def saturated_flow(spark, sf):
     return _hier_flows(spark, sf).select("doc_id", "child_id", "edge_type", _r("flow"))
 
 
-def _hier_fpn(spark, sf, mode: str = "fpn") -> DataFrame:
-    counts = W.descendant_counts(D.hier_edges(spark, sf), D.hier_roots(spark, sf))
-    return W.flow_per_node(_hier_flows(spark, sf), counts, mode)
+def _hier_fpn(spark, sf, mode: str = "fpn") -> tuple[DataFrame, DataFrame]:
+    """Flow per node, and the closure that it was counted with."""
+    edges, flows = _hier(spark, sf)
+    closure = materialize(G.descendants(edges), "hier-closure")
+    counts = W.descendant_counts(edges, D.hier_roots(spark, sf), closure)
+    return W.flow_per_node(flows, counts, mode), closure
 
 
 @query
 def flow_per_node(spark, sf):
-    return _hier_fpn(spark, sf).select("doc_id", "child_id", "edge_type", _r("flow"))
+    return _hier_fpn(spark, sf)[0].select("doc_id", "child_id", "edge_type", _r("flow"))
 
 
 @query
 def flow_normalized(spark, sf):
-    return _hier_fpn(spark, sf, "norm").select("doc_id", "child_id", _r("flow", 9))
+    return _hier_fpn(spark, sf, "norm")[0].select("doc_id", "child_id", _r("flow", 9))
 
 
 @query
 def flow_display(spark, sf):
-    return _hier_fpn(spark, sf, "vis").select("doc_id", "child_id", _r("flow", 9), _r("vis_flow"))
+    return _hier_fpn(spark, sf, "vis")[0].select("doc_id", "child_id", _r("flow", 9), _r("vis_flow"))
 
 
 @query
@@ -511,19 +522,18 @@ def flow_gaps(spark, sf):
 @query
 def flow_updates(spark, sf):
     """Role edges whose flow changes when small lines lose their capacity."""
-    first = _hier_flows(spark, sf)
-    less = D.hier_inflow(spark, sf).where("capacity > 5")
-    second = W.saturated_flow(D.hier_edges(spark, sf), less, D.hier_roots(spark, sf))
+    edges, first = _hier(spark, sf)
+    less = edges.where("weight > 5").select(
+        *KEY, F.col("child_id").alias("node_id"), F.col("weight").alias("capacity"))
+    second = W.saturated_flow(edges, less, D.hier_roots(spark, sf))
     return W.count_flow_updates(first, second).select("doc_id", "updates")
 
 
 @query
 def prune_subtrees(spark, sf):
-    """Lines that lose their alignment because an order or customer above is weak."""
-    fpn = _hier_fpn(spark, sf)
-    closure = G.descendants(D.hier_edges(spark, sf))
-    hit = W.prune_targets(fpn, closure, 15.0)
-    return hit.where("node_id like 'l%'").select("doc_id", "node_id")
+    """Everything at or below a weak order, customer or line."""
+    fpn, closure = _hier_fpn(spark, sf)
+    return W.prune_targets(fpn, closure, 15.0).select("doc_id", "node_id")
 
 
 @query
@@ -751,7 +761,7 @@ def corpus_summary(spark, sf):
 
 @query
 def corpus_fingerprint(spark, sf):
-    return K.corpus_fingerprint(D.table(spark, sf, "documents").select("doc_id", "lang", "source"))
+    return K.corpus_fingerprint(D.table(spark, sf, "documents"))
 
 
 @query
@@ -779,7 +789,7 @@ def several_corpora(spark, sf):
     parts = F.split("text", "\n", 2)
     rows = d.select(F.col("lang"), F.col("doc_id").cast("string").alias("id"), F.get(parts, F.lit(1)).alias("body"),
                     F.get(parts, F.lit(0)).alias("summary"))
-    langs = ["de", "en", "es", "fr"]
+    langs = [r["lang"] for r in d.select("lang").distinct().where("lang is not null").collect()]
     rows.write.partitionBy("lang").json(base)
     docs = K.read_corpora(spark, {x: f"{base}/lang={x}" for x in langs}, multi_line=False)
     return docs.groupBy("corpus").agg(

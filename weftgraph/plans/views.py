@@ -193,12 +193,12 @@ def conv_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conv_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user turn with the assistant turn that answers it."""
+    """Each user turn with the assistant turn that follows at once, or with an empty answer."""
     c = table(spark, sf_dir, "conversations")
     user = c.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("text_a"))
     answer = c.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("text_b"))
-    return user.join(answer, ["conv_id", "turn"]).select(
-        F.concat_ws("-", "conv_id", "turn").alias("pair_id"), "text_a", "text_b")
+    return user.join(answer, ["conv_id", "turn"], "left").select(
+        F.concat_ws("-", "conv_id", "turn").alias("pair_id"), "text_a", F.coalesce("text_b", F.lit("")).alias("text_b"))
 
 
 def doc_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,20 +237,24 @@ def conv_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 
 # --- purchase graph pairs ----------------------------------------------------
 
+LINE_IDS = 4096
+
+
 def purchase_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Per customer two labelled graphs: finished and open orders with their lines.
+    """Per customer two labelled graphs: finished orders and all others, with their lines.
 
     Node labels are the order priority and the line's return flag and quantity
     class; the role of a line is its number.  Returns nodes, edges and tops.
     """
-    o = table(spark, sf_dir, "orders").where("o_orderstatus in ('F', 'O')").select(
+    o = table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("pair_id"), "o_orderkey", "o_orderpriority",
         F.when(F.col("o_orderstatus") == "F", "a").otherwise("b").alias("side"))
     li = order_lines(spark, sf_dir).join(
         o.select("pair_id", "side", "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     keys = ["pair_id", "side"]
-    order_id = F.col("o_orderkey") * 16
-    line_id = order_id + F.col("l_linenumber") + 1
+    order_id = F.col("o_orderkey") * LINE_IDS
+    line_id = order_id + F.when(F.col("l_linenumber").between(0, LINE_IDS - 2), F.col("l_linenumber") + 1).otherwise(
+        F.raise_error(F.lit("line number out of range")).cast("int"))
     tops = o.select(*keys).distinct().withColumn("node_id", F.lit(-1).cast("long"))
     nodes = (tops.withColumn("label", F.lit("customer"))
              .unionByName(o.select(*keys, order_id.alias("node_id"), F.col("o_orderpriority").alias("label")))

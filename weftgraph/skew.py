@@ -1,4 +1,4 @@
-"""Joins of per-group totals that keep hot groups spread over many tasks."""
+"""Joins of per-group tables that keep hot groups spread over many tasks."""
 
 from __future__ import annotations
 
@@ -8,18 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALT = 16
+#: Rows of one key that a task takes; a key with more is split.
+HOT_ROWS = 1 << 20
 
 
 def join_salted(big: DataFrame, small: DataFrame, keys: Sequence[str],
                 spread: Sequence[str | Column], how: str = "inner",
-                salt: int = SALT) -> DataFrame:
+                salt: int | None = None) -> DataFrame:
     """Join a per-key table to the many rows of each key.
 
-    The many-rows side is split by a hash of ``spread`` and the per-key side
-    is repeated once per split, so one key that holds a third of the rows is
-    shared by ``salt`` tasks at least (and by more where AQE splits further).
+    Without ``salt`` this is a plain join: cold keys are not copied, and a partition that
+    a hot key makes large is split by adaptive execution, which may do so for every ``how``
+    here.  With ``salt``, for keys known to be hot, the many-rows side is split by a hash of
+    ``spread`` and the per-key side is repeated once per split.
     ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``.
     """
+    if salt is None:
+        return big.join(small, list(keys), how)
     spread_cols = [F.col(c) if isinstance(c, str) else c for c in spread]
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_cols), F.lit(salt)))
     right = small.withColumn(
@@ -28,10 +33,19 @@ def join_salted(big: DataFrame, small: DataFrame, keys: Sequence[str],
 
 
 def with_totals(big: DataFrame, keys: Sequence[str], totals: Sequence[Column],
-                spread: Sequence[str | Column], salt: int = SALT) -> DataFrame:
+                spread: Sequence[str | Column], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Group totals added to every row of the group.
 
-    Same result as a window over the whole group, but the totals are
-    pre-aggregated before the shuffle and no task holds a whole group.
+    Same result as a window over the whole group, but the totals are pre-aggregated before
+    the shuffle and no task holds a whole group: the rows of each key are counted with the
+    totals, and a key with more than ``hot_rows`` is split into that many parts.  Only hot
+    keys are copied; their list is broadcast and has at most ``rows / hot_rows`` entries.
     """
-    return join_salted(big, big.groupBy(*keys).agg(*totals), keys, spread, "inner", salt)
+    names = list(keys)
+    per = big.groupBy(*names).agg(*totals, F.ceil(F.count(F.lit(1)) / F.lit(hot_rows)).alias("_parts"))
+    hot = per.where("_parts > 1").select(*names, F.col("_parts").alias("_split"))
+    spread_cols = [F.col(c) if isinstance(c, str) else c for c in spread]
+    left = big.join(F.broadcast(hot), names, "left").withColumn(
+        "_salt", F.coalesce(F.pmod(F.xxhash64(*spread_cols), F.col("_split")), F.lit(0)).cast("long")).drop("_split")
+    right = per.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
+    return left.join(right, [*names, "_salt"]).drop("_salt")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftgraph.functions import text as X
+from weftgraph.lineage import materialize
 from weftgraph.schemas import DOCS
 
 # Sentence types and their codes (a summary, b body, o other).
@@ -16,21 +18,46 @@ PROXY_TYPES = {"summary": "a", "body": "b", "body subordinate": "b",
                "date": "o", "country": "o", "topic": "o"}
 
 
-def read_pairs_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Documents of a JSON corpus: ``doc_id, comment, body, summary``.
+def read_pairs(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Documents of a JSON corpus (``doc_id, comment, body, summary``) and failures.
 
-    A JSON array file is one row group to its reader; large corpora should be
-    JSON lines (``multi_line=False``), which are read in splits.
+    JSON lines are read in splits.  A JSON array (``multi_line``) is one record to its
+    reader, so one file is one task; large corpora should be lines.  A row that is no
+    document (cut off, of another type) is a failure that quotes its text.
     """
-    docs = spark.read.schema(DOCS).option("multiLine", multi_line).json(path)
-    return docs.withColumnRenamed("id", "doc_id")
+    schema = T.StructType([*DOCS.fields, T.StructField("_bad", T.StringType())])
+    rows = materialize(spark.read.schema(schema).option("multiLine", multi_line)
+                       .option("columnNameOfCorruptRecord", "_bad").json(path), "pairs")
+    failures = rows.where("_bad is not null").select(
+        F.coalesce("id", F.lit("?")).alias("doc_id"), F.lit("read").alias("stage"),
+        F.concat(F.lit("malformed document: "), F.substring("_bad", 1, 200)).alias("message"))
+    return rows.where("_bad is null").drop("_bad").withColumnRenamed("id", "doc_id"), failures
+
+
+def read_pairs_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """The documents of ``read_pairs``."""
+    return read_pairs(spark, path, multi_line)[0]
 
 
-def read_corpora(spark: SparkSession, paths: Mapping[str, str], multi_line: bool = True) -> DataFrame:
-    """Several corpora in one table, kept apart by ``corpus``."""
+Transform = Callable[[DataFrame], DataFrame]
+
+
+def read_corpora(spark: SparkSession, paths: Mapping[str, str], multi_line: bool = True,
+                 transforms: Mapping[str, Transform] | None = None) -> DataFrame:
+    """Several corpora in one table, kept apart by ``corpus``.
+
+    ``transforms`` names a function of the documents for corpora that need one (other
+    spellings, merged fields); it runs before the corpora are put together.
+    """
+    unknown = set(transforms or {}) - set(paths)
+    if unknown:
+        raise ValueError(f"transforms of unknown corpora: {sorted(unknown)}")
     out = None
     for name, path in paths.items():
-        part = read_pairs_json(spark, path, multi_line).withColumn("corpus", F.lit(name))
+        part = read_pairs_json(spark, path, multi_line)
+        if transforms and name in transforms:
+            part = transforms[name](part)
+        part = part.withColumn("corpus", F.lit(name))
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no corpus given")
@@ -93,8 +120,8 @@ def filter_keys(df: DataFrame, keys: str | None) -> tuple[DataFrame, DataFrame]:
     wanted = (spark.range(1).select(F.explode(F.regexp_extract_all(
         F.lit(keys), F.lit(r"[^,\s]+"), F.lit(0))).alias("_key")).distinct())
     key = F.col("doc_id").cast("string")
-    kept = df.withColumn("_key", key).join(F.broadcast(wanted), "_key", "left_semi").drop("_key")
-    known = df.select(key.alias("_key")).join(F.broadcast(wanted), "_key", "left_semi").distinct()
+    kept = df.withColumn("_key", key).join(wanted, "_key", "left_semi").drop("_key")
+    known = df.select(key.alias("_key")).join(wanted, "_key", "left_semi").distinct()
     unknown = wanted.join(known, "_key", "left_anti").select(
         F.col("_key").alias("doc_id"), F.lit("filter").alias("stage"),
         F.lit("no document with this id").alias("message"))

@@ -91,10 +91,13 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """Blocks of a text corpus with metadata and graph text, read in splits.
 
-    Compressed files are read as they are.  A block without a graph (a header
+    Compressed files are read as they are.  A block ends at a line that is empty or has
+    only blanks; line ends may be CRLF.  A file is read in splits at its ``\\n\\n``; one
+    that has none (CRLF) is a single split.  A block without a graph (a header
     comment) is left out.
     """
-    raw = spark.read.option("lineSep", "\n\n").text(path)
+    chunks = spark.read.option("lineSep", "\n\n").text(path)
+    raw = chunks.select(F.explode(F.split("value", r"\n[ \t\r]*\n")).alias("value"))
     lines = F.split(F.regexp_replace("value", r"\r", ""), "\n")
     parts = raw.select(
         F.array_join(F.filter(lines, lambda s: s.startswith("#")), "\n").alias("head"),
@@ -144,9 +147,27 @@ def block_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("value"))
 
 
-def write_graph_corpus(docs: DataFrame, path: str) -> None:
-    """Write the block-text corpus once; an existing target is left as it is."""
+def write_graph_corpus(docs: DataFrame, path: str, stale: tuple[str, ...] = ()) -> bool:
+    """Write the block-text corpus once; an existing target is left as it is.
+
+    Where it is written anew, results that were computed from an older version
+    (``stale``: their paths) are dropped.  Tells whether it was written.
+    """
+    spark = docs.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def at(name: str):
+        where = jvm.org.apache.hadoop.fs.Path(name)
+        return where.getFileSystem(conf), where
+
+    fs, target = at(path)
+    if fs.exists(target):
+        return False
+    for name in stale:
+        old_fs, old = at(name)
+        old_fs.delete(old, True)
     block_text(docs).write.mode("ignore").text(path)
+    return True
 
 
 def merge_annotations(amrs: DataFrame, aligns: DataFrame) -> tuple[DataFrame, DataFrame]:
