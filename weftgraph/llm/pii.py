@@ -228,8 +228,10 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", add_
     least = math.log(add_from / (1 - add_from))
 
     def likely(s):
+        # what breaks the rule of its kind (check sum, ranges) teaches, but is never added
+        broken = F.element_at(F.split(s["votes"], ","), 2) == "-1"
         names = F.concat(s["features"], F.array(F.concat(F.substring_index(s["votes"], ",", 1), F.lit("|prior"))))
-        return F.aggregate(names, F.lit(0.0), lambda total, f: total + _lookup(weights, f)) >= least
+        return ~broken & (F.aggregate(names, F.lit(0.0), lambda total, f: total + _lookup(weights, f)) >= least)
 
     base = F.filter("spans", lambda s: s["stays"])
     placed = spans.withColumn("base", base)
