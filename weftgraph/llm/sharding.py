@@ -27,6 +27,8 @@ SHARDS = 40
 ROW_BYTES = 16
 #: Bound on the runs of group ends that one refinement brings to the driver.
 CELLS = 1 << 16
+#: Ranges of positions that one refinement asks for.
+RANGES = 100
 
 
 class Ends:
@@ -74,9 +76,14 @@ class Ends:
         self.open = set()
         if not todo:
             return False
-        ranges = [(self.runs[i][0], self.runs[i][1]) for i in todo]
-        width = max(1, -(-sum(b - a for a, b in ranges) // self.cells))
-        gone = set(todo)
+        # a range for each; beyond RANGES of them those with the narrowest gaps are joined
+        gap = lambda i: self.runs[todo[i]][0] - self.runs[todo[i - 1]][1]
+        edges = [0, *sorted(sorted(range(1, len(todo)), key=gap, reverse=True)[:RANGES - 1]), len(todo)]
+        spans = [(todo[i], todo[j - 1]) for i, j in zip(edges, edges[1:])]
+        ranges = [(self.runs[i][0], self.runs[j][1]) for i, j in spans]
+        gone = {k for i, j in spans for k in range(i, j + 1)}
+        # more cells than runs that they replace, so that every refinement gets on
+        width = max(1, -(-sum(b - a for a, b in ranges) // max(self.cells, 4 * len(gone))))
         self._set([r for i, r in enumerate(self.runs) if i not in gone] + list(self.summary(ranges, width)))
         return True
 
@@ -105,15 +112,13 @@ def minimax_cuts(ends: Ends, shards: int) -> tuple[int, list[int]]:
     if ends.total <= 0:
         return 0, [0] * (shards - 1)
     while True:
-        # a walk that stops too early finds a capacity that suffices, one that goes too
-        # far a capacity that is needed; only the runs on these two walks are refined
+        # a walk that stops too early finds a capacity that suffices, one that goes too far a
+        # capacity that is needed; at the latter the two walks part at an undecided run
         high, low = _least(ends, shards, False), _least(ends, shards, True)
         ends.open = set()
-        at = [0.0, 0.0]
-        for _ in range(shards):
-            at = [ends.before(at[0] + low), ends.before(at[1] + high, True)]
-            first, last = bisect.bisect_left(ends.low, at[0]), bisect.bisect_right(ends.low, at[1])
-            ends.open.update(range(max(0, first - 1), last))
+        for capacity in (low, high):
+            _fits(ends, capacity, shards, False)
+            _fits(ends, capacity, shards, True)
         if low < high and ends.refine():
             continue
         ends.open = set()
@@ -161,7 +166,7 @@ def shard_groups(groups: DataFrame, shards: int = SHARDS, cells: int = CELLS) ->
         inside = placed
         if ranges is not None:
             some = F.lit(False)
-            for a, b in _joined(ranges):
+            for a, b in ranges:
                 some = some | F.col("end").between(int(a), int(b))
             inside = placed.where(some)
         cells_of = inside.groupBy(F.floor((F.col("end") - 1) / F.lit(int(width))).alias("_cell"))
@@ -174,17 +179,6 @@ def shard_groups(groups: DataFrame, shards: int = SHARDS, cells: int = CELLS) ->
             .unionByName(placed.select("digest", shard.cast("int").alias("shard"))))
 
 
-def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Touching ranges as one, so that a filter names few of them."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(ranges):
-        if out and a <= out[-1][1] + 1:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS,
           cells: int = CELLS) -> DataFrame:
     """One row per document: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``.
