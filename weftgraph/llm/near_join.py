@@ -42,7 +42,7 @@ QUERIES = 512
 FREQUENT_FROM, FREQUENT = 24, 1 << 18
 #: A set that may miss k of its tokens has to show ``1 + k // SPARE`` common ones.
 SPARE = 5
-WORDS_HELD = 1 << 20
+WORDS_HELD = 1 << 17
 
 
 class WordHashes(dict):
