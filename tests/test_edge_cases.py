@@ -15,7 +15,7 @@ from weftgraph.operators import graph as G
 from weftgraph.operators import maxflow as M
 from weftgraph.operators import results as R
 from weftgraph.operators import scoring as E
-from weftgraph.plans.align import align
+from weftgraph.plans.align import StepSets, align
 from weftgraph.settings import AlignSettings
 from weftgraph.sources import corpus as K
 from weftgraph.sources import graph_text as T
@@ -135,6 +135,13 @@ def test_documents_stopped_by_the_loop_limit_are_marked(spark):
     assert [(r.loops, r.converged) for r in short.loops.collect()] == [(1, False)]
 
 
+def test_steps_are_switched_by_name():
+    steps = StepSets().switched(prune=False)
+    assert [x.enabled for x in steps.loop] == [True, False] and steps.construct == StepSets().construct
+    with pytest.raises(ValueError):
+        StepSets().switched(unknown=True)
+
+
 def test_missing_scores_are_nan_in_every_numeric_column(spark):
     pairs = spark.createDataFrame([("p",), ("q",)], "pair_id string")
     some = lambda p: p.where("pair_id = 'p'").select("pair_id", F.lit(1).alias("whole"), F.lit(0.5).alias("part"))

@@ -10,7 +10,8 @@ SF = "/root/testdata/sf0.001"
 QUICK = ["bipartite_pairs", "pair_cosine", "mean_vector", "top_alignments", "reverse_edges", "adjacency", "assign_ids",
          "text_graph_counts", "token_spans", "sentence_index", "graph_corpus_roundtrip", "parse_role", "relation_match",
          "network_edges", "node_counts", "split_components", "merge_annotations", "filter_keys", "corpus_fingerprint",
-         "several_corpora", "bleu", "smatch_triples"]
+         "several_corpora", "bleu", "smatch_triples", "rouge_l", "variable_relations", "role_label_failures",
+         "summary_terminals", "max_flow_edges", "aligned_without_pruning", "align_one"]
 
 
 @pytest.fixture(scope="module")

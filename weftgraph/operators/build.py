@@ -7,11 +7,12 @@ the same on every run and need no numbering over a whole document:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text as X
 from weftgraph.functions.roles import is_roleset, parse_role
+from weftgraph.lineage import materialize
 from weftgraph.operators.graph import KEY
 from weftgraph.skew import join_salted
 
@@ -209,12 +210,31 @@ def text_sentences(texts: DataFrame) -> DataFrame:
         .select(*KEY, sentence_number(F.col("part_ix"), F.col("pos")).alias("sent_ix"), "text")
 
 
+def _before(lengths: Column, blocks: Column, width: Column, i: Column) -> Column:
+    """Sum of the first i entries, by the sums of blocks of ``width`` entries."""
+    def add(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), lambda x, y: x + y)
+
+    full = F.floor(i / width).cast("int")
+    return add(F.slice(blocks, 1, F.least(full, F.size(blocks)))) + add(F.slice(lengths, full * width + 1, i % width))
+
+
 def text_tokens(sentences: DataFrame) -> DataFrame:
-    """Token rows with character spans in the single-spaced sentence."""
-    tokens = sentences.select(*SENT, F.posexplode(X.tokenize(F.col("text"))).alias("ix", "norm"))
-    before = Window.partitionBy(*SENT).orderBy("ix").rowsBetween(Window.unboundedPreceding, -1)
-    begin = F.coalesce(F.sum(F.length("norm") + 1).over(before), F.lit(0)).cast("int")
-    return (tokens.withColumn("begin", begin)
+    """Token rows with character spans in the single-spaced sentence.
+
+    The spans are running sums inside the sentence's own array (by blocks of the square
+    root of its size, for sentences of any length), so nothing is shuffled.
+    """
+    lengths, blocks = F.col("_len"), F.col("_block")
+    width = F.ceil(F.sqrt(F.size(lengths).cast("double") + 1)).cast("int")
+    count = F.floor(F.size(lengths) / width).cast("int")
+    rows = (sentences.select(*SENT, X.tokenize(F.col("text")).alias("_toks"))
+            .withColumn("_len", F.transform("_toks", lambda t: F.length(t) + 1))
+            .withColumn("_block", F.transform(F.sequence(F.lit(0), count), lambda b: F.aggregate(
+                F.slice(lengths, b * width + 1, width), F.lit(0), lambda x, y: x + y)))
+            .withColumn("_begin", F.transform("_toks", lambda _, i: _before(lengths, blocks, width, i))))
+    return (rows.select(*SENT, F.posexplode(F.arrays_zip("_toks", "_begin")).alias("ix", "t"))
+            .select(*SENT, "ix", F.col("t._toks").alias("norm"), F.col("t._begin").alias("begin"))
             .withColumn("end", F.col("begin") + F.length("norm")))
 
 
@@ -224,8 +244,9 @@ def text_graph(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     Words are concepts and numbers attributes; the tables are those of
     ``build_graph``, so every later operator runs on plain text as well.
     """
-    sentences = text_sentences(texts)
-    tokens = sentences.select(*SENT, F.posexplode(X.tokenize(F.col("text"))).alias("ix", "norm"))
+    # cut and tokenised once; nodes and edges are read from the written sentences
+    sentences = materialize(text_sentences(texts).withColumn("_toks", X.tokenize(F.col("text"))), "text-sentences")
+    tokens = sentences.select(*SENT, F.posexplode("_toks").alias("ix", "norm"))
     is_number = F.col("norm").rlike(X.NUMBER_PATTERN)
     token_id = inner_id(F.col("sent_ix"), F.col("ix"))
     token_nodes = tokens.select(

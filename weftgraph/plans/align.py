@@ -11,7 +11,9 @@ maximum flow with its repair in every round.  Documents that have settled leave
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -216,9 +218,48 @@ def prune_step(state: DataFrame, flows: DataFrame, net: Network, component: str,
                                      settings.role_min_flow, settings.capacity_min)
 
 
-# state -> state steps that follow the flow computation of each direction
-CONSTRUCT_STEPS: tuple[Step, ...] = (clamp_step,)
-LOOP_STEPS: tuple[Step, ...] = (clamp_step, prune_step)
+def remove_step(state: DataFrame, flows: DataFrame | None, net: Network, component: str | None,
+                settings: AlignSettings) -> DataFrame:
+    return W.remove_alignments(state, settings.capacity_min)
+
+
+@dataclass(frozen=True)
+class NamedStep:
+    """A step of the program: ``enabled`` runs it, ``updates`` keeps a document in the loop
+    while the step changes capacities of its alignments."""
+
+    name: str
+    run: Step
+    enabled: bool = True
+    updates: bool = False
+
+
+@dataclass(frozen=True)
+class StepSets:
+    """The program as three sets: once after the first flow of each direction, after every
+    flow of the loop, and at the end."""
+
+    construct: tuple[NamedStep, ...] = (NamedStep("clamp", clamp_step),)
+    loop: tuple[NamedStep, ...] = (NamedStep("clamp", clamp_step), NamedStep("prune", prune_step))
+    finish: tuple[NamedStep, ...] = (NamedStep("remove", remove_step),)
+
+    def switched(self, **enabled: bool) -> "StepSets":
+        """The same sets with the named steps switched on or off."""
+        names = {x.name for part in (self.construct, self.loop, self.finish) for x in part}
+        if set(enabled) - names:
+            raise ValueError(f"unknown steps: {sorted(set(enabled) - names)}")
+        return StepSets(*[tuple(replace(x, enabled=enabled.get(x.name, x.enabled)) for x in part)
+                          for part in (self.construct, self.loop, self.finish)])
+
+
+ALIGNED_PAIR = ["doc_id", "src_node", "smy_node", "rel_id"]
+
+
+def _changed_documents(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Documents of which an alignment has another capacity than before."""
+    old = before.select(*[F.col(c).alias(f"_{c}") for c in ALIGNED_PAIR], F.col("capacity").alias("_old"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ALIGNED_PAIR])
+    return after.join(old, same).where("not (capacity <=> _old)").select("doc_id").distinct()
 
 
 def _raw(flows: DataFrame) -> DataFrame:
@@ -227,7 +268,7 @@ def _raw(flows: DataFrame) -> DataFrame:
 
 def align(nodes: DataFrame, edges: DataFrame, align_edges: DataFrame,
           settings: AlignSettings = AlignSettings(), coref: DataFrame | None = None,
-          construct: tuple[Step, ...] = CONSTRUCT_STEPS, loop: tuple[Step, ...] = LOOP_STEPS) -> Alignment:
+          steps: StepSets = StepSets()) -> Alignment:
     """Align all documents.
 
     ``align_edges`` has ``doc_id, src_node, smy_node, sim, capacity``.  Each loop
@@ -249,8 +290,9 @@ def align(nodes: DataFrame, edges: DataFrame, align_edges: DataFrame,
     for component in DIRECTIONS:
         flows = materialize(maxflow(live, state, component), "flows")
         previous[component] = flows
-        for step in construct:
-            state = step(state, flows, live, component, settings)
+        for step in steps.construct:
+            if step.enabled:
+                state = step.run(state, flows, live, component, settings)
     state = materialize(state.withColumn("quiet", F.lit(0)), "align-state")
     settled, final_flows, taken = [], [], []
 
@@ -266,8 +308,12 @@ def align(nodes: DataFrame, edges: DataFrame, align_edges: DataFrame,
             flows_now[component] = flows
             changed = W.count_flow_updates(_raw(previous[component]), _raw(flows))
             updates = changed if updates is None else updates.unionByName(changed)
-            for step in loop:
-                work = step(work, flows, live, component, settings)
+            for step in steps.loop:
+                if step.enabled:
+                    before, work = work, step.run(work, flows, live, component, settings)
+                    if step.updates:
+                        updates = updates.unionByName(_changed_documents(before, work).withColumn(
+                            "updates", F.lit(1).cast("long")))
         # a document without role edges or alignments has no row here and is quiet
         loud = updates.groupBy("doc_id").agg(F.sum("updates").alias("n")).where("n > 0").select("doc_id")
         loud = loud.withColumn("_loud", F.lit(True))
@@ -299,7 +345,10 @@ def align(nodes: DataFrame, edges: DataFrame, align_edges: DataFrame,
     aligned = settled[0]
     for part in settled[1:]:
         aligned = aligned.unionByName(part)
-    aligned = W.remove_alignments(aligned.drop("quiet"), settings.capacity_min)
+    aligned = aligned.drop("quiet")
+    for step in steps.finish:
+        if step.enabled:
+            aligned = step.run(aligned, None, net, None, settings)
     flows = final_flows[0]
     for part in final_flows[1:]:
         flows = flows.unionByName(part)

@@ -296,6 +296,22 @@ select doc_id, round(sum(capacity), 6) as value, coalesce(max(n), 0) as n_reentr
   select doc_id, count(*) as n from (
     select doc_id, child_id from partedges group by all having count(*) > 1) group by all) using (doc_id)
 group by doc_id"""
+EVEN = SUMMARY + """,
+tot as (select doc_id, src_node, sum(capacity) as c from al group by all),
+shares as (select p.*, c / count(*) over (partition by p.doc_id, p.child_id) as flow
+           from partedges p join tot on tot.doc_id = p.doc_id and tot.src_node = p.child_id)
+"""
+ORACLES["max_flow_edges"] = f"with {EVEN} select doc_id, edge_id, round(flow, 6) as flow from shares"
+ORACLES["repaired_edge_flows"] = f"""with {EVEN},
+up as (select doc_id, parent_id, sum(flow) as f from shares group by all),
+tops as (select t.doc_id, t.child_id, t.parent_id, coalesce(f, 0.0) as flow from toporders t
+         left join up on up.doc_id = t.doc_id and up.parent_id = t.child_id)
+select doc_id, child_id as from_id, parent_id as to_id, round(flow, 6) as flow from shares
+union all select doc_id, child_id, parent_id, round(flow, 6) from tops
+union all select doc_id, parent_id, 'T', round(sum(flow), 6) from tops group by all"""
+ORACLES["summary_terminals"] = f"""with {SUMMARY}
+select distinct doc_id, 'summary:' || smy_node as from_key, 'T' as to_key from sline
+union all select distinct doc_id, 'S', 'source:' || parent_id from toporders"""
 ORACLES["network_edges"] = f"""with {SUMMARY},
 parts as (
   select 'sentence' as edge_type, doc_id from toporders
@@ -382,6 +398,20 @@ select f.doc_id, f.name, f.s_attr || ' ' || f.s_id as s_descr,
        f.s_id, f.t_id, f.s_attr, f.t_attr, f.edge_type, round(f.flow, 6) as flow, false as reentrancy,
        round(coalesce(af, 0.0), 6) as align_flow, coalesce(ac, 0) as align_count
 from fl f left join tot on tot.doc_id = f.doc_id and tot.name = f.name and tot.t_id = f.t_id"""
+ORACLES["aligned_without_pruning"] = f"""with {EMB}
+select doc_id, src_node, smy_node, round(sim, 6) as capacity from pairs where sim > 0.1"""
+ORACLES["align_one"] = f"""with {LOOP}
+select doc_id, src_node, smy_node, round(cap, 6) as capacity from al where doc_id = (select min(doc_id) from emb)"""
+ORACLES["corpus_report"] = f"""with {LOOP}
+select doc_id, component as name, case edge_type when 'terminal' then 'role' else 'role' end as edge_type, count(*) as n,
+       round(sum(flow), 5) as flow from ef group by all
+union all select doc_id, 'source', 'align', count(*), round(sum(cap), 5) from al group by all
+union all select doc_id, 'summary', 'align', count(*), round(sum(cap), 5) from al group by all"""
+ORACLES["align_loops"] = f"with {EMB} select distinct doc_id, true as converged from emb"
+ORACLES["written_results"] = f"""with {LOOP},
+k as (select doc_id, count(*) as n from ef group by all), a as (select doc_id, 2 * count(*) as n from al group by all)
+select doc_id, taligned as tot_aligned, talignable as tot_alignable, k.n + coalesce(a.n, 0) as n_flows
+from agg join k using (doc_id) left join a using (doc_id)"""
 ORACLES["root_flow"] = f"with {LOOP} select doc_id, component, round(root_flow, 6) as root_flow from con"
 ORACLES["connected_stats"] = f"""with {LOOP}
 select doc_id, component, alignable, aligned, round(aligned / alignable, 6) as aligned_portion from con"""
@@ -526,8 +556,25 @@ known as (select distinct base || '-01' as id from p where p_size > 25),
 named as (select node_id, base || case when p_size % 2 = 0 then '-01' else '' end as instance from p)
 select node_id, instance, id as roleset_id from named left join known on id = instance"""
 
+ORDER_LINES = """
+li as (select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by l_linenumber) - 1 as i
+       from (select distinct l_orderkey, l_linenumber from lineitem) where l_orderkey in (select o_orderkey from orders))
+"""
+ORACLES["variable_relations"] = f"""with {ORDER_LINES}
+select l_orderkey as doc_id, cast((1 << 24) + 1 as bigint) as parent_id, (1 << 24) + 2 + 2 * i as child_id, ':line' || l_linenumber as role,
+       'line' as role_prefix, cast(l_linenumber as int) as role_index from li"""
+ORACLES["role_label_failures"] = f"""with {ORDER_LINES}
+select l_orderkey as doc_id, 'role' as stage, 'role must start with a colon: ' || min('line' || l_linenumber) as message
+from li where ':line' || l_linenumber > ':line3' group by all"""
+
 # --- corpora ---------------------------------------------------------------------------------------
 
+ORACLES["written_corpus"] = """with d as (
+  select lang, string_split(text, chr(10)) as lines from documents),
+c as (select lang, count(*) as n, cast(sum(len(lines)) as bigint) as n_lines,
+             cast(sum(list_sum(list_transform(lines, lambda x: length(x)))) as bigint) as n_chars from d group by all)
+select f as format, c.* from c, (select unnest(['txt', 'csv', 'json']) as f)"""
+
 ORACLES["corpus_keys"] = "select distinct conv_id as doc_id from conversations"
 ORACLES["doc_keys"] = """select 'PROXY_AFP_ENG_' || conv_id || '_1.' || turn as sent_id, conv_id || '_1' as doc_id,
   cast(turn as bigint) as sent_no from conversations"""
@@ -588,22 +635,22 @@ p as (select u.conv_id || '-' || (u.turn + 1) as pair_id, regexp_extract_all(low
 """
 
 
-def _ngrams(orders: range) -> str:
+def _ngrams(orders: range, pairs: str = TEXT_PAIRS) -> str:
     parts = []
     for side in ("a", "b"):
         for n in orders:
             parts.append(f"""select pair_id, '{side}' as side, {n} as n,
  unnest(case when len({side}) >= {n} then list_transform(range(1, len({side}) - {n - 1} + 1),
    lambda i: array_to_string({side}[i:i + {n - 1}], ' ')) else [] end) as gram from p""")
-    return TEXT_PAIRS + ", grams as (" + " union all ".join(parts) + """),
+    return pairs + ", grams as (" + " union all ".join(parts) + """),
 per as (select pair_id, n, gram, count(*) filter (where side = 'a') as ca, count(*) filter (where side = 'b') as cb
         from grams group by all),
 m as (select pair_id, n, sum(least(ca, cb)) as match, sum(ca) as ta, sum(cb) as tb from per group by all)"""
 
 
-def _rouge_columns() -> str:
+def _rouge_columns(orders: range = range(1, 10)) -> str:
     out = []
-    for n in range(1, 10):
+    for n in orders:
         def at(c: str) -> str:
             return f"coalesce(max({c}) filter (where n = {n}), 0)"
         pr = f"(case when {at('ta')} > 0 then {at('match')} / {at('ta')} else 0.0 end)"
@@ -629,6 +676,21 @@ sc as (select p.pair_id, case when coalesce(max(match) filter (where n = 1), 0)
 
 ORACLES["bleu"] = f"with {_ngrams(range(1, 5))}, {_bleu('p')} select pair_id, round(bleu, 6) as bleu from sc"
 
+ORACLES["score_batch"] = f"""with {_ngrams(range(1, 5))}, {_bleu('p')}
+select p.pair_id, {_rouge_columns(range(1, 3))},
+       round(any_value(bleu), 6) as bleu from p left join m using (pair_id) left join sc using (pair_id) group by p.pair_id"""
+ORACLES["rouge_l"] = f"""with recursive {TEXT_PAIRS},
+dp as (
+  select pair_id, a, b, 0 as i, list_transform(a, lambda x: 0) as r from p
+  union all
+  select pair_id, a, b, i + 1, list_transform(range(1, len(a) + 1), lambda j: list_max(list_transform(range(1, j + 1),
+    lambda t: greatest(r[t], case when t > 1 then r[t - 1] else 0 end + case when a[t] = b[i + 1] then 1 else 0 end))))
+  from dp where i < len(b)),
+l as (select pair_id, cast(coalesce(r[len(a)], 0) as double) as l, len(a) as na, len(b) as nb from dp where i = len(b)),
+pr as (select pair_id, case when na > 0 then l / na else 0.0 end as pr, case when nb > 0 then l / nb else 0.0 end as re from l)
+select pair_id, round(pr, 6) as "rougeL_precision", round(re, 6) as "rougeL_recall",
+       round(case when pr + re > 0 then 2 * pr * re / (pr + re) else 0.0 end, 6) as "rougeL_f_score" from pr"""
+
 PURCHASES = """
 lines as (select l_orderkey, l_linenumber, sum(l_quantity) as q, min(l_returnflag) as flag from lineitem group by all),
 o as (select o_custkey as pair_id, case o_orderstatus when 'F' then 'a' else 'b' end as side, o_orderkey, o_orderpriority
@@ -772,3 +834,37 @@ select c.doc_id, component, round(hm, 6) as agg_aligned_portion_hmean, round(mf,
        round(taligned / talignable, 6) as agg_aligned_portion, cast(0 as bigint) as agg_reentrancies,
        round(root_flow, 6) as root_flow, alignable, aligned, round(aligned / alignable, 6) as aligned_portion,
        cast(0 as bigint) as reentrancies from con c join agg using (doc_id)"""
+
+
+def _scored_columns() -> str:
+    out = []
+    for c in ("source", "summary"):
+        at = f"filter (where con.component = '{c}')"
+        zero = "cast(0 as double)"
+        out += [f"round(max(aligned / alignable) {at}, 6) as {c}_aligned_portion", f"round(max(root_flow) {at}, 6) as {c}_root_flow",
+                f"{zero} as {c}_reentrancies", f"{zero} as {c}_relations", f"cast(1 as double) as {c}_node_doc_count",
+                f"cast(max(ns) {at} as double) as {c}_node_sentence_count", f"cast(max(nc) {at} as double) as {c}_node_concept_count",
+                f"cast(max(na) {at} as double) as {c}_node_attribute_count", f"{zero} as {c}_edge_doc_count",
+                f"cast(max(ns) {at} as double) as {c}_edge_sentence_count",
+                f"cast(max(nc + na) {at} as double) as {c}_edge_role_count"]
+    return ", ".join(out)
+
+
+def _side(role: str) -> str:
+    return (f"regexp_extract_all(lower(string_agg(text, ' ' order by turn) filter (where role = '{role}')), "
+            "'[\\p{L}\\p{N}]+')")
+
+
+SIDES_AS_PAIRS = f"""
+p as (select conv_id as pair_id, {_side('user')} as a, {_side('assistant')} as b from conversations group by conv_id
+      having count(*) filter (where role = 'user' and text <> '') > 0 and count(*) filter (where role = 'assistant' and text <> '') > 0)
+"""
+ORACLES["score_pairs"] = f"""with {_conversation_loop()},
+cnt as (select doc_id, component, count(*) as ns, sum(len(list_filter(toks, lambda t: not regexp_full_match(t, '[0-9]+')))) as nc,
+               sum(len(list_filter(toks, lambda t: regexp_full_match(t, '[0-9]+')))) as na from tokens group by all),
+one as (select con.doc_id as pair_id, round(max(mf), 6) as agg_mean_flow,
+               round(max(taligned / talignable), 6) as agg_aligned_portion, cast(0 as double) as bipartite_relations, {_scored_columns()}
+        from con join agg using (doc_id) join cnt on cnt.doc_id = con.doc_id and cnt.component = con.component group by con.doc_id),
+{_ngrams(range(1, 3), SIDES_AS_PAIRS)},
+two as (select p.pair_id, {_rouge_columns(range(1, 3))} from p left join m using (pair_id) group by p.pair_id)
+select * from one join two using (pair_id)"""

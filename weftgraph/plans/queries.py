@@ -21,10 +21,13 @@ from weftgraph.operators import results as R
 from weftgraph.operators import scoring as E
 from weftgraph.operators import similarity as S
 from weftgraph.plans import views as D
-from weftgraph.plans.align import Alignment, align
+from weftgraph.plans.align import Alignment, StepSets, align
+from weftgraph.plans.align import align_one as align_one_document
+from weftgraph.plans.score import score_pairs as score_pairs_of
 from weftgraph.settings import AlignSettings
 from weftgraph.sources import corpus as K
 from weftgraph.sources import graph_text as T
+from weftgraph.sources import sinks
 from weftgraph.streaming.incremental import missing_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -574,6 +577,38 @@ def max_flow_value(spark, sf):
         F.col("doc_id").cast("long").alias("doc_id"), _r("value"))
 
 
+@query
+def max_flow_edges(spark, sf):
+    """Maximum flow of every order-part edge of the purchases."""
+    flows = M.max_flow(_dag_network(spark, sf)).where("component = 'source' and edge_type = 'role'")
+    return flows.select(F.col("doc_id").cast("long").alias("doc_id"), "edge_id", _r("flow"))
+
+
+@query
+def repaired_edge_flows(spark, sf):
+    """The same after the repair, with the edges into the sink."""
+    n2, e2, align_edges = D.dag_summary(spark, sf)
+    nodes = D.dag_nodes(spark, sf).unionByName(n2)
+    edges = D.dag_edges(spark, sf).unionByName(e2)
+    flows, _ = M.repair_reentrancies(nodes, edges, align_edges, "source")
+    kept = flows.where((F.col("component") == "source") | (F.col("to_key") == W.SINK_TERMINAL))
+    return kept.select(F.col("doc_id").cast("long").alias("doc_id"),
+                       F.regexp_replace("from_key", "^source:", "").alias("from_id"),
+                       F.regexp_replace("to_key", "^source:", "").alias("to_id"), _r("flow"))
+
+
+@query
+def summary_terminals(spark, sf):
+    """A network with another terminal builder: every leaf of the summary is drained."""
+    def forward(nodes, edges, component):
+        return W.add_terminals(nodes, edges, None)
+
+    n2, e2, align_edges = D.dag_summary(spark, sf)
+    net = W.build_network(D.dag_nodes(spark, sf).unionByName(n2), D.dag_edges(spark, sf).unionByName(e2),
+                          align_edges, "source", terminals=forward)
+    return net.where("edge_type = 'terminal'").select("doc_id", "from_key", "to_key")
+
+
 @query
 def network_edges(spark, sf):
     return _dag_network(spark, sf).groupBy("edge_type").agg(
@@ -597,11 +632,11 @@ def repaired_reentrancies(spark, sf):
 EMB_SETTINGS = AlignSettings(similarity_threshold=D.EMB_THRESHOLD)
 
 
-def _emb_alignment(spark, sf) -> Alignment:
+def _emb_alignment(spark, sf, steps: StepSets = StepSets()) -> Alignment:
     nodes, edges = D.emb_tree(spark, sf)
     pairs = materialize(_pairs(spark, sf).select("doc_id", "src_node", "smy_node", "sim",
                                                  F.col("sim").alias("capacity")), "emb-pairs")
-    return align(materialize(nodes, "emb-nodes"), materialize(edges, "emb-edges"), pairs, EMB_SETTINGS)
+    return align(materialize(nodes, "emb-nodes"), materialize(edges, "emb-edges"), pairs, EMB_SETTINGS, steps=steps)
 
 
 @query
@@ -609,6 +644,13 @@ def aligned_edges(spark, sf):
     return _emb_alignment(spark, sf).align_edges.select("doc_id", "src_node", "smy_node", _r("capacity"))
 
 
+@query
+def aligned_without_pruning(spark, sf):
+    """The program with one of its steps switched off."""
+    out = _emb_alignment(spark, sf, StepSets().switched(prune=False))
+    return out.align_edges.select("doc_id", "src_node", "smy_node", _r("capacity"))
+
+
 @query
 def aligned_flows(spark, sf):
     return _emb_alignment(spark, sf).edge_flows.select("doc_id", "component", "child_id", "edge_type", _r("flow"))
@@ -691,8 +733,98 @@ def result_status(spark, sf):
     return R.result_status(docs, failures).select("doc_id", "status", F.col("failure.message").alias("message"))
 
 
+@query
+def align_one(spark, sf):
+    """The first document of the vectors aligned by itself."""
+    nodes, edges = D.emb_tree(spark, sf)
+    pairs = _pairs(spark, sf).select("doc_id", "src_node", "smy_node", "sim", F.col("sim").alias("capacity"))
+    first = nodes.agg(F.min("doc_id")).first()[0]
+    out = align_one_document(nodes, edges, pairs, first, EMB_SETTINGS)
+    return out.align_edges.select("doc_id", "src_node", "smy_node", _r("capacity"))
+
+
+@query
+def corpus_report(spark, sf):
+    """Flows of all vector documents as a report: rows and flow per edge type."""
+    flows = R.corpus_report(_emb_alignment(spark, sf).flows())
+    return flows.groupBy("doc_id", "name", "edge_type").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("flow"), 5).alias("flow"))
+
+
+@query
+def align_loops(spark, sf):
+    """Whether every vector document settled by itself."""
+    return _emb_alignment(spark, sf).loops.select("doc_id", "converged")
+
+
+# --- parsed graphs of the orders -------------------------------------------------------
+
+def _order_graphs(spark, sf) -> DataFrame:
+    """Every order as a sentence graph: its priority with a relation to each of its lines."""
+    def triple(source, role, target):
+        none = F.lit(None).cast("array<int>")
+        return F.struct(source.alias("source"), role.alias("role"), target.alias("target"),
+                        none.alias("token_ix"), none.alias("role_token_ix"))
+
+    line = F.concat(F.lit("l"), F.col("l_linenumber").cast("string"))
+    pair = F.struct("l_linenumber", F.array(
+        triple(line, F.lit(":instance"), F.col("l_returnflag")),
+        triple(F.lit("o"), F.concat(F.lit(":line"), F.col("l_linenumber").cast("string")), line)).alias("t"))
+    lines = D.order_lines(spark, sf).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.sort_array(F.collect_list(pair)).alias("pairs"))
+    head = F.array(triple(F.lit("o"), F.lit(":instance"), F.col("o_orderpriority")))
+    return D.table(spark, sf, "orders").join(lines, "o_orderkey").select(
+        F.col("o_orderkey").alias("doc_id"), F.lit("source").alias("component"), F.lit(0).cast("long").alias("sent_ix"),
+        F.col("o_orderpriority").alias("text"), F.lit("o").alias("top"),
+        F.concat(head, F.flatten(F.transform("pairs", lambda p: p["t"]))).alias("triples"))
+
+
+@query
+def variable_relations(spark, sf):
+    """Role edges between two variables of the orders' graphs."""
+    _, edges = B.build_graph(_order_graphs(spark, sf))
+    return edges.where("edge_type = 'role'").select("doc_id", "parent_id", "child_id", "role", "role_prefix", "role_index")
+
+
+@query
+def role_label_failures(spark, sf):
+    """Orders' graphs whose labels lost their colon on lines above three."""
+    _, edges = B.build_graph(_order_graphs(spark, sf))
+    cut = edges.withColumn("role", F.when(F.col("role") > ":line3", F.substring("role", 2, 99)).otherwise(F.col("role")))
+    return roles_fn.role_failures(cut)
+
+
 # --- corpora ------------------------------------------------------------------------
 
+@query
+def written_corpus(spark, sf):
+    """Documents written as JSON, CSV and text, and read back."""
+    docs = D.table(spark, sf, "documents").select("doc_id", "lang", F.split("text", "\n").alias("lines"))
+    base, out = f"{lineage_dir(spark)}/written-{uuid.uuid4().hex}", None
+    for fmt in sinks.FORMATS:
+        sinks.write_corpus(docs, f"{base}/{fmt}", fmt)
+        if fmt == "csv":
+            back = spark.read.csv(f"{base}/{fmt}", header=True, escape='"', multiLine=True)
+            lines = F.from_json("lines", "array<string>")
+        else:
+            back, lines = spark.read.schema("doc_id long, lang string, lines array<string>").json(f"{base}/{fmt}"), F.col("lines")
+        part = back.select(F.lit(fmt).alias("format"), "lang", F.size(lines).alias("k"), F.aggregate(
+            F.transform(lines, lambda x: F.length(x)), F.lit(0), lambda a, b: a + b).alias("c"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("format", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("n_lines"), F.sum("c").alias("n_chars"))
+
+
+@query
+def written_results(spark, sf):
+    """Statistics of the vector documents written as results and read back by document."""
+    a = _emb_alignment(spark, sf)
+    path = f"{lineage_dir(spark)}/results-{uuid.uuid4().hex}"
+    sinks.write_results(a.stats(), path, "json", flows=a.flows())
+    flows = spark.read.json(f"{path}/alignments").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_flows"))
+    return (spark.read.json(f"{path}/by_document").select("doc_id", "tot_aligned", "tot_alignable")
+            .join(flows, "doc_id"))
+
+
 @query
 def corpus_keys(spark, sf):
     return K.corpus_keys(D.conv_sentences(spark, sf))
@@ -816,6 +948,14 @@ def bleu(spark, sf):
     return E.bleu(E.text_pairs(D.conv_pairs(spark, sf))).select("pair_id", _r("bleu"))
 
 
+@query
+def score_batch(spark, sf):
+    """Several score methods by name over the conversations' pairs."""
+    pairs = E.text_pairs(D.conv_pairs(spark, sf))
+    out = E.score_batch(pairs, {"rouge": lambda p: E.rouge_n(p, range(1, 3)), "bleu": E.bleu})
+    return out.select("pair_id", *[_r(c) for c in out.columns if c != "pair_id"])
+
+
 @query
 def wlk(spark, sf):
     nodes, edges, _ = D.purchase_pairs(spark, sf)
@@ -867,6 +1007,19 @@ def conversation_alignment(spark, sf, settings: AlignSettings = AlignSettings())
     return align(nodes, edges, materialize(links, "pairs"), settings)
 
 
+@query
+def score_pairs(spark, sf):
+    """User and assistant side of every conversation as two versions of one document:
+    aligned, and scored by the alignment and by shared words."""
+    sides = D.conv_texts(spark, sf).groupBy(F.col("doc_id").alias("pair_id")).agg(*[
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(
+            F.col("component") == c, F.struct("part_ix", "text")))), lambda t: t["text"]), " ").alias(name)
+        for c, name in (("source", "text_a"), ("summary", "text_b"))])
+    pairs = sides.where("text_a <> '' and text_b <> ''")
+    out = score_pairs_of(conversation_alignment(spark, sf), pairs, {"rouge": lambda p: E.rouge_n(p, range(1, 3))})
+    return out.select("pair_id", *[_r(c) for c in out.columns if c != "pair_id"])
+
+
 @query
 def conversation_pairs(spark, sf):
     """Aligned pairs of the conversations by document and type."""
