@@ -1,3 +1,4 @@
+import os
 import pathlib
 import sys
 
@@ -9,7 +10,7 @@ sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1]))
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = (SparkSession.builder.master("local[8]").appName("weftgraph-tests")
+    session = (SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '8')}]").appName("weftgraph-tests")
                .config("spark.sql.shuffle.partitions", "2")
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.ui.enabled", "false")
