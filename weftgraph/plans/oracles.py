@@ -338,12 +338,12 @@ select doc_id, cast(sum(n_desc) as bigint) as sum_desc, max(n_desc) as max_desc
 ROUNDS = 6
 
 
-def _alignment_loop() -> str:
+def _alignment_loop(start: str = ",\nlinks as (select *, cast(null as bigint) as rel_id from pairs)") -> str:
     """The loop unrolled: flow, clamp, prune for both directions, until it settles."""
-    base = EMB + """,
+    base = EMB + start + """,
 sent as (select doc_id, component, label, count(*) as n from emb group by all),
-st0 as (select doc_id, label, src_node, smy_node, sim,
-               case when sim <= 0.1 then 0.0 else sim end as cap from pairs)
+st0 as (select doc_id, label, src_node, smy_node, rel_id, sim,
+               case when sim <= 0.1 then 0.0 else sim end as cap from links)
 """
     for i in range(ROUNDS):
         for j, node in enumerate(("src_node", "smy_node")):
@@ -353,7 +353,7 @@ st0 as (select doc_id, label, src_node, smy_node, sim,
             base += f""",
 w{2 * i + j} as (select doc_id, label, sum(cap) as f from {cur} group by all),
 c{2 * i + j} as (select doc_id, {node} as node_id, sum(cap) as f from {cur} group by all),
-{nxt} as (select s.doc_id, s.label, s.src_node, s.smy_node, s.sim,
+{nxt} as (select s.doc_id, s.label, s.src_node, s.smy_node, s.rel_id, s.sim,
    case when s.cap <= 0.1 then 0.0
         when w.f / (t.n + 1) < 0.1 then 0.0
         when c.f < 0.1 then 0.0 else s.cap end as cap
@@ -361,7 +361,7 @@ c{2 * i + j} as (select doc_id, {node} as node_id, sum(cap) as f from {cur} grou
    join c{2 * i + j} c on c.doc_id = s.doc_id and c.node_id = s.{node}
    join sent t on t.doc_id = s.doc_id and t.label = s.label and t.component = '{comp}')"""
     return base + f""",
-al as (select doc_id, label, src_node, smy_node, cap from st{2 * ROUNDS} where cap > 0),
+al as (select doc_id, label, src_node, smy_node, rel_id, cap from st{2 * ROUNDS} where cap > 0),
 inflow as (select doc_id, 'source' as component, src_node as node_id, sum(cap) as f, count(*) as n from al group by all
            union all select doc_id, 'summary', smy_node, sum(cap), count(*) from al group by all),
 leaf as (select e.doc_id, e.component, e.node_id, e.label, coalesce(f, 0.0) as f, coalesce(i.n, 0) as n
@@ -398,6 +398,26 @@ select f.doc_id, f.name, f.s_attr || ' ' || f.s_id as s_descr,
        f.s_id, f.t_id, f.s_attr, f.t_attr, f.edge_type, round(f.flow, 6) as flow, false as reentrancy,
        round(coalesce(af, 0.0), 6) as align_flow, coalesce(ac, 0) as align_count
 from fl f left join tot on tot.doc_id = f.doc_id and tot.name = f.name and tot.t_id = f.t_id"""
+# lent edges and edges of spanning relations among all pairs, before the first flow
+COREF_START = """,
+refs as (select doc_id, label, label * 7 + node_id % 7 as rel_id, component, node_id from emb),
+span as (select doc_id, rel_id from refs group by all having count(distinct component) = 2),
+mixed as (select doc_id, label, src_node, smy_node, cast(null as bigint) as rel_id, sim from pairs
+          union all
+          select a.doc_id, a.label, b.node_id, a.smy_node, l.rel_id, a.sim
+          from pairs a join refs l on l.doc_id = a.doc_id and l.node_id = a.src_node and l.component = 'source'
+          join refs b on b.doc_id = l.doc_id and b.rel_id = l.rel_id and b.component = 'source' and b.node_id <> l.node_id),
+new as (select s.doc_id, s.label, s.node_id as src_node, m.node_id as smy_node, max(s.rel_id) as rel_id
+        from span join refs s using (doc_id, rel_id) join refs m using (doc_id, rel_id)
+        where s.component = 'source' and m.component = 'summary' group by all),
+firsts as (select doc_id, src_node, smy_node, min(coalesce(rel_id, -1)) as f from mixed group by all),
+links as (select m.* from mixed m join firsts f using (doc_id, src_node, smy_node)
+          left join new n on n.doc_id = m.doc_id and n.src_node = m.src_node and n.smy_node = m.smy_node
+          where n.doc_id is null or coalesce(m.rel_id, -1) <> f.f
+          union all select doc_id, label, src_node, smy_node, rel_id, 1.0 from new)
+"""
+ORACLES["align_with_coref"] = f"""with {_alignment_loop(COREF_START)}
+select doc_id, src_node, smy_node, cast(rel_id as bigint) as rel_id, round(cap, 6) as capacity from al"""
 ORACLES["aligned_without_pruning"] = f"""with {EMB}
 select doc_id, src_node, smy_node, round(sim, 6) as capacity from pairs where sim > 0.1"""
 ORACLES["align_one"] = f"""with {LOOP}

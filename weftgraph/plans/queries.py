@@ -644,6 +644,17 @@ def aligned_edges(spark, sf):
     return _emb_alignment(spark, sf).align_edges.select("doc_id", "src_node", "smy_node", _r("capacity"))
 
 
+@query
+def align_with_coref(spark, sf):
+    """The program on alignments that coreference has lent and put in."""
+    coref, named, _ = _coref(spark, sf)
+    nodes, edges = D.emb_tree(spark, sf)
+    pairs = _pairs(spark, sf).select("doc_id", "src_node", "smy_node", "sim", F.col("sim").alias("capacity"))
+    links = materialize(C.add_coref(pairs, coref, named), "coref-pairs")
+    out = align(materialize(nodes, "emb-nodes"), materialize(edges, "emb-edges"), links, EMB_SETTINGS)
+    return out.align_edges.select("doc_id", "src_node", "smy_node", "rel_id", _r("capacity"))
+
+
 @query
 def aligned_without_pruning(spark, sf):
     """The program with one of its steps switched off."""
