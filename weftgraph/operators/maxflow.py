@@ -91,14 +91,15 @@ def _drain(rest: DataFrame, excess: DataFrame, target: str, closed: str) -> tupl
 def max_flow(network: DataFrame) -> DataFrame:
     """Flow of every edge, the minimum cut and the source side, per document.
 
-    What the edges at S carry is first assumed to be all they may, then pushed towards
+    An unlimited capacity counts as more than twice the sum of the limited ones, so it is
+    never the one that binds.  What the edges at S carry is first assumed to be all they may, then pushed towards
     T, and what cannot arrive is pushed back to S.
     """
     network = network.select(F.col("doc_id").cast("string").alias("doc_id"), *_COLUMNS[1:])
     finite = F.sum(F.when(F.col("capacity") < MAX_CAPACITY, F.col("capacity"))).alias("_bound")
     net = with_totals(network, ["doc_id"], [finite], ["from_key", "to_key"])
     net = materialize(net.withColumn("_cap", F.when(
-        F.col("capacity") >= MAX_CAPACITY, F.coalesce("_bound", "capacity")).otherwise(F.col("capacity"))),
+        F.col("capacity") >= MAX_CAPACITY, F.coalesce(2 * F.col("_bound") + 1, "capacity")).otherwise(F.col("capacity"))),
         "network")
     arcs = net.groupBy("doc_id", F.col("from_key").alias("u"), F.col("to_key").alias("v")).agg(
         F.sum("_cap").alias("cap"))
