@@ -1,13 +1,15 @@
 """Exact maximum flow per document for networks with any capacities.
 
 One rule for documents of every size: excess moves towards the sink over shortest residual
-ways, shared over the open edges by what they still take, in rounds of joins over all
-documents together.  No document has to fit into a task, and what one document gets
-does not depend on which others are solved with it.
+ways, shared over the open edges by what they still take.  Large documents are solved in
+rounds of joins over all of them together, so none has to fit into a task; small ones go
+through the same rounds, one document after the other, in a grouped function.  What a
+document gets depends neither on its size nor on which others are solved with it.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,9 +90,91 @@ def _drain(rest: DataFrame, excess: DataFrame, target: str, closed: str) -> tupl
             return rest, excess
 
 
-def max_flow(network: DataFrame) -> DataFrame:
+SCHEMA = ("doc_id string, from_key string, to_key string, capacity double, edge_type string, "
+          "component string, edge_id string, flow double, in_cut boolean, source_side boolean")
+
+
+def _levels(rest: dict, start: str, towards: bool, closed: str | None = None) -> dict:
+    """Shortest residual distances to or from a node."""
+    near: dict = {}
+    for (u, v), r in rest.items():
+        if r > TOLERANCE and closed not in (u, v):
+            near.setdefault(v if towards else u, []).append(u if towards else v)
+    dist, step = {start: 0}, [start]
+    while step:
+        step = [y for x in step for y in near.get(x, ()) if y not in dist and not dist.update({y: dist[x] + 1})]
+    return dist
+
+
+def _drain_one(rest: dict, excess: dict, target: str, closed: str) -> None:
+    """The rounds of ``_drain`` for one document."""
+    out: dict = {}
+    for u, v in sorted(rest):
+        out.setdefault(u, []).append(v)
+    while True:
+        dist, moved = _levels(rest, target, True, closed), False
+        while True:
+            push = {}
+            for u in sorted(excess):
+                if excess[u] <= TOLERANCE or u in (target, closed) or u not in dist:
+                    continue
+                nearer = [v for v in out.get(u, ()) if rest[u, v] > TOLERANCE and dist.get(v) == dist[u] - 1 and v != closed]
+                room = sum(rest[u, v] for v in nearer)
+                push.update({(u, v): rest[u, v] * min(1.0, excess[u] / room) for v in nearer})
+            if not push:
+                break
+            moved = True
+            change: dict = {}
+            for (u, v), d in push.items():
+                change[u, v] = change.get((u, v), 0.0) + d
+                change[v, u] = change.get((v, u), 0.0) - d
+                excess[u] -= d
+                excess[v] = excess.get(v, 0.0) + d
+            for arc, d in change.items():
+                rest[arc] = max(rest[arc] - d, 0.0)
+        if not moved:
+            return
+
+
+def _solve_one(group: pd.DataFrame) -> pd.DataFrame:
+    limited = group["capacity"] < MAX_CAPACITY
+    bound = 2 * group.loc[limited, "capacity"].sum() + 1
+    own = group["capacity"].where(limited | (not limited.any()), bound).tolist()
+    pairs, caps = list(zip(group["from_key"], group["to_key"])), {}
+    for (u, v), c in zip(pairs, own):
+        caps[u, v] = caps.get((u, v), 0.0) + c
+        caps.setdefault((v, u), 0.0)
+    rest = {(u, v): 0.0 if u == SOURCE_TERMINAL else c + (caps[v, u] if v == SOURCE_TERMINAL else 0.0)
+            for (u, v), c in caps.items()}
+    excess = {v: c for (u, v), c in caps.items() if u == SOURCE_TERMINAL}
+    _drain_one(rest, excess, SINK_TERMINAL, SOURCE_TERMINAL)
+    _drain_one(rest, excess, SOURCE_TERMINAL, SINK_TERMINAL)
+    side = _levels(rest, SOURCE_TERMINAL, False)
+    flow = [max(caps[a] - rest[a], 0.0) * c / caps[a] if caps[a] > 0 else 0.0 for a, c in zip(pairs, own)]
+    return group.assign(flow=flow, in_cut=[u in side and v not in side for u, v in pairs],
+                        source_side=[u in side for u, _ in pairs])
+
+
+def max_flow(network: DataFrame, group_edges: int = 20_000) -> DataFrame:
     """Flow of every edge, the minimum cut and the source side, per document.
 
+    Documents of up to ``group_edges`` edges take the rounds in a grouped function, larger
+    ones as joins; both follow one rule and give the same flows.
+    """
+    typed = network.select(F.col("doc_id").cast("string").alias("doc_id"), *_COLUMNS[1:])
+    large = materialize(typed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+                        .where(F.col("_n") > group_edges).select("doc_id"), "large-networks")
+    if large.isEmpty():
+        return typed.groupBy("doc_id").applyInPandas(_solve_one, SCHEMA)
+    spread = ["from_key", "to_key"]
+    small = join_salted(typed, large, ["doc_id"], spread, "left_anti")
+    return small.groupBy("doc_id").applyInPandas(_solve_one, SCHEMA).unionByName(
+        spread_max_flow(join_salted(typed, large, ["doc_id"], spread, "left_semi")))
+
+
+def spread_max_flow(network: DataFrame) -> DataFrame:
+    """The rounds as joins, for documents of any size.
+
     An unlimited capacity counts as more than twice the sum of the limited ones, so it is
     never the one that binds.  What the edges at S carry is first assumed to be all they may, then pushed towards
     T, and what cannot arrive is pushed back to S.
