@@ -6,8 +6,11 @@ an item with all its words.  Every window of a training text is a query.  The pi
 whether the block maxima of its terms reach the threshold, is made for all windows of a
 batch at once, with the terms of low weight left to a fixed slack (their lists alone never
 reach the threshold).  Only the postings of blocks that pass are read and scored, and what
-reaches the threshold is verified: the item's question and its answer must both overlap
-with the window in word 3-grams.
+reaches the threshold is verified: the item's whole question and its whole answer must both
+overlap with the window in word 3-grams.
+
+Windows are twice as long as the longest item.  Items of more than ``ITEM_WORDS`` words are
+kept whole in indexes of their own, one per doubling of the length, with longer windows.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -31,7 +35,7 @@ OVERLAP = 0.6
 GRAM = 3
 #: What the terms left out of the pivot test may add to any item.
 SLACK = 0.2
-#: Items are cut into pieces of so many words; windows are twice as long as the longest.
+#: Items of up to so many words share one length of windows, those of up to twice as many the next.
 ITEM_WORDS = 256
 #: Items of one index; a larger benchmark becomes several indexes.
 INDEX_ITEMS = 4096
@@ -70,28 +74,50 @@ def overlap(mine: Sequence[str], window: Sequence[str], window_grams: set) -> fl
     return len(own & window_grams) / len(own)
 
 
+def level_of(n_words: int) -> int:
+    """0 for up to ``ITEM_WORDS`` words, one more for every doubling."""
+    return ((n_words - 1) // ITEM_WORDS).bit_length()
+
+
+@dataclass(frozen=True)
+class Statistics:
+    """Of all items: number, mean number of words, items that have a word, longest item by level."""
+
+    n: int
+    mean: float
+    df: dict[str, int]
+    longest: dict[int, int]
+
+    @classmethod
+    def of(cls, texts: Sequence[Sequence[str]]) -> "Statistics":
+        longest: dict[int, int] = {}
+        for k in map(len, texts):
+            longest[level_of(k)] = max(longest.get(level_of(k), 0), k)
+        return cls(len(texts), sum(map(len, texts)) / max(1, len(texts)), Counter(w for t in texts for w in set(t)), longest)
+
+
 class BlockMaxIndex:
-    """BM25 postings of items in blocks, with block maxima."""
+    """BM25 postings of the items of one level in blocks, with block maxima; ``longer`` is
+    the index of the items above the level."""
 
     def __init__(self, items: Sequence[tuple[int, str]], block: int = BLOCK, threshold: float = THRESHOLD,
-                 slack: float = SLACK):
-        self.items = []
-        for item_id, text in items:
-            q, a = split_item(text or "")
-            for start in range(0, max(1, len(q)), ITEM_WORDS - min(len(a), ITEM_WORDS // 2)):
-                part = q[start:start + ITEM_WORDS - min(len(a), ITEM_WORDS // 2)]
-                if part or a:
-                    self.items.append((item_id, part, a[:ITEM_WORDS // 2]))
+                 slack: float = SLACK, known: Statistics | None = None, level: int = 0):
+        split = [(x, *split_item(x[1] or "")) for x in items]
+        split = [(x, q, a, level_of(len(q) + len(a))) for x, q, a in split if q or a]
+        known = known or Statistics.of([q + a for _, q, a, _ in split])
+        self.items = [(x[0], q, a) for x, q, a, at in split if at == level]
+        above = [(x, at) for x, _, _, at in split if at > level]
+        self.longer = BlockMaxIndex([x for x, _ in above], block, threshold, slack, known,
+                                    min(at for _, at in above)) if above else None
         texts = [q + a for _, q, a in self.items]
         n, self.threshold, self.block = len(texts), threshold, block
-        self.chunk = max(map(len, texts), default=1)
-        mean = sum(map(len, texts)) / max(1, n)
-        df = Counter(w for t in texts for w in set(t))
-        idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
+        self.chunk = known.longest.get(level, 1)
+        df = {w: known.df[w] for w in {w for t in texts for w in t}}
+        idf = {w: math.log(1 + (known.n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
         self.terms = {w: i for i, w in enumerate(sorted(df))}
         postings: dict[str, list[tuple[int, float]]] = {w: [] for w in df}
         for i, t in enumerate(texts):
-            own = {w: idf[w] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(t) / mean)) for w, f in Counter(t).items()}
+            own = {w: idf[w] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(t) / known.mean)) for w, f in Counter(t).items()}
             total = sum(own.values())
             for w, v in own.items():
                 postings[w].append((i, v / total))
@@ -153,8 +179,15 @@ class BlockMaxIndex:
     def search(self, texts: Sequence[str | None], least: float = OVERLAP) -> list[list[tuple]]:
         """Per text the verified items, each with its best window."""
         out: list[dict[int, tuple]] = [{} for _ in texts]
+        index: BlockMaxIndex | None = self
+        while index is not None:
+            index._search_level(texts, out, least)
+            index = index.longer
+        return [[found[k] for k in sorted(found)] for found in out]
+
+    def _search_level(self, texts: Sequence[str | None], out: list[dict], least: float) -> None:
         if not self.items:
-            return [[] for _ in texts]
+            return
         held, n_words = [], 0
         for i, text in enumerate(texts):
             for first, words in self._pieces(text or ""):
@@ -164,14 +197,13 @@ class BlockMaxIndex:
                     self._search(held, out, least)
                     held, n_words = [], 0
         self._search(held, out, least)
-        return [[found[k] for k in sorted(found)] for found in out]
 
     def _pieces(self, text: str) -> Iterator[tuple[int, list[str]]]:
         """A text's words; a long text in pieces that share a window."""
-        first, carry, at = 0, [], 0
+        first, carry, at, piece = 0, [], 0, max(PIECE, 8 * self.chunk)
         while at < len(text):
-            end = at + PIECE
-            while end < len(text) and (text[end].isalnum() or text[end - 1].isalnum()) and end < at + 2 * PIECE:
+            end = at + piece
+            while end < len(text) and (text[end].isalnum() or text[end - 1].isalnum()) and end < at + 2 * piece:
                 end += 1
             words = carry + _words(text[at:end].lower())
             yield first, words
