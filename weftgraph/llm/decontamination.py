@@ -16,16 +16,20 @@ kept whole in indexes of their own, one per doubling of the length, with longer
 from __future__ import annotations
 
 import math
+import pickle
 import re
+import uuid
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.lineage import lineage_dir, materialize
 from weftgraph.llm.common import free_name
 
 K1, B = 1.2, 0.75
@@ -37,7 +41,7 @@ GRAM = 3
 SLACK = 0.2
 #: Items of up to so many words share one length of windows, those of up to twice as many the next.
 ITEM_WORDS = 256
-#: Items of one index; a larger benchmark becomes several indexes.
+#: Items of one index; a larger benchmark becomes several indexes with the same statistics.
 INDEX_ITEMS = 4096
 #: Words that are tested together, and letters of a text that are split at once.
 BATCH_WORDS, PIECE = 200_000, 1 << 20
@@ -147,6 +151,16 @@ class BlockMaxIndex:
         self.postings = [tuple(np.array(c) for c in zip(*b["rows"])) for b in blocks]
         self.grams = [(grams(q), grams(a)) for _, q, a in self.items]
 
+    def state(self) -> dict:
+        """Plain values and arrays that ``of_state`` takes; files hold these and not the class."""
+        return self.__dict__ | {"longer": self.longer and self.longer.state()}
+
+    @classmethod
+    def of_state(cls, state: dict) -> "BlockMaxIndex":
+        index = cls.__new__(cls)
+        index.__dict__.update(state | {"longer": state["longer"] and cls.of_state(state["longer"])})
+        return index
+
     def passing_blocks(self, ids: np.ndarray, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pivot test: pairs of a window (its first chunk; the next one belongs to it) and a
         block whose maxima reach the threshold.  A term counts once per chunk."""
@@ -178,12 +192,13 @@ class BlockMaxIndex:
 
     def search(self, texts: Sequence[str | None], least: float = OVERLAP) -> list[list[tuple]]:
         """Per text the verified items, each with its best window."""
-        out: list[dict[int, tuple]] = [{} for _ in texts]
+        return search_all([self], texts, least)
+
+    def search_into(self, texts: Sequence[str | None], out: list[dict], least: float) -> None:
         index: BlockMaxIndex | None = self
         while index is not None:
             index._search_level(texts, out, least)
             index = index.longer
-        return [[found[k] for k in sorted(found)] for found in out]
 
     def _search_level(self, texts: Sequence[str | None], out: list[dict], least: float) -> None:
         if not self.items:
@@ -234,32 +249,121 @@ class BlockMaxIndex:
             for item, score in self.score(b, terms):
                 window_grams = grams_of_window(window) if window_grams is None else window_grams
                 q, a = self.verify(item, window, window_grams)
-                item_id = self.items[item][0]
-                if q >= least and a >= least and (item_id not in out[i] or out[i][item_id][1] < score):
-                    out[i][item_id] = (item_id, score, q, a, first + at)
+                hit = (self.items[item][0], score, q, a, first + at)
+                if q >= least and a >= least and (hit[0] not in out[i] or rank(out[i][hit[0]]) < rank(hit)):
+                    out[i][hit[0]] = hit
 
 
 def grams_of_window(words: Sequence[str]) -> set:
     return {tuple(words[i:i + GRAM]) for i in range(len(words) - GRAM + 1)}
 
 
-def build_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
-                  index_items: int = INDEX_ITEMS) -> list[BlockMaxIndex]:
-    """Indexes of at most about ``index_items`` items each; their statistics are their own."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    parts = -(-items.count() // index_items)
-    part = F.pmod(F.xxhash64("id", "text"), F.lit(max(1, parts)))
-    return [BlockMaxIndex(sorted((-1 if r["id"] is None else r["id"], r["text"] or "")
-                                 for r in items.where(part == p).collect())) for p in range(parts)]
+def rank(hit: tuple) -> tuple:
+    """Of an item's hits the greatest score counts, then the first window."""
+    _, score, q, a, first = hit
+    return score, -first, q, a
+
+
+def search_all(indexes: Iterable[BlockMaxIndex], texts: Sequence[str | None], least: float = OVERLAP) -> list[list[tuple]]:
+    """Per text the verified items of all indexes, each with its best window."""
+    out: list[dict[int, tuple]] = [{} for _ in texts]
+    for index in indexes:
+        index.search_into(texts, out, least)
+    return [[found[k] for k in sorted(found)] for found in out]
+
+
+class StoredIndexes(Sequence):
+    """Indexes in files of a folder that all executors share, one in memory at a time; a part
+    without items has no file."""
+
+    def __init__(self, folder: str, names: Sequence[str | None]):
+        self.folder, self.names, self.held = folder, list(names), (None, None)
 
+    def __len__(self) -> int:
+        return len(self.names)
 
-def hits_of(index: BlockMaxIndex, text: Column) -> Column:
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"held": (None, None)}
+
+    def __getitem__(self, i: int) -> BlockMaxIndex:
+        name = self.names[i]
+        if name is None:
+            return BlockMaxIndex([])
+        if self.held[0] != name:
+            self.held = (None, None)
+            store, base = pafs.FileSystem.from_uri(self.folder)
+            with store.open_input_file(f"{base}/{name}") as f:
+                self.held = (name, BlockMaxIndex.of_state(pickle.loads(f.read())))
+        return self.held[1]
+
+
+def _split_items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, text, copies, n, level, words``: items that differ, how often each is there, its
+    number of words, its level and its distinct words; a null id is -1."""
+    @F.pandas_udf("n bigint, level int, words array<string>")
+    def split(texts: pd.Series) -> pd.DataFrame:
+        own = [q + a for q, a in map(split_item, texts)]
+        return pd.DataFrame({"n": [len(t) for t in own], "level": [level_of(len(t)) for t in own],
+                             "words": [sorted(set(t)) for t in own]})
+
+    given = benchmark.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"),
+                             F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    items = given.groupBy("id", "text").agg(F.count(F.lit(1)).alias("copies")).withColumn("_s", split("text"))
+    return items.select("id", "text", "copies", "_s.n", "_s.level", "_s.words")
+
+
+def build_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
+                  index_items: int | None = None) -> StoredIndexes:
+    """Indexes of about ``index_items`` items each, all with the statistics of the whole
+    benchmark: the number of indexes changes no hit and no score.
+
+    Tasks build and write the indexes; the driver has their names, the number of items and of
+    words, and the longest item of each level.
+    """
+    index_items = index_items or INDEX_ITEMS
+    spark = benchmark.sparkSession
+    items = materialize(_split_items(benchmark, id_col, text_col), "bm25-items")
+    by_level = items.groupBy(F.when(F.col("n") > 0, F.col("level")).alias("level")).agg(
+        F.sum("copies").alias("copies"), F.sum(F.col("copies") * F.col("n")).alias("n"), F.max("n").alias("longest")).collect()
+    there = [r for r in by_level if r["level"] is not None]
+    n, n_words = sum(r["copies"] for r in there), sum(r["n"] for r in there)
+    mean, longest = n_words / max(1, n), {r["level"]: r["longest"] for r in there}
+    parts = max(-(-sum(r["copies"] for r in by_level) // index_items), -(-n_words // (index_items * ITEM_WORDS)))
+    folder, names = f"{lineage_dir(spark)}/bm25-{uuid.uuid4().hex}", [None] * parts
+    if n:
+        items = items.where("n > 0").withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int"))
+        df = (items.select("part", "copies", F.explode("words").alias("word")).groupBy("word")
+              .agg(F.sum("copies").alias("df"), F.collect_set("part").alias("parts"))
+              .select(F.explode("parts").alias("part"), "word", "df"))
+
+        def write(rows: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+            known = Statistics(n, mean, dict(zip(counts["word"], counts["df"].tolist())), longest)
+            index = BlockMaxIndex(sorted(zip(rows["id"].tolist(), rows["text"])), known=known)
+            store, base = pafs.FileSystem.from_uri(folder)
+            store.create_dir(base, recursive=True)
+            name = uuid.uuid4().hex
+            with store.open_output_stream(f"{base}/{name}") as f:
+                f.write(pickle.dumps(index.state(), pickle.HIGHEST_PROTOCOL))
+            return pd.DataFrame({"part": [int(rows["part"].iloc[0])], "name": [name]})
+
+        # the written table names the files of the tasks that succeeded
+        written = materialize(items.select("part", "id", "text").groupBy("part").cogroup(df.groupBy("part"))
+                              .applyInPandas(write, "part int, name string"), "bm25-indexes")
+        for r in written.collect():
+            names[r["part"]] = r["name"]
+    return StoredIndexes(folder, names)
+
+
+def hits_of(indexes: Sequence[BlockMaxIndex], text: Column) -> Column:
     """Verified items of a text as an array."""
     @F.pandas_udf(HITS)
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         keys = ("item_id", "score", "question_overlap", "answer_overlap", "first_word")
+        order = range(len(indexes))
         for s in batches:
-            yield pd.Series([[dict(zip(keys, hit)) for hit in hits] for hits in index.search(list(s))], dtype=object)
+            found = search_all((indexes[i] for i in order), list(s))
+            order = order[::-1]  # the index in memory is the next one to be asked
+            yield pd.Series([[dict(zip(keys, hit)) for hit in hits] for hits in found], dtype=object)
 
     return search(text.cast("string"))
 
@@ -268,13 +372,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") ->
     """All rows of ``docs`` with the benchmark items found in them, and that column's name.
 
     Null and empty texts have none, null or empty items are found nowhere, a null item id
-    counts as -1, repeated items and rows are each reported.  Texts are read as a whole.
+    counts as -1, repeated rows are each reported, of items with the same id the best one.
+    Texts are read as a whole.
     """
     name, = free_name(docs, "_hits")
-    out = docs.withColumn(name, F.expr(f"cast(array() as {HITS})"))
-    for index in build_indexes(benchmark):
-        out = out.withColumn(name, F.concat(F.col(name), hits_of(index, F.col(text_col))))
-    return out, name
+    return docs.withColumn(name, hits_of(build_indexes(benchmark), F.col(text_col))), name
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
