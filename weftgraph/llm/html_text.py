@@ -31,13 +31,15 @@ EPOCHS, RATE, DECAY = 6, 0.2, 1e-4
 SEED = 2001
 
 #: Fixed values of HTML: block-level elements, elements without content, elements whose
-#: content is not page text, and which open element an opening tag closes.
+#: content is no markup and no page text, elements skipped with all elements in them, and
+#: which open element an opening tag closes.
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption "
     "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre "
     "search section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea template noscript iframe object svg math head".split())
+RAW = frozenset("script style title textarea iframe".split())
+SKIPPED = frozenset("template noscript svg head".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
           "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead"), "tfoot": ("tbody", "thead")}
 SCOPES = frozenset("ul ol table dl select body div article main section td th".split())
@@ -64,6 +66,47 @@ class Block:
     linked: int  # characters inside links
 
 
+def parsed_tag(page: str, at: int) -> re.Match | None:
+    return _tag.match(page, at) or _loose.match(page, at)
+
+
+def self_closing(m: re.Match) -> bool:
+    return m.group(3).rstrip().endswith("/")
+
+
+def raw_end(page: str, tag: str, at: int) -> int | None:
+    """Where the content of a ``RAW`` element that starts at ``at`` and its closing tag end."""
+    end = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)|</{re.escape(tag)}\s[^>]*>", re.I).search(page, at)
+    return end.end() if end else None
+
+
+def skipped_ends(page: str, at: int) -> dict[int, int]:
+    """For every closed ``SKIPPED`` element from ``at`` on, where its opening tag and where its
+    closing tag ends.  Elements of the same name nest; one that is not closed is left out."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {tag: [] for tag in SKIPPED}
+    endless: set[str] = set()
+    while (at := page.find("<", at)) >= 0:
+        m = parsed_tag(page, at)
+        if m is None:
+            at += 1
+            continue
+        at, tag = m.end(), (m.group(2) or "").lower() if m.lastindex else ""
+        if tag in SKIPPED and m.group(1):
+            if opened[tag]:
+                ends[opened[tag].pop()] = at
+        elif tag in SKIPPED and not (tag == "svg" and self_closing(m)):
+            opened[tag].append(at)
+        elif tag in RAW and not m.group(1) and not (opened["svg"] and self_closing(m)):
+            end = None if tag in endless else raw_end(page, tag, at)
+            if end is None and not opened["svg"]:
+                break
+            if end is None:
+                endless.add(tag)  # nor has a later one an end
+            at = end or at
+    return ends
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """Leaf blocks with text, in page order."""
     out: list[Block] = []
@@ -90,14 +133,14 @@ def leaf_blocks(page: str) -> list[Block]:
         while stack and stack.pop()[0] != tag:
             pass
 
-    at, n = 0, len(page)
+    at, n, ends = 0, len(page), None
     while at < n:
         open_at = page.find("<", at)
         if open_at < 0:
             put(page[at:])
             break
         put(page[at:open_at])
-        m = _tag.match(page, open_at) or _loose.match(page, open_at)
+        m = parsed_tag(page, open_at)
         if m is None:
             if re.match(r"</?[A-Za-z!?]", page[open_at:open_at + 3]):
                 break  # the page ends inside a tag
@@ -120,10 +163,12 @@ def leaf_blocks(page: str) -> list[Block]:
             parts.append(" ")
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)|</{re.escape(tag)}\s[^>]*>", re.I).search(page, at)
-            if tag == "head" and end is None:
-                continue  # a head that is not closed ends at the body
-            at = end.end() if end else n
+            at = raw_end(page, tag, at) or n
+            continue
+        if tag in SKIPPED:
+            if not (tag == "svg" and self_closing(m)):
+                ends = skipped_ends(page, open_at) if ends is None else ends
+                at = ends.get(at, at)  # what is not closed holds nothing
             continue
         if tag in BLOCKS:
             flush()
@@ -136,7 +181,7 @@ def leaf_blocks(page: str) -> list[Block]:
                         break
                     if t in SCOPES and t != open_tag:
                         break
-        if tag not in VOID and not m.group(3).rstrip().endswith("/"):
+        if tag not in VOID and not self_closing(m):
             words = frozenset(w.lower() for v in _names.findall(m.group(3)) for w in _word.findall(v))
             stack.append((tag, words))
     flush()
