@@ -24,6 +24,9 @@ FIT_DOCS = 4000
 #: Bound on the number of languages; more is an error, never a cut.
 MAX_LANGUAGES = 4096
 SEED = 1994
+#: A language is told where the score is this share of what all but ``TAIL`` of the training
+#: documents reach.
+SHARE, TAIL = 0.5, 0.01
 PIECE = 1 << 18
 UND = "und"
 #: Codes of a language that a task counts before it hands them on.
@@ -115,13 +118,9 @@ def training_part(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 != 0, F.lit(False))
 
 
-def fit_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                 top: int = TOP, fit_docs: int = FIT_DOCS, seed: int = SEED) -> Profiles:
-    """Profiles from about ``fit_docs`` labelled training documents of each language.
-
-    The sample is drawn by a seeded hash of the id; where a language has fewer documents
-    all are used.  Null labels, null texts and held-out documents are not used.
-    """
+def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                    fit_docs: int = FIT_DOCS, seed: int = SEED) -> DataFrame | None:
+    """``lang, text`` of about ``fit_docs`` labelled training documents of each language."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                        F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(training_part(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -129,9 +128,21 @@ def fit_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
-        return Profiles.of({}, top)
+        return None
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, fit_docs / r["n"]))])
-    sample = rows.where(unit_hash(F.lit(seed), F.col("id")) / F.lit(2.0 ** 63) < share[F.col("lang")])
+    return rows.where(unit_hash(F.lit(seed), F.col("id")) / F.lit(2.0 ** 63) < share[F.col("lang")]).select("lang", "text")
+
+
+def fit_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                 top: int = TOP, fit_docs: int = FIT_DOCS, seed: int = SEED) -> Profiles:
+    """Profiles from about ``fit_docs`` labelled training documents of each language.
+
+    The sample is drawn by a seeded hash of the id; where a language has fewer documents
+    all are used.  Null labels, null texts and held-out documents are not used.
+    """
+    sample = training_sample(docs, id_col, text_col, lang_col, fit_docs, seed)
+    if sample is None:
+        return Profiles.of({}, top)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         letters, held = letter_table(), {}
@@ -149,7 +160,7 @@ def fit_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for lang in list(held):
             yield rows_of(lang)
 
-    grams = (sample.select("lang", "text").mapInPandas(count, "lang string, code bigint, n bigint")
+    grams = (sample.mapInPandas(count, "lang string, code bigint, n bigint")
              .groupBy("lang", "code").agg(F.sum("n").alias("n")))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     best = grams.withColumn("place", place).where(F.col("place") <= top).select("lang", "place", "code")
@@ -183,8 +194,22 @@ def language_report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", (~training_part(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
 
 
+def least_score(docs: DataFrame, profiles: Profiles, share: float = SHARE, tail: float = TAIL) -> float:
+    """The score from which a language is told, learned from the sample the profiles are fitted on.
+
+    Documents without a letter are not learned from; 0 where there is nothing to learn from.
+    """
+    sample = training_sample(docs)
+    if sample is None:
+        return 0.0
+    scores = identify(sample, profiles).where(F.col("lang_pred") != UND)
+    low = scores.agg(F.percentile_approx("score", tail, 10_000)).first()[0]
+    return share * (low or 0.0)
+
+
 def keep_identified(docs: DataFrame, profiles: Profiles, least: float = 0.0) -> DataFrame:
-    """Documents whose language is known with a score of at least ``least``."""
+    """Documents whose language is known with a score above 0 and of at least ``least``; a
+    score of 0 means that no profile has any n-gram of the text."""
     lang, score = free_name(docs, "lang_pred", "score")
     found = identify(docs, profiles, names=(lang, score))
-    return found.where((F.col(lang) != UND) & (F.col(score) >= least)).select(*docs.columns)
+    return found.where((F.col(lang) != UND) & (F.col(score) > 0) & (F.col(score) >= least)).select(*docs.columns)
