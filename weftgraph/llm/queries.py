@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm import (
-    decontamination, exact_dedup, html_text, language, mixing, near_join, pii, prefix_trie, sharding, url_lists, warc_zip)
+    decontamination, exact_dedup, hard_negatives, html_text, language, mixing, near_join, pii, prefix_trie, sharding,
+    url_lists, warc_zip)
 from weftgraph.llm.common import table
 
 
@@ -53,9 +54,14 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_segment_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 REGISTRY = {f.__name__: f for f in (
     op1_bm25_decontamination, op2_weak_pii, op3_rank_order_language, op4_crf_html, op5_zip_warc,
     op6_temporal_url_lists, op7_exact_dedup, op8_mix_sources, op9_minimax_shards, op10_token_group_jaccard,
-    op11_prefix_trie)}
+    op11_prefix_trie, op12_segment_negatives)}
 ORACLES = {"op5_zip_warc": warc_zip.ORACLE, "op6_temporal_url_lists": url_lists.ORACLE,
-           "op7_exact_dedup": exact_dedup.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE}
+           "op7_exact_dedup": exact_dedup.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE,
+           "op12_segment_negatives": hard_negatives.ORACLE}
