@@ -63,8 +63,8 @@ def test_odd_rows(spark):
 
 
 def test_large_components_are_exact(spark):
-    data = [(0, [2.0 ** 22, 1.0, 3.0], 1, 0, "", 0), (1, [2.0 ** 22, 2.0, 1.0], 1, 0, "", 0),
-            (2, [2.0 ** 21, 7.0, 1.0], 2, 0, "", 0), (3, [2.0 ** 21, 9.0, 1.0], 2, 0, "", 0)]
+    data = [(0, [2.0 ** 22, 1.0, 3.0], 1, 0, "", 0), (1, [2.0 ** 22, 2.0, 1.0], 2, 0, "", 0),
+            (2, [2.0 ** 21, 7.0, 1.0], 3, 0, "", 0), (3, [2.0 ** 21, 9.0, 1.0], 3, 0, "", 0)]
     got = H.mine(spark.createDataFrame(data, SCHEMA)).collect()
     assert len(got) == 2 and sorted(map(tuple, got), key=str) == brute(data)
     huge = [(i, [1e40, float(i)], i % 2, 0, "", 0) for i in range(4)]
