@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm import (
-    decontamination, exact_dedup, hard_negatives, html_text, language, mixing, near_join, pii, prefix_trie, sharding,
-    url_lists, warc_zip)
+    chat_format, decontamination, exact_dedup, hard_negatives, html_text, language, mixing, near_join, pii, prefix_trie,
+    sharding, url_lists, warc_zip)
 from weftgraph.llm.common import table
 
 
@@ -58,10 +58,14 @@ def op12_segment_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
 
 
+def op13_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_report(chat_format.with_probe(spark, table(spark, sf_dir, "conversations")))
+
+
 REGISTRY = {f.__name__: f for f in (
     op1_bm25_decontamination, op2_weak_pii, op3_rank_order_language, op4_crf_html, op5_zip_warc,
     op6_temporal_url_lists, op7_exact_dedup, op8_mix_sources, op9_minimax_shards, op10_token_group_jaccard,
-    op11_prefix_trie, op12_segment_negatives)}
+    op11_prefix_trie, op12_segment_negatives, op13_reply_trees)}
 ORACLES = {"op5_zip_warc": warc_zip.ORACLE, "op6_temporal_url_lists": url_lists.ORACLE,
            "op7_exact_dedup": exact_dedup.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE,
-           "op12_segment_negatives": hard_negatives.ORACLE}
+           "op12_segment_negatives": hard_negatives.ORACLE, "op13_reply_trees": chat_format.ORACLE}
