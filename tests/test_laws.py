@@ -11,7 +11,7 @@ from weftgraph.operators import graph as G
 from weftgraph.operators import maxflow as M
 from weftgraph.operators import similarity as S
 from weftgraph.settings import AlignSettings
-from weftgraph.skew import join_salted, with_totals
+from weftgraph.skew import join_salted, join_split, with_totals
 from weftgraph.sources import corpus as K
 from weftgraph.sources import graph_text as T
 from weftgraph.sources import sinks
@@ -211,6 +211,9 @@ def test_dense_ids_and_salted_joins(spark):
     names = spark.createDataFrame([("hot", 1)], "g string, x int")
     assert join_salted(df, names, ["g"], ["v"], "left").where("x is null").count() == 1000
     assert join_salted(df, names, ["g"], ["v"], "left_anti").count() == 1000
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        plain = sorted(map(str, df.join(names, ["g"], how).collect()))
+        assert sorted(map(str, join_split(df, names, ["g"], ["v"], how, hot_rows=100).collect())) == plain
 
 
 def test_adjacency_has_one_form_for_all_vertices(spark):

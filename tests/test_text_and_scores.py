@@ -230,8 +230,10 @@ def test_roles_and_display_text(spark):
     assert got == {":ARG0-of": ("ARG", 0, True), ":ARG1": ("ARG", 1, False), ":mod": ("mod", None, False),
                    ":prep-out-of": ("prep-out-of", None, False), ":prep-on-behalf-of": ("prep-on-behalf-of", None, False),
                    ":op12": ("op", 12, False), ":x_y": ("x_y", None, False), ":consist-of": ("consist", None, True)}
-    with pytest.raises(Exception):
-        spark.range(1).select(RL.parse_role(F.lit("ARG0"))).collect()
+    bare = spark.createDataFrame([("d", "role", "ARG0"), ("e", "role", ":ARG0"), ("d", "sentence", "sent")],
+                                 "doc_id string, edge_type string, role string")
+    assert [tuple(r[0]) for r in bare.where("role = 'ARG0'").select(RL.parse_role(F.col("role"))).collect()] == [(None, None, None)]
+    assert [tuple(r) for r in RL.role_failures(bare).collect()] == [("d", "role", "role must start with a colon: ARG0")]
     text = spark.createDataFrame([("A short one.",), ("The earthquake had a depth of nearly 12 miles.",)], "t string")
     assert [r[0] for r in text.select(X.shorten(F.col("t"))).collect()] == ["A short one.", "The earthquake [...]"]
     const = spark.createDataFrame([('"True"',), ("6",), ("1.5",), ("-",), (None,)], "c string").select(

@@ -49,3 +49,22 @@ def with_totals(big: DataFrame, keys: Sequence[str], totals: Sequence[Column],
         "_salt", F.coalesce(F.pmod(F.xxhash64(*spread_cols), F.col("_split")), F.lit(0)).cast("long")).drop("_split")
     right = per.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
     return left.join(right, [*names, "_salt"]).drop("_salt")
+
+
+def join_split(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Sequence[str | Column],
+               how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``join_salted`` with as many splits as a key's rows ask for.
+
+    The rows of each key of ``big`` are counted; a key with more than ``hot_rows`` is split into
+    that many parts, its rows in ``small`` are copied once per part and nothing else is.  The list
+    of hot keys is broadcast and has at most ``rows / hot_rows`` entries.
+    """
+    names = list(keys)
+    per = big.groupBy(*names).agg(F.ceil(F.count(F.lit(1)) / F.lit(hot_rows)).cast("long").alias("_parts"))
+    hot = F.broadcast(per.where("_parts > 1"))
+    spread_cols = [F.col(c) if isinstance(c, str) else c for c in spread]
+    left = big.join(hot, names, "left").withColumn(
+        "_salt", F.coalesce(F.pmod(F.xxhash64(*spread_cols), F.col("_parts")), F.lit(0)).cast("long")).drop("_parts")
+    right = small.join(hot, names, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return left.join(right, [*names, "_salt"], how).drop("_salt")
