@@ -25,16 +25,20 @@ from functools import reduce
 from operator import and_
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.lineage import discard, materialize
 from weftgraph.llm.common import free_name, release
-from weftgraph.skew import SALT, join_salted
+from weftgraph.skew import join_split
 
-GROUP = 256
+#: Classes of a group, and tokens of their sets; the last set may go over.
+GROUP, GROUP_TOKENS = 256, 1 << 20
+#: Tokens that a task holds before it hands on what it has.
+SLICE = 1 << 19
 #: Query classes that one task compares with an opened group.
 QUERIES = 512
 #: Tokens of at least so many documents go last, at most ``FREQUENT`` of them (a broadcast
@@ -66,10 +70,10 @@ def _multipliers(width: int) -> np.ndarray:
     return _mixed(np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def tokens_of(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct tokens of a text: its ``width``-word shingles after lower-casing A-Z,
-    or all its words as one shingle if there are fewer; none without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def tokens_of(text: bytes | None, width: int, hashes: WordHashes) -> np.ndarray:
+    """Sorted distinct tokens of a text in UTF-8: its ``width``-word shingles after lower-casing
+    A-Z, or all its words as one shingle if there are fewer; none without words."""
+    words = (text or b"").lower().split()
     if not words:
         return np.empty(0, np.uint64)
     n = min(width, len(words))
@@ -108,17 +112,26 @@ class Link:
 
 def _frequent(texts: DataFrame, link: Link) -> tuple[np.ndarray, np.ndarray]:
     """Frequent tokens (sorted) and in how many texts they are among the deciding ones."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        for b in batches:
-            first = []
-            for t in b["text"]:
-                x = tokens_of(t, link.width, hashes)
-                first.append(x[:link.deciding(len(x)) * 5 // 4] if len(x) else x)
-            codes, n = np.unique(np.concatenate(first), return_counts=True) if first else (np.empty(0, np.uint64),) * 2
-            yield pd.DataFrame({"token": codes.view(np.int64), "n": n.astype(np.int64)})
-
-    found = (texts.mapInPandas(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, n = WordHashes(), [], 0
+
+        def counted():
+            codes, times = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(times.astype(np.int64))], ["token", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                x = tokens_of(text.as_py(), link.width, hashes)
+                if len(x):
+                    held.append(x[:link.deciding(len(x)) * 5 // 4].copy())
+                    n += len(held[-1])
+                if n >= SLICE:
+                    yield counted()
+                    held, n = [], 0
+        if held:
+            yield counted()
+
+    found = (texts.select("text").mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
              .where(F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas())
     tokens = found["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
@@ -129,67 +142,114 @@ def _sets(texts: DataFrame, link: Link, frequent: tuple[np.ndarray, np.ndarray])
     """Per row the size and digest of its set, what it is ordered by and its deciding tokens."""
     known, often = frequent
 
-    @F.pandas_udf("n int, digest binary, o1 bigint, o2 bigint, o3 bigint, o4 bigint, tokens array<bigint>")
-    def describe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def describe(text: bytes | None, hashes: WordHashes) -> tuple:
+        x = tokens_of(text, link.width, hashes)
+        if not len(x):
+            return 0, b"", 0, 0, 0, 0, x.view(np.int64)
+        rank = np.zeros(len(x), np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+            rank = np.where(known[at] == x, often[at], 0)
+        order, signed, top = None, x.view(np.int64), [0, 0]
+        if rank.any():
+            order = np.lexsort((x, rank))
+            top = [int(signed[i]) if rank[i] else 0 for i in (order[-1], order[-2 if len(x) > 1 else -1])]
+        first = signed[:link.deciding(len(x))].copy() if order is None else signed[order[:link.deciding(len(x))]]
+        low = int((x * np.uint64(0x9E3779B97F4A7C15)).min().view(np.int64))
+        return len(x), xxhash.xxh3_128_digest(x.tobytes()), *top, int(signed[0]), low, first
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for s in batches:
-            rows = []
-            for t in s:
-                x = tokens_of(t, link.width, hashes)
-                if not len(x):
-                    rows.append((0, b"", 0, 0, 0, 0, x.view(np.int64)))
-                    continue
-                rank = np.zeros(len(x), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                    rank = np.where(known[at] == x, often[at], 0)
-                order, signed, top = None, x.view(np.int64), [0, 0]
-                if rank.any():
-                    order = np.lexsort((x, rank))
-                    top = [int(signed[i]) if rank[i] else 0 for i in (order[-1], order[-2 if len(x) > 1 else -1])]
-                first = signed[:link.deciding(len(x))] if order is None else signed[order[:link.deciding(len(x))]]
-                low = int((x * np.uint64(0x9E3779B97F4A7C15)).min().view(np.int64))
-                rows.append((len(x), xxhash.xxh3_128_digest(x.tobytes()), *top, int(signed[0]), low, first))
-            yield pd.DataFrame(rows, columns=["n", "digest", "o1", "o2", "o3", "o4", "tokens"])
-
-    return texts.withColumn("s", describe(F.col("text"))).select("doc_id", "key", "s.*")
+        for batch in batches:
+            rows, start, n = [], 0, 0
+
+            def part(stop):
+                *plain, tokens = zip(*rows)
+                ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
+                kinds = (pa.int32(), pa.binary(), *[pa.int64()] * 4)
+                return pa.RecordBatch.from_arrays(
+                    [*[batch.column(c)[start:stop] for c in (0, 1)], *[pa.array(p, k) for p, k in zip(plain, kinds)],
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens)))],
+                    ["doc_id", "key", "n", "digest", "o1", "o2", "o3", "o4", "tokens"])
+
+            for i, text in enumerate(batch.column(2)):
+                rows.append(describe(text.as_py(), hashes))
+                n += len(rows[-1][-1])
+                if n >= SLICE:
+                    yield part(i + 1)
+                    rows, start, n = [], i + 1, 0
+            if rows:
+                yield part(batch.num_rows)
+
+    return texts.select("doc_id", "key", "text").mapInArrow(
+        sets, "doc_id bigint, key bigint, n int, digest binary, o1 bigint, o2 bigint, o3 bigint, o4 bigint, tokens array<bigint>")
+
+
+class _Unit:
+    """Members of an opened group and, one by one, the query classes that they are compared with."""
+
+    def __init__(self, link: Link):
+        self.link, self.root, self.ids, self.sets, self.index = link, {}, [], [], None
+
+    def _find(self, c: int) -> int:
+        while self.root[c] != c:
+            self.root[c] = c = self.root[self.root[c]]
+        return c
+
+    def member(self, cid: int, tokens: np.ndarray) -> None:
+        self.root.setdefault(cid, cid)
+        self.ids.append(cid)
+        self.sets.append(tokens)
+
+    def query(self, cid: int, mine: np.ndarray) -> None:
+        self.root.setdefault(cid, cid)
+        if not self.ids:
+            return
+        if self.index is None:
+            sizes = np.array([len(x) for x in self.sets])
+            tokens, owner = np.concatenate(self.sets), np.repeat(np.arange(len(self.ids)), sizes)
+            order = np.argsort(tokens, kind="stable")
+            self.index, self.sets = (tokens[order], owner[order], sizes), []
+        tokens, owner, sizes = self.index
+        low, high = np.searchsorted(tokens, mine, "left"), np.searchsorted(tokens, mine, "right")
+        n = high - low
+        at = np.repeat(low - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(self.ids))
+        for i in np.flatnonzero(self.link.den * both >= self.link.num * (sizes + len(mine) - both)):
+            a, b = self._find(cid), self._find(self.ids[i])
+            if a != b:
+                self.root[max(a, b)] = min(a, b)
+
+    def links(self) -> list[tuple[int, int]]:
+        """A star to the smallest class of each set of classes that the links connect."""
+        return [(c, self._find(c)) for c in self.root if self._find(c) != c]
 
 
 def _compare(link: Link):
-    """Exact comparison of an opened group's members with query classes; the links found, as
-    a star to the smallest class of each set of classes that they connect."""
-    def compare(unit: pd.DataFrame) -> pd.DataFrame:
-        hashes = WordHashes()
-        unit = unit.drop_duplicates(["cid", "member"]).sort_values("cid")
-        members, queries = unit[unit["member"]], unit[~unit["member"]]
-        sets = {c: tokens_of(t, link.width, hashes) for c, t in zip(unit["cid"], unit["text"])}
-        ids = members["cid"].to_numpy()
-        root = {c: c for c in unit["cid"]}
-
-        def find(c):
-            while root[c] != c:
-                root[c] = c = root[root[c]]
-            return c
-
-        if len(ids):
-            sizes = np.array([len(sets[c]) for c in ids])
-            owner = np.repeat(np.arange(len(ids)), sizes)
-            tokens = np.concatenate([sets[c] for c in ids])
-            order = np.argsort(tokens, kind="stable")
-            tokens, owner = tokens[order], owner[order]
-            for q in queries["cid"]:
-                mine = sets[q]
-                low, high = np.searchsorted(tokens, mine, "left"), np.searchsorted(tokens, mine, "right")
-                n = high - low
-                at = np.repeat(low - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-                both = np.bincount(owner[at], minlength=len(ids))
-                linked = link.den * both >= link.num * (sizes + len(mine) - both)
-                for c in ids[linked]:
-                    a, b = find(q), find(int(c))
-                    if a != b:
-                        root[max(a, b)] = min(a, b)
-        found = [(c, find(c)) for c in root if find(c) != c]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    """Exact comparison of opened groups' members with query classes, from rows sorted by
+    unit with the members first; tokens of one unit's members are in memory, no texts."""
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, unit, here, last, found = WordHashes(), None, None, None, []
+
+        def out():
+            a, b = zip(*found) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            gid, part, cid = (batch.column(c).to_numpy() for c in (0, 1, 3))
+            query = batch.column(2).to_numpy(zero_copy_only=False)
+            for i, text in enumerate(batch.column(4)):
+                if (gid[i], part[i]) != here:
+                    found += unit.links() if unit else []
+                    unit, here, last = _Unit(link), (gid[i], part[i]), None
+                if (cid[i], query[i]) == last:  # a row that the input repeats
+                    continue
+                last = cid[i], query[i]
+                (unit.query if query[i] else unit.member)(int(cid[i]), tokens_of(text.as_py(), link.width, hashes))
+            yield out()
+            found = []
+        found += unit.links() if unit else []
+        yield out()
 
     return compare
 
@@ -220,16 +280,28 @@ def components(edges: DataFrame) -> DataFrame:
 def _classes(rows: DataFrame) -> DataFrame:
     """``cid, gid`` and one row (``doc_id, key``) of every class of equal sets.
 
-    Ids follow the order of the classes inside a partition, so a group of ``GROUP`` ids in
-    a row never spans partitions.
+    Ids follow the order of the classes inside a partition, so a group's ids are in a row and
+    never span partitions.
     """
     order = ["o1", "o2", "o3", "o4", "digest"]
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("f")
-    classes = rows.where("n > 0").groupBy(*order).agg(one)
+    classes = rows.where("n > 0").groupBy(*order).agg(one, F.max("n").alias("n"))
     classes = classes.repartitionByRange(*order).sortWithinPartitions(*order)
-    return materialize(classes.select(
-        "digest", "f.doc_id", "f.key", F.monotonically_increasing_id().alias("cid")).withColumn(
-        "gid", F.floor(F.col("cid") / GROUP).cast("long")), "near-classes")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, full, seen = TaskContext.get().partitionId() << 33, 0, 0
+        for batch in batches:
+            # a class fills its share of a group by number or by tokens
+            weight = np.maximum(batch.column(3).to_numpy().astype(np.int64), -(-GROUP_TOKENS // GROUP))
+            before = full + np.cumsum(weight) - weight
+            cid = start + seen + np.arange(batch.num_rows)
+            full, seen = full + int(weight.sum()), seen + batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in (0, 1, 2)], pa.array(cid), pa.array(start + before // GROUP_TOKENS)],
+                ["digest", "doc_id", "key", "cid", "gid"])
+
+    return materialize(classes.select("digest", "f.doc_id", "f.key", "n").mapInArrow(
+        number, "digest binary, doc_id bigint, key bigint, cid bigint, gid bigint"), "near-classes")
 
 
 def _shared(rows: DataFrame, classes: DataFrame, link: Link) -> DataFrame:
@@ -237,14 +309,17 @@ def _shared(rows: DataFrame, classes: DataFrame, link: Link) -> DataFrame:
     that have as many of them as any partner would ask for."""
     same = [rows["digest"] == classes["digest"], rows["key"] == classes["key"],
             rows["doc_id"].eqNullSafe(classes["doc_id"])]
-    entries = rows.join(classes, reduce(and_, same)).select("cid", "gid", "n", F.explode("tokens").alias("token"))
-    # the one shuffle of all tokens; rows repeated in the input only raise counts, and a
+    entries = materialize(
+        rows.join(classes, reduce(and_, same)).select("cid", "gid", "n", F.explode("tokens").alias("token")), "near-entries")
+    # counts are added up before the shuffle; rows repeated in the input only raise them, and a
     # count that is too high opens a group more
-    often = F.count(F.lit(1)).over(Window.partitionBy("token"))
-    several = materialize(entries.repartition("token").withColumn("_c", often).where("_c > 1").drop("_c"), "near-several")
+    several = entries.groupBy("token").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("token")
+    several = materialize(entries.join(several, "token", "left_semi"), "near-several")
     enough = (several.groupBy("cid").agg(F.count(F.lit(1)).alias("_c"), F.max("n").alias("_n"))
               .where(F.col("_c") >= link.least_common(F.col("_n"))).select("cid"))
-    return materialize(several.join(enough, "cid", "left_semi"), "near-shared")
+    out = materialize(several.join(enough, "cid", "left_semi"), "near-shared")
+    discard(entries, several)
+    return out
 
 
 def _opened(shared: DataFrame, link: Link) -> DataFrame:
@@ -253,8 +328,9 @@ def _opened(shared: DataFrame, link: Link) -> DataFrame:
         F.count(F.lit(1)).alias("_c"), F.min("n").alias("_least"), F.max("n").alias("_most"))
     ask = shared.select("token", F.col("cid").alias("query"), F.col("gid").alias("own"), "n")
     # of two groups the earlier is opened for queries of the later; sizes must fit as well
+    # a frequent token's queries are many, its groups are few: the queries are what is split
     return materialize(
-        ask.join(matrix, "token")
+        join_split(ask, matrix, ["token"], ["query"])
         .where((F.col("gid") < F.col("own")) | ((F.col("gid") == F.col("own")) & (F.col("_c") > 1)))
         .where((F.col("_most") * link.den >= F.col("n") * link.num) & (F.col("n") * link.den >= F.col("_least") * link.num))
         .groupBy("query", "gid").agg(F.count(F.lit(1)).alias("_c"), F.max("n").alias("_n"))
@@ -267,22 +343,23 @@ def _links(keyed: DataFrame, classes: DataFrame, shared: DataFrame, opened: Data
                         "near-units")
     asked = opened.join(units, "gid").select(
         F.col("query").alias("cid"), "gid", F.pmod(F.xxhash64("query"), F.col("parts")).cast("int").alias("part"),
-        F.lit(False).alias("member"))
+        F.lit(True).alias("query"))
     present = shared.select("cid", "gid").distinct().join(units, "gid").select(
-        "cid", "gid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("member"))
+        "cid", "gid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("query"))
     rep = classes.select("cid", F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
     wanted = asked.unionByName(present).join(rep, "cid")
     same = (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    unit = keyed.join(wanted, same).select("gid", "part", "cid", "member", "text")
-    return materialize(unit.groupBy("gid", "part").applyInPandas(_compare(link), "a bigint, b bigint"), "near-links")
+    unit = keyed.join(wanted, same).select("gid", "part", "query", "cid", "text")
+    unit = unit.repartition("gid", "part").sortWithinPartitions("gid", "part", "query", "cid")
+    return materialize(unit.mapInArrow(_compare(link), "a bigint, b bigint"), "near-links")
 
 
 def _rows(docs: DataFrame, link: Link, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Slim rows ``doc_id, key, n, digest`` and ``digest, component`` of all classes."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    keyed = texts.withColumn("key", F.xxhash64("text"))
-    frequent = _frequent(texts.select("text"), link)
+    keyed = texts.select("doc_id", F.xxhash64("text").alias("key"), F.encode("text", "UTF-8").alias("text"))
+    frequent = _frequent(keyed, link)
     release(spark)
     sets = materialize(_sets(keyed, link, frequent), "near-sets")
     rows = materialize(sets.select("doc_id", "key", "n", "digest"), "near-rows")
@@ -311,9 +388,8 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     rows, named = _rows(docs, Link(width, num, den), id_col, text_col)
     lowest = rows.groupBy("digest").agg(F.min("doc_id").alias("_low")).join(named, "digest")
     first = lowest.groupBy("component").agg(F.min("_low").alias("component_id"))
-    ids = join_salted(lowest.select("digest", "component"), first, ["component"], ["digest"], salt=SALT).select(
-        "digest", "component_id")
-    out = join_salted(rows, ids, ["digest"], ["doc_id", "key"], "left", salt=SALT)
+    ids = join_split(lowest.select("digest", "component"), first, ["component"], ["digest"]).select("digest", "component_id")
+    out = join_split(rows, ids, ["digest"], ["doc_id", "key"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"),
                       F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
