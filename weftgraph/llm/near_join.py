@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.lineage import discard, materialize
@@ -139,13 +139,14 @@ def _frequent(texts: DataFrame, link: Link) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(texts: DataFrame, link: Link, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Per row the size and digest of its set, what it is ordered by and its deciding tokens."""
+    """Per row the size and digest of its set, what it is ordered by and its deciding tokens,
+    of which the last ``tail`` are frequent ones."""
     known, often = frequent
 
     def describe(text: bytes | None, hashes: WordHashes) -> tuple:
         x = tokens_of(text, link.width, hashes)
         if not len(x):
-            return 0, b"", 0, 0, 0, 0, x.view(np.int64)
+            return 0, b"", 0, 0, 0, 0, 0, x.view(np.int64)
         rank = np.zeros(len(x), np.int64)
         if len(known):
             at = np.minimum(np.searchsorted(known, x), len(known) - 1)
@@ -156,7 +157,8 @@ def _sets(texts: DataFrame, link: Link, frequent: tuple[np.ndarray, np.ndarray])
             top = [int(signed[i]) if rank[i] else 0 for i in (order[-1], order[-2 if len(x) > 1 else -1])]
         first = signed[:link.deciding(len(x))].copy() if order is None else signed[order[:link.deciding(len(x))]]
         low = int((x * np.uint64(0x9E3779B97F4A7C15)).min().view(np.int64))
-        return len(x), xxhash.xxh3_128_digest(x.tobytes()), *top, int(signed[0]), low, first
+        tail = len(first) if order is None else int(np.count_nonzero(rank[order[:len(first)]]))
+        return len(x), xxhash.xxh3_128_digest(x.tobytes()), *top, int(signed[0]), low, tail if rank.any() else 0, first
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -166,11 +168,11 @@ def _sets(texts: DataFrame, link: Link, frequent: tuple[np.ndarray, np.ndarray])
             def part(stop):
                 *plain, tokens = zip(*rows)
                 ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
-                kinds = (pa.int32(), pa.binary(), *[pa.int64()] * 4)
+                kinds = (pa.int32(), pa.binary(), *[pa.int64()] * 4, pa.int32())
                 return pa.RecordBatch.from_arrays(
                     [*[batch.column(c)[start:stop] for c in (0, 1)], *[pa.array(p, k) for p, k in zip(plain, kinds)],
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens)))],
-                    ["doc_id", "key", "n", "digest", "o1", "o2", "o3", "o4", "tokens"])
+                    ["doc_id", "key", "n", "digest", "o1", "o2", "o3", "o4", "tail", "tokens"])
 
             for i, text in enumerate(batch.column(2)):
                 rows.append(describe(text.as_py(), hashes))
@@ -182,7 +184,8 @@ def _sets(texts: DataFrame, link: Link, frequent: tuple[np.ndarray, np.ndarray])
                 yield part(batch.num_rows)
 
     return texts.select("doc_id", "key", "text").mapInArrow(
-        sets, "doc_id bigint, key bigint, n int, digest binary, o1 bigint, o2 bigint, o3 bigint, o4 bigint, tokens array<bigint>")
+        sets, "doc_id bigint, key bigint, n int, digest binary, o1 bigint, o2 bigint, o3 bigint, o4 bigint, "
+        "tail int, tokens array<bigint>")
 
 
 class _Unit:
@@ -309,16 +312,18 @@ def _shared(rows: DataFrame, classes: DataFrame, link: Link) -> DataFrame:
     that have as many of them as any partner would ask for."""
     same = [rows["digest"] == classes["digest"], rows["key"] == classes["key"],
             rows["doc_id"].eqNullSafe(classes["doc_id"])]
-    entries = materialize(
-        rows.join(classes, reduce(and_, same)).select("cid", "gid", "n", F.explode("tokens").alias("token")), "near-entries")
-    # counts are added up before the shuffle; rows repeated in the input only raise them, and a
-    # count that is too high opens a group more
-    several = entries.groupBy("token").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("token")
-    several = materialize(entries.join(several, "token", "left_semi"), "near-several")
+    entries = rows.join(classes, reduce(and_, same)).select(
+        "cid", "gid", "n", (F.size("tokens") - F.col("tail")).alias("_rare"), F.posexplode("tokens").alias("_at", "token"))
+    # frequent tokens need no count and never meet in a task; of the others every one has few rows.
+    # Rows repeated in the input only raise counts, and a count that is too high opens a group more
+    columns = ["token", "cid", "gid", "n"]
+    often = F.count(F.lit(1)).over(Window.partitionBy("token"))
+    rare = entries.where("_at < _rare").select(*columns).repartition("token").withColumn("_c", often).where("_c > 1")
+    several = materialize(rare.select(*columns).unionByName(entries.where("_at >= _rare").select(*columns)), "near-several")
     enough = (several.groupBy("cid").agg(F.count(F.lit(1)).alias("_c"), F.max("n").alias("_n"))
               .where(F.col("_c") >= link.least_common(F.col("_n"))).select("cid"))
     out = materialize(several.join(enough, "cid", "left_semi"), "near-shared")
-    discard(entries, several)
+    discard(several)
     return out
 
 
