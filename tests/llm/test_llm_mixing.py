@@ -86,6 +86,32 @@ def test_hot_length_is_ranked_by_parts(spark, monkeypatch):
         assert mine[0]["target"] - 3 < sum(r["taken"] for r in mine) <= mine[0]["target"]
 
 
+def test_repeated_rows_are_taken_to_the_target(spark):
+    rows = [(7, "a", "one two three four five six seven eight nine ten", 0, 0)] * 1000 + [(8, "b", "x y z", 0, 0)] * 333
+    rows += [(i, None, "u v", 0, 0) for i in range(100, 120)] + [(9, None, "u v", 0, 0)] * 9
+    size = {s: sum(len(t.split()) for _, x, t, *_ in rows if x == s) for s in ("a", "b", None)}
+    target, taken = plain_targets(size), collections.Counter()
+    got = mixing.mix_report(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        s = {7: "a", 8: "b"}.get(r["doc_id"])
+        assert r["taken"] in (0, r["size"], 2 * r["size"]) and r["target"] == pytest.approx(target[s])
+        taken[s] += r["taken"]
+    longest = {"a": 10, "b": 3, None: 2}
+    assert all(target[s] - longest[s] < taken[s] <= target[s] + 1e-6 for s in target)
+    again = mixing.mix_report(spark.createDataFrame(rows[::-1], SCHEMA).repartition(3)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+    out = collections.Counter(r["doc_id"] for r in mixing.mixed(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert out[7] * 10 == taken["a"] and out[8] * 3 == taken["b"]
+
+
+def test_long_text_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a", "w " * 300_000, 5, 6, 7, 8), (2, "a", "w", 5, 6, 7, 8)],
+                               "doc_id long, source string, text string, _src int, _key int, _BASE int, Target int")
+    out = mixing.mix(df)
+    assert out.columns[:7] == df.columns and {tuple(r)[3:8] for r in out.collect()} == {(5, 6, 7, 8, 300_000), (5, 6, 7, 8, 1)}
+
+
 def test_no_words_and_empty_table(spark):
     got = mixing.mix_report(spark.createDataFrame([(1, "a", None, 0, 0), (2, None, " ", 0, 0)], SCHEMA)).collect()
     assert [(r["size"], r["target"], r["taken"]) for r in got] == [(0, 0.0, 0)] * 2

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from weftgraph.lineage import materialize
 from weftgraph.llm.common import free_name, unit_hash, words_of
 from weftgraph.operators.graph import dense_ids
-from weftgraph.skew import SALT, join_salted
+from weftgraph.skew import join_split
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -28,7 +28,7 @@ SEED = 20_240_607
 #: Words of budget that the table of reachable sums covers; more is filled greedily first.
 WINDOW = 1 << 16
 #: Documents of one source and length that are ranked together.
-RANKED = 4096
+RANKED = 512
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE,
@@ -114,9 +114,9 @@ def mix_plan(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
              most: float = MOST) -> tuple[DataFrame, DataFrame]:
     """Targets, and per source and length how documents are taken.
 
-    ``sizes`` has ``source, size, _key``.  The plan has ``source, size, _base, _last``:
-    each document is taken ``_base`` times and once more if its key is at most ``_last``.
-    Rows equal in every column have one key and are taken alike.
+    ``sizes`` has ``source, size, _key``.  The plan has ``source, size, _base, _last, _some``:
+    each document is taken ``_base`` times and once more if its key is below ``_last``, and of
+    the rows whose key is ``_last`` the first ``_some`` are; null: all of them.
     """
     goal = targets(sizes, weights, share, most)
     goal = materialize(goal, "mix-targets")
@@ -129,22 +129,22 @@ def mix_plan(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     fitted = materialize(fitted.withColumn("_src", _source_key(F.col("source"))), "mix-lengths")
     part = fitted.where("_k > 0 and _k < _n").select(
         "_src", "size", "_k", F.ceil(F.col("_n") / RANKED).cast("long").alias("_nb"))
-    rows = join_salted(sizes.select(_source_key(F.col("source")).alias("_src"), "size", "_key"),
-                       part, ["_src", "size"], ["_key"], salt=SALT)
-    rows = rows.withColumn("_bucket", F.least(
-        F.floor(F.col("_key") / F.lit(2.0 ** 63) * F.col("_nb")), F.col("_nb") - 1))
-    upto = Window.partitionBy("_src", "size").orderBy("_bucket")
-    edge = (rows.groupBy("_src", "size", "_bucket").agg(F.count(F.lit(1)).alias("_c"), F.max("_k").alias("_k"))
-            .withColumn("_cum", F.sum("_c").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
-            .where("_cum >= _k and _cum - _c < _k")
+    # rows equal in every column have one key: they are counted, not ranked
+    keys = sizes.groupBy(_source_key(F.col("source")).alias("_src"), "size", "_key").agg(F.count(F.lit(1)).alias("_c"))
+    rows = materialize(join_split(keys, part, ["_src", "size"], ["_key"]).withColumn("_bucket", F.least(
+        F.floor(F.col("_key") / F.lit(2.0 ** 63) * F.col("_nb")), F.col("_nb") - 1)), "mix-keys")
+    upto = Window.partitionBy("_src", "size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    edge = (rows.groupBy("_src", "size", "_bucket").agg(F.sum("_c").alias("_c"), F.max("_k").alias("_k"))
+            .withColumn("_cum", F.sum("_c").over(upto)).where("_cum >= _k and _cum - _c < _k")
             .select("_src", "size", "_bucket", (F.col("_k") - F.col("_cum") + F.col("_c")).alias("_in")))
     inside = rows.join(edge, ["_src", "size", "_bucket"])
-    rank = F.row_number().over(Window.partitionBy("_src", "size").orderBy("_key"))
-    last = (inside.withColumn("_rank", rank).where("_rank = _in")
-            .select("_src", "size", F.col("_key").alias("_last")))
+    so_far = Window.partitionBy("_src", "size").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
+    last = (inside.withColumn("_cum", F.sum("_c").over(so_far)).where("_cum >= _in and _cum - _c < _in")
+            .select("_src", "size", F.col("_key").alias("_last"),
+                    F.when(F.col("_cum") > F.col("_in"), F.col("_in") - F.col("_cum") + F.col("_c")).alias("_some")))
     plan = fitted.join(last, ["_src", "size"], "left").select(
         "_src", "size", "_base", F.when(F.col("_k") == 0, F.lit(-1)).when(
-            F.col("_k") >= F.col("_n"), F.lit(2 ** 63 - 1)).otherwise(F.col("_last")).alias("_last"))
+            F.col("_k") >= F.col("_n"), F.lit(2 ** 63 - 1)).otherwise(F.col("_last")).alias("_last"), "_some")
     return goal, materialize(plan, "mix-plan")
 
 
@@ -153,44 +153,68 @@ def _source_key(c: Column) -> Column:
     return F.when(c.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), c))
 
 
+def _measured(docs: DataFrame, size: str, key: str, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return docs.withColumn(size, words_of(F.col(text_col))).withColumn(
+        key, unit_hash(F.lit(seed), F.col(id_col), F.col(source_col), F.col(text_col)))
+
+
+def _with_copies(rows: DataFrame, slim: DataFrame, names: Sequence[str], source_col: str, weights: Sequence[float],
+                 share: float, most: float) -> DataFrame:
+    """``rows`` with their source's size and target and the times that each is taken.
+
+    ``names`` are those of the size and the key in ``rows`` and of the new columns.
+    """
+    size, key, goal_size, goal, copies = names
+    src, base, last, some, place = free_name(rows, "_src", "_base", "_last", "_some", "_place")
+    sources, plan = mix_plan(slim, weights, share, most)
+    by_length = plan.join(sources.select(_source_key(F.col("source")).alias("_src"), "source_size", "target"), "_src")
+    by_length = by_length.select(*[F.col(a).alias(b) for a, b in zip(
+        ("_src", "size", "_base", "_last", "_some", "source_size", "target"), (src, size, base, last, some, goal_size, goal))])
+    out = join_split(rows.withColumn(src, _source_key(F.col(source_col).cast("string"))), by_length, [src, size], [key])
+    # of equal rows at the cut as many are taken as the budget has room for
+    cut = (F.col(key) == F.col(last)) & F.col(some).isNotNull()
+    whole = out.where(~cut).withColumn(copies, F.col(base) + (F.col(key) <= F.col(last)).cast("int"))
+    if plan.where("_some is not null").isEmpty():
+        return whole.drop(src, base, last, some)
+    split = out.where(cut).withColumn(place, F.monotonically_increasing_id())
+    split = dense_ids(split, [src, size, key], [place], copies)
+    split = split.withColumn(copies, F.col(base) + (F.col(copies) < F.col(some)).cast("int")).drop(place)
+    return whole.unionByName(split).drop(src, base, last, some)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST,
-        seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """All rows of ``docs`` with ``size`` (words), ``source_size``, ``target`` and
-    ``copies`` (0 to 2) under names that no column has, and the sources' targets.
+        weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
+    """All rows of ``docs`` and, last, ``size`` (words), ``source_size``, ``target`` and ``copies``
+    (0 to 2) under names that no column has.
 
     A null text has size 0, a null source is a source of its own after all others, a null
-    id is a value like others.  Rows equal in id, source and text are taken alike.  With no
-    words at all every target is 0 and no document is taken.  ``most`` is a whole number.
+    id is a value like others.  Repeated rows are documents of their own: where the budget has
+    room for some of them, some are taken.  With no words at all every target is 0 and no
+    document is taken; an empty table gives an empty result.  ``most`` is a whole number.
     """
-    size, key, src, base, last, goal_size, goal, copies, had = free_name(
-        docs, "size", "_key", "_src", "_base", "_last", "source_size", "target", "copies", "_had")
-    rows = docs.withColumn(size, words_of(F.col(text_col))).withColumn(
-        key, unit_hash(F.lit(seed), F.col(id_col), F.col(source_col), F.col(text_col)))
+    size, key, goal_size, goal, copies = free_name(docs, "size", "_key", "source_size", "target", "copies")
+    rows = _measured(docs, size, key, seed, id_col, text_col, source_col)
     slim = materialize(rows.select(F.col(source_col).cast("string").alias("source"), F.col(size).alias("size"),
                                    F.col(key).alias("_key")), "mix-sizes")
-    sources, plan = mix_plan(slim, weights, share, most)
-    by_length = plan.join(sources.select(_source_key(F.col("source")).alias("_src"), "source_size", "target"), "_src")
-    by_length = by_length.select(*[F.col(a).alias(b) for a, b in zip(
-        ("_src", "size", "_base", "_last", "source_size", "target"), (src, size, base, last, goal_size, goal))])
-    out = join_salted(rows.withColumn(src, _source_key(F.col(source_col).cast("string"))), by_length,
-                      [src, size], [key], salt=SALT)
-    out = out.withColumn(copies, F.col(base) + (F.col(key) <= F.col(last)).cast("int"))
-    names = [*docs.columns, size, goal_size, goal, copies]
-    return out.select(*names), sources
+    out = _with_copies(rows, slim, (size, key, goal_size, goal, copies), source_col, weights, share, most)
+    return out.select(*docs.columns, size, goal_size, goal, copies)
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` of every document."""
-    slim = docs.select("doc_id", "source", "text")
-    out, _ = mix(slim)
-    return out.select("doc_id", "size", "source_size", "target",
-                      (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    """``doc_id, size, source_size, target, taken`` of every document; odd rows as in ``mix``.
+
+    The texts are read once, for their sizes and keys.
+    """
+    rows = _measured(docs.select("doc_id", "source", "text"), "size", "_key", SEED, "doc_id", "text", "source")
+    slim = materialize(rows.select("doc_id", F.col("source").cast("string").alias("source"), "size", "_key"), "mix-sizes")
+    out = _with_copies(slim, slim.drop("doc_id"), ("size", "_key", "source_size", "target", "copies"), "source", WEIGHTS, SHARE, MOST)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mixed corpus: every document as often as it is taken, columns as given."""
-    out, _ = mix(docs)
+    """The mixed corpus: every document as often as it is taken, columns as given; odd rows as
+    in ``mix``."""
+    out = mix(docs)
     copies = out.columns[-1]
     names = docs.columns
     return (out.where(F.col(copies) > 0)
