@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -177,11 +178,12 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text",
     ``und`` with score 0 where the text is null, empty or has no letter, or where no
     language was learned.  Equal distances go to the language first by name.
     """
-    @F.pandas_udf("lang string, score double")
-    def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang string, score double")
+    def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         letters = letter_table()
-        for s in texts:
-            yield pd.DataFrame([profiles.predict(t, letters) for t in s], columns=["lang", "score"])
+        for batch in texts:  # one text at a time becomes a Python value
+            lang, score = zip(*(profiles.predict(t.as_py(), letters) for t in batch)) if len(batch) else ((), ())
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
 
     out, = free_name(docs, "_lang")
     return (docs.withColumn(out, predict(F.col(text_col).cast("string")))
@@ -209,7 +211,11 @@ def least_score(docs: DataFrame, profiles: Profiles, share: float = SHARE, tail:
 
 def keep_identified(docs: DataFrame, profiles: Profiles, least: float = 0.0) -> DataFrame:
     """Documents whose language is known with a score above 0 and of at least ``least``; a
-    score of 0 means that no profile has any n-gram of the text."""
+    score of 0 means that no profile has any n-gram of the text.
+
+    A null text, one without letters and all texts where nothing was learned go; repeated rows
+    stay or go together; an empty table gives an empty result.
+    """
     lang, score = free_name(docs, "lang_pred", "score")
     found = identify(docs, profiles, names=(lang, score))
     return found.where((F.col(lang) != UND) & (F.col(score) > 0) & (F.col(score) >= least)).select(*docs.columns)
