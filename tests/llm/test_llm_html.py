@@ -4,6 +4,7 @@ import html
 import itertools
 import random
 import re
+import time
 
 from weftgraph.llm import html_text
 from weftgraph.llm.queries import REGISTRY
@@ -29,14 +30,15 @@ def test_leaf_blocks():
 def test_viterbi_is_the_best_of_all_sequences():
     rng = random.Random(3)
     for _ in range(50):
-        field = html_text.Field({}, [[rng.uniform(-2, 2) for _ in "ab"] for _ in "ab"])
+        field = html_text.Field({}, [[[rng.uniform(-2, 2) for _ in "ab"] for _ in "ab"] for _ in "abc"])
         s = [rng.uniform(-2, 2) for _ in range(rng.randint(1, 7))]
+        changes = [rng.randint(0, 2) for _ in s[1:]]
 
         def value(y):
-            return sum(a for a, l in zip(s, y) if l) + sum(field.moves[a][b] for a, b in zip(y, y[1:]))
+            return sum(a for a, l in zip(s, y) if l) + sum(field.moves[k][a][b] for k, a, b in zip(changes, y, y[1:]))
         best = max(itertools.product((0, 1), repeat=len(s)), key=value)
-        assert abs(value(field.decode(s)) - value(best)) < 1e-9
-    assert html_text.Field({}, [[0, 0], [0, 0]]).decode([]) == []
+        assert abs(value(field.decode(s, changes)) - value(best)) < 1e-9
+    assert html_text.Field({}, [[[0, 0], [0, 0]]] * 3).decode([], []) == []
 
 
 def test_query_against_the_article_element(spark):
@@ -62,7 +64,43 @@ def test_furniture_of_other_pages(spark):
             (f"<div class='ad'>{note}</div>", f"<div class='sidebar'><p>{note}</p></div>", f"<div id='related'><p>{note}</p></div>")):
         for name in ("article", "main"):
             page = f"<html><body>{before}<{name}><h1>Title</h1><p>{long}</p>{inside}<p>{long}</p></{name}>{after}</body></html>"
-            assert field.main_text(page, {}) == f"Title\n{long}\n{long}"
+            assert field.main_text(page) == f"Title\n{long}\n{long}"
+
+
+def test_names_do_not_decide(spark):
+    field = html_text.fit(spark.read.parquet(f"{SF}/pages.parquet"))
+    a = "This is a paragraph of an article, and it is long enough to be read as one."
+    b = "Another long paragraph follows here, with more words that tell what happened next in the story."
+    note = "Readers may want to know that this is not a part of what the article says."
+    top, body = "<div class=topbar><a href=1>Home</a> <a href=2>News</a></div>", f"<p>{a}</p><p>{b}</p>"
+    for page, want in (
+            (f"<body class=widget><main>{body}</main></body>", [a, b]), (f"<article class='tags story'>{body}</article>", [a, b]),
+            (f"<article><div class='widget post'>{body}</div></article>", [a, b]), (body, [a, b]),
+            (f"<article><h1>T</h1>{body}<p>{a}</p><section class=discussion><p>{note}</p><p>I agree with that.</p></section></article>"
+             f"<div class=responses><p>{note}</p><p>Nice one, thanks.</p></div>", ["T", a, b, a]),
+            (f"<body>{top}{body}<p>{a}</p><div class=legal><p>All rights reserved by the owner.</p></div></body>", [a, b, a]),
+            (f"<body>{top}<div class=qqq><h2>Head</h2>{body}<p>{a}</p></div><div class=legal><p>{note}</p></div></body>",
+             ["Head", a, b, a])):
+        assert field.main_text(page).split("\n") == want
+
+
+def test_deep_nesting_takes_time_in_proportion():
+    n = 100_000
+    start = time.time()
+    assert texts("<div>" * n + "x" + "</div>" * n) == ["x"]
+    assert len(texts("".join(f"<div class=c{i % 7}>word " for i in range(n)))) == n
+    assert len(texts("<span>" * n + "<li>a" * n)) == n
+    assert len(texts("<div><table><tr><td>a" * (n // 4))) == n // 4
+    field = html_text.Field({"in:li": 1.0}, [[[0, 0], [0, 0]]] * 3)
+    assert field.main_text("<ul><li>" + "<div>a" * n).count("a") == n
+    assert time.time() - start < 60
+
+
+def test_sample_of_equal_pages(spark):
+    same = "<article><p>The same words on every page, over and over.</p></article>"
+    rows = [(i, "u", same if i % 3 else f"<article><p>Words of the page number {i} are here.</p></article>") for i in range(3000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert html_text.fit(df).weights == html_text.fit(df.repartition(7)).weights
 
 
 def test_edge_cases(spark):
