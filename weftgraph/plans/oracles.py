@@ -275,6 +275,17 @@ select distinct doc_id, node_id from (
   select c.doc_id, c.node_id from closure c join weak on weak.child_id = c.ancestor
   union all select f.doc_id, f.child_id from fpn f join weak using (child_id))"""
 
+ORACLES["tree_intervals"] = f"""with {CLOSURE},
+sized as (select n.doc_id, n.node_id, n.n_desc, h.parent_id from ndesc n left join hier h on h.child_id = n.node_id),
+offsets as (select doc_id, node_id, n_desc, parent_id,
+                   coalesce(sum(n_desc) over (partition by doc_id, parent_id order by node_id
+                            rows between unbounded preceding and 1 preceding), 0)
+                   + case when parent_id is null then 0 else 1 end as off from sized),
+above as (select node_id, ancestor from closure union all select node_id, node_id from hnodes)
+select o.doc_id, o.node_id, cast(count(*) - 1 as bigint) as depth, cast(sum(u.off) as bigint) as first,
+       cast(sum(u.off) + max(o.n_desc) - 1 as bigint) as last
+from offsets o join above a on a.node_id = o.node_id join offsets u on u.node_id = a.ancestor group by all"""
+
 SUMMARY = DAG + """,
 sline as (select o_custkey as doc_id, 'p' || l_partkey as src_node, 'b' || p_brand as smy_node, l_discount
           from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey),

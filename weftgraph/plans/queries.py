@@ -20,6 +20,7 @@ from weftgraph.operators import maxflow as M
 from weftgraph.operators import results as R
 from weftgraph.operators import scoring as E
 from weftgraph.operators import similarity as S
+from weftgraph.operators import trees as TR
 from weftgraph.plans import views as D
 from weftgraph.plans.align import Alignment, StepSets, align
 from weftgraph.plans.align import align_one as align_one_document
@@ -463,11 +464,9 @@ def saturated_flow(spark, sf):
 
 
 def _hier_fpn(spark, sf, mode: str = "fpn") -> tuple[DataFrame, DataFrame]:
-    """Flow per node, and the closure that it was counted with."""
+    """Flow per node, and the edges of the trees."""
     edges, flows = _hier(spark, sf)
-    closure = materialize(G.descendants(edges), "hier-closure")
-    counts = W.descendant_counts(edges, D.hier_roots(spark, sf), closure)
-    return W.flow_per_node(flows, counts, mode), closure
+    return W.flow_per_node(flows, W.descendant_counts(edges, D.hier_roots(spark, sf)), mode), edges
 
 
 @query
@@ -535,8 +534,17 @@ def flow_updates(spark, sf):
 @query
 def prune_subtrees(spark, sf):
     """Everything at or below a weak order, customer or line."""
-    fpn, closure = _hier_fpn(spark, sf)
-    return W.prune_targets(fpn, closure, 15.0).select("doc_id", "node_id")
+    fpn, edges = _hier_fpn(spark, sf)
+    return W.prune_targets(fpn, None, 15.0, edges).select("doc_id", "node_id")
+
+
+@query
+def tree_intervals(spark, sf):
+    """Places of the sales trees' vertices in depth-first order: a subtree is an interval."""
+    edges = materialize(D.hier_edges(spark, sf), "hier-edges")
+    parents = edges.select(*KEY, F.col("child_id").alias("node_id"), F.col("parent_id").alias("up"))
+    index = TR.tree_index(D.hier_nodes(spark, sf), parents)
+    return index.select("doc_id", "node_id", F.col("depth").cast("long").alias("depth"), "first", "last")
 
 
 @query
