@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators import flow as W
 from weftgraph.operators import graph as G
+from weftgraph.operators import similarity as S
 from weftgraph.operators import trees as T
 
 EDGE = "doc_id long, component string, edge_id long, parent_id long, child_id long, edge_type string"
@@ -95,3 +96,52 @@ def test_counts_agree_with_the_closure(spark):
     flows = e.withColumn("flow", (F.col("child_id") % 5).cast("double"))
     got = {(r.doc_id, r.node_id) for r in W.prune_targets(flows, None, 1.0, e).collect()}
     assert got == {(r.doc_id, r.node_id) for r in W.prune_targets(flows, G.descendants(e), 1.0).collect()}
+
+
+def plain_rings(links, k):
+    """Vertices at exactly 1..k hops, by walking from every vertex."""
+    near = collections.defaultdict(set)
+    for d, p, c in links:
+        near[d, p].add(c)
+        near[d, c].add(p)
+    out = {}
+    for d, v in near:
+        seen, ring = {v}, {v}
+        for hop in range(1, k + 1):
+            ring = {u for x in ring for u in near[d, x]} - seen
+            seen |= ring
+            out[d, v, hop] = ring
+    return out
+
+
+def test_rings_of_graphs_with_several_parents(spark):
+    rng = random.Random(11)
+    links = set(random_trees(rng, 2, 30))
+    for d, extra in ((0, 6), (1, 25)):
+        links |= {(d, *sorted(rng.sample(range(30), 2))) for _ in range(extra)}
+    links |= {(2, 0, 1), (2, 1, 2), (2, 2, 0), (2, 2, 3), (2, 0, 4), (3, 0, 1), (3, 2, 1), (3, 3, 3), (3, 1, 3)}
+    e = edges(spark, sorted(links))
+    own = frame(spark, [(d, v, [float(v), 1.0]) for d, v in nodes_of(links)], "doc_id long, node_id long, vec array<double>")
+    got = {(r.doc_id, r.node_id, r.hops): (round(r.vec[0], 6), r.n) for r in S.neighbor_sums(own, e, 2, 3).collect()}
+    want = {k: (float(sum(ring)), len(ring)) for k, ring in plain_rings([x for x in links if x[1] != x[2]], 3).items() if ring}
+    assert got == want
+    rings = plain_rings([x for x in links if x[1] != x[2]], 3)
+    vectors = {(r.doc_id, r.node_id): r.nvec for r in S.neighborhood_vector(own, e, 2).collect()}
+    for (d, v), vec in vectors.items():
+        plain = sum(w * sum(rings[d, v, h]) / len(rings[d, v, h]) for h, w in ((1, 1.0), (2, 0.1), (3, 0.1)) if rings.get((d, v, h)))
+        assert abs(vec[0] - plain) < 1e-6
+
+
+def test_one_reentrancy_among_many_sentences_lists_few_pairs(spark):
+    n, links = 3000, []
+    for s in range(1, n + 1):  # the root, sentences, and three concepts in each
+        links += [(1, 0, s), (1, s, n + 3 * s), (1, n + 3 * s, n + 3 * s + 1), (1, n + 3 * s, n + 3 * s + 2)]
+    links.append((1, n + 3 * 7 + 1, n + 3 * 7 + 2))  # one concept has a second parent
+    e = edges(spark, links)
+    tree, extra = T.forest(e)
+    moved = S.ring_corrections(e.select("doc_id", "component", "parent_id", "child_id"), tree, extra, 3)
+    assert extra.count() == 1 and 0 < moved.count() < len(links)
+    links += [(1, 0, n + 3 * 9 + 2)]  # and one hangs from the root itself, next to all sentences
+    e = edges(spark, links)
+    tree, extra = T.forest(e)
+    assert S.ring_corrections(e.select("doc_id", "component", "parent_id", "child_id"), tree, extra, 3).count() < 5 * len(links)

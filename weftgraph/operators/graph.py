@@ -222,19 +222,19 @@ def descendants(edges: DataFrame, include_self: bool = False,
     return found
 
 
-def k_hop(edges: DataFrame, k: int, mode: str = "descendant") -> DataFrame:
-    """Rings: vertices at exactly 0..k hops of every vertex.
+def k_hop(edges: DataFrame, k: int, mode: str = "descendant", centers: DataFrame | None = None) -> DataFrame:
+    """Rings: vertices at exactly 0..k hops of every vertex, or of the ``centers``.
 
     ``descendant`` and ``ancestor`` rings grow with depth.  ``all`` lists rings of
-    an undirected neighbourhood and is meant for the sentence graphs that have
-    reentrancies; sums over rings of trees come from ``ring_sums``, which
-    lists nothing.
+    an undirected neighbourhood, which grow with the square of a hub; sums over rings come
+    from ``similarity.neighbor_sums``, which lists them around surplus links only.
     """
     down = edges.select(*KEY, F.col("parent_id").alias("node_id"), F.col("child_id").alias("next_id"))
     up = edges.select(*KEY, F.col("child_id").alias("node_id"), F.col("parent_id").alias("next_id"))
     links = {"descendant": down, "ancestor": up, "all": down.unionByName(up)}[mode].distinct()
     links = materialize(links, "k-hop")
-    ring = _ends(edges).select(*KEY, F.col("node_id").alias("center"), "node_id", F.lit(0).alias("hops"))
+    ring = (_ends(edges) if centers is None else centers.distinct()).select(
+        *KEY, F.col("node_id").alias("center"), "node_id", F.lit(0).alias("hops"))
     found = ring
     for hop in range(1, k + 1):
         ring = (ring.join(links, [*KEY, "node_id"])

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions import vectors as V
 from weftgraph.lineage import materialize
 from weftgraph.operators.graph import KEY, k_hop, ring_sums
+from weftgraph.operators.trees import forest, reentrant_graphs
 from weftgraph.settings import AlignSettings
 from weftgraph.skew import join_salted, with_totals
 
@@ -296,34 +297,82 @@ def concept_vector(nodes: DataFrame, dim: int, rolesets: DataFrame | None = None
                           .otherwise(F.col("vec"))).drop("_frame", "_roles")
 
 
+def ring_corrections(edges: DataFrame, tree: DataFrame, extra: DataFrame, k: int) -> DataFrame:
+    """``node_id, other, hops, sign``: what rings of the graph have more (1) or less (-1) than
+    the rings of its spanning forest.
+
+    A pair is nearer in the graph than in the forest only over a link that the forest lacks,
+    so the vertices within ``k - 1`` hops of such a link's ends are paired across it and nothing else is
+    listed.  ``tree`` has ``node_id, up``, ``extra`` the other links.
+    """
+    both = extra.select(*KEY, F.col("parent_id").alias("a"), F.col("child_id").alias("b")).where("a <> b")
+    both = materialize(both.unionByName(both.select(*KEY, F.col("b").alias("a"), F.col("a").alias("b"))), "ring-links")
+    balls = materialize(k_hop(edges, k - 1, "all", both.select(*KEY, F.col("a").alias("node_id"))), "ring-balls")
+    near = balls.select(*KEY, F.col("center").alias("a"), "node_id", F.col("hops").alias("_i"))
+    far = balls.select(*KEY, F.col("center").alias("b"), F.col("node_id").alias("other"), F.col("hops").alias("_j"))
+    pairs = (both.join(near, [*KEY, "a"]).join(far, [*KEY, "b"]).where((F.col("_i") + F.col("_j") < k) & (F.col("node_id") != F.col("other")))
+             .groupBy(*KEY, "node_id", "other").agg(F.min(F.col("_i") + F.col("_j") + 1).alias("hops")))
+    pairs = materialize(pairs, "ring-pairs")
+    # distances in the forest by common ancestors, of the pairs' vertices only
+    level = materialize(pairs.select(*KEY, "node_id").distinct().select(*KEY, "node_id", F.col("node_id").alias("at"),
+                                                                        F.lit(0).alias("_i")), "ring-ancestors")
+    above = level
+    up = tree.select(*KEY, F.col("node_id").alias("at"), "up")
+    for i in range(1, k + 1):
+        level = materialize(level.join(up, [*KEY, "at"]).select(*KEY, "node_id", F.col("up").alias("at"), F.lit(i).alias("_i")),
+                            "ring-ancestors")
+        above = above.unionByName(level)
+    other = above.select(*KEY, F.col("node_id").alias("other"), "at", F.col("_i").alias("_j"))
+    apart = (pairs.join(above, [*KEY, "node_id"]).join(other, [*KEY, "other", "at"]).where(F.col("_i") + F.col("_j") <= k)
+             .groupBy(*KEY, "node_id", "other").agg(F.min(F.col("_i") + F.col("_j")).alias("_tree")))
+    moved = materialize(pairs.join(apart, [*KEY, "node_id", "other"], "left").where("_tree is null or hops < _tree"), "ring-moved")
+    columns = [*KEY, "node_id", "other"]
+    return moved.select(*columns, "hops", F.lit(1).alias("sign")).unionByName(
+        moved.where("_tree is not null").select(*columns, F.col("_tree").alias("hops"), F.lit(-1).alias("sign")))
+
+
+def neighbor_sums(own: DataFrame, edges: DataFrame, dim: int, k: int) -> DataFrame:
+    """``node_id, hops, vec, n``: vector sum and size of every ring 1..k of graphs with several
+    parents: sums along a spanning forest, which list nothing, and what the other links change."""
+    edges = edges.select(*KEY, "parent_id", "child_id").distinct()
+    tree, extra = forest(edges)
+    along = tree.select(*KEY, F.col("up").alias("parent_id"), F.col("node_id").alias("child_id"))
+    sums = ring_sums(own, along, k, dim, "all").select(*KEY, "node_id", "hops", "vec", "n")
+    vec = own.select(*KEY, F.col("node_id").alias("other"), "vec")
+    moved = ring_corrections(edges, tree, extra, k).join(vec, [*KEY, "other"]).select(
+        *KEY, "node_id", "hops", V.scale(F.col("vec"), F.col("sign").cast("double")).alias("vec"), F.col("sign").cast("long").alias("n"))
+    return (sums.unionByName(moved).groupBy(*KEY, "node_id", "hops")
+            .agg(V.vector_sum("vec", dim).alias("vec"), F.sum("n").alias("n")).where("n > 0"))
+
+
 def neighborhood_vector(nodes: DataFrame, edges: DataFrame, dim: int,
                         settings: AlignSettings = AlignSettings()) -> DataFrame:
     """Weighted sum over rings of the mean vector of each ring.
 
     Trees (every document without a vertex with two parents) use message sums that
-    cost one row per edge and ring; only the other documents list their rings.
+    cost one row per edge and ring.  Other documents use them along a spanning forest and
+    list pairs across their surplus links only; with a direction, they list their rings.
     """
     weights = settings.neighbor_weights
     k = len(weights) - 1
-    multi = (edges.groupBy(*KEY, "child_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-             .select(*KEY).distinct())
-    multi = materialize(multi, "reentrant-docs")
+    multi = materialize(reentrant_graphs(edges), "reentrant-docs")
     own = nodes.select(*KEY, "node_id", "vec")
     zero_ring = own.select(*KEY, "node_id", F.lit(0).alias("hops"), F.col("vec").alias("_mean"))
     parts = [zero_ring] if weights[0] else []
     if k:
         all_trees = multi.isEmpty()
         tree_edges = edges if all_trees else join_salted(edges, multi, KEY, ["child_id"], "left_anti")
-        sums = ring_sums(own, tree_edges, k, dim, settings.neighbor_direction)
-        parts.append(sums.select(*KEY, "node_id", "hops", F.transform(
-            "vec", lambda x: x / F.col("n")).alias("_mean")))
+        sums = ring_sums(own, tree_edges, k, dim, settings.neighbor_direction).select(*KEY, "node_id", "hops", "vec", "n")
         if not all_trees:
-            other = join_salted(edges, multi, KEY, ["child_id"], "left_semi")
-            rings = k_hop(other, k, settings.neighbor_direction).where("hops > 0")
-            means = (rings.join(own, [*KEY, "node_id"])
-                     .groupBy(*KEY, F.col("center").alias("node_id"), "hops")
-                     .agg(V.vector_mean("vec", dim).alias("_mean")))
-            parts.append(means)
+            other = materialize(join_salted(edges, multi, KEY, ["child_id"], "left_semi"), "reentrant-edges")
+            if settings.neighbor_direction == "all":
+                sums = sums.unionByName(neighbor_sums(own, other, dim, k))
+            else:
+                rings = k_hop(other, k, settings.neighbor_direction).where("hops > 0")
+                sums = sums.unionByName(
+                    rings.join(own, [*KEY, "node_id"]).groupBy(*KEY, F.col("center").alias("node_id"), "hops")
+                    .agg(V.vector_sum("vec", dim).alias("vec"), F.count(F.lit(1)).alias("n")))
+        parts.append(sums.select(*KEY, "node_id", "hops", F.transform("vec", lambda x: x / F.col("n")).alias("_mean")))
     rings = parts[0]
     for p in parts[1:]:
         rings = rings.unionByName(p)

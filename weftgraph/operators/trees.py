@@ -20,17 +20,23 @@ NODE = [*KEY, "node_id"]
 
 
 def reentrant_graphs(edges: DataFrame) -> DataFrame:
-    """Graphs (``KEY``) in which a vertex has several parents or is its own."""
-    links = edges.select(*KEY, "parent_id", "child_id").distinct()
+    """Graphs (``KEY``) that are no forests: a vertex has several parents or a way up goes round
+    in a circle."""
+    links = materialize(edges.select(*KEY, "parent_id", "child_id").distinct(), "links")
     multi = links.groupBy(*KEY, "child_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*KEY)
-    return multi.unionByName(links.where("parent_id = child_id").select(*KEY)).distinct()
+    multi = multi.unionByName(links.where("parent_id = child_id").select(*KEY)).distinct()
+    step = links.select(*KEY, F.col("child_id").alias("node_id"), F.col("parent_id").alias("up")).join(multi, KEY, "left_anti")
+    for step in steps_up(step, to_the_end=True):
+        pass
+    return multi.unionByName(step.select(*KEY)).distinct()
 
 
-def steps_up(parents: DataFrame) -> Iterator[DataFrame]:
+def steps_up(parents: DataFrame, to_the_end: bool = False) -> Iterator[DataFrame]:
     """``node_id, up``: the ancestor 1, 2, 4, ... steps above, as long as there is one.
 
     ``parents`` has one row per vertex with a parent.  On a circle there always is one; the
-    rounds end when the steps are longer than the largest graph has vertices.
+    rounds end when the steps are longer than the largest graph has vertices.  ``to_the_end``
+    also gives the last table: empty, or what is on a circle or below one.
     """
     step = materialize(parents.select(*NODE, "up"), "steps")
     most = step.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
@@ -41,6 +47,8 @@ def steps_up(parents: DataFrame) -> Iterator[DataFrame]:
         old, step = step, materialize(step.join(above, [*KEY, "up"]).select(*NODE, F.col("_up").alias("up")), "steps")
         discard(old)
         reach *= 2
+    if to_the_end:
+        yield step
 
 
 def forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:

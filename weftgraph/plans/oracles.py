@@ -212,6 +212,22 @@ select doc_id, ancestor, count(*) as n, cast(max(hops) as bigint) as depth from
 ORACLES["adjacency"] = f"""with {DAG}
 select doc_id, parent_id as node_id, row_number() over (partition by doc_id, parent_id order by child_id) - 1 as position,
        child_id as neighbor_id from dag"""
+ORACLES["neighborhood_vector_dag"] = f"""with {DAG},
+und as (select distinct doc_id, parent_id as u, child_id as v from dag
+        union select distinct doc_id, child_id, parent_id from dag),
+verts as (select distinct doc_id, u as node_id, cast(regexp_extract(u, '[0-9]+') as bigint) as k from und),
+r1 as (select doc_id, u as center, v as node_id from und),
+r2 as (select distinct a.doc_id, a.center, b.v as node_id from r1 a join und b on a.doc_id = b.doc_id and a.node_id = b.u
+       where b.v <> a.center and (a.doc_id, a.center, b.v) not in (select (doc_id, center, node_id) from r1)),
+r3 as (select distinct a.doc_id, a.center, b.v as node_id from r2 a join und b on a.doc_id = b.doc_id and a.node_id = b.u
+       where b.v <> a.center and (a.doc_id, a.center, b.v) not in (select (doc_id, center, node_id) from r1)
+             and (a.doc_id, a.center, b.v) not in (select (doc_id, center, node_id) from r2)),
+rings as (select 1 as hop, 1.0 as w, * from r1 union all select 2, 0.1, * from r2 union all select 3, 0.1, * from r3),
+means as (select r.doc_id, r.center, r.hop, r.w, avg(x.k % 7) as a, avg(x.k % 11) as b, avg(1.0) as c
+          from rings r join verts x on x.doc_id = r.doc_id and x.node_id = r.node_id group by all)
+select v.doc_id, v.node_id, round(coalesce(sum(w * a), 0.0), 9) as v0, round(coalesce(sum(w * b), 0.0), 9) as v1,
+       round(coalesce(sum(w * c), 0.0), 9) as v2
+from verts v left join means m on m.doc_id = v.doc_id and m.center = v.node_id group by all"""
 ORACLES["incident_edges"] = f"""with {DAG}
 select doc_id, edge_id, child_id as node_id from dag where edge_type = 'role' and (doc_id, child_id) in (
   select (doc_id, child_id) from dag group by doc_id, child_id having count(*) > 1)"""

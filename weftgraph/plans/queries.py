@@ -138,6 +138,16 @@ def neighborhood_vector(spark, sf):
                              F.round(F.sum(F.col("value") * F.col("value")), 5).alias("squared"))
 
 
+@query
+def neighborhood_vector_dag(spark, sf):
+    """Neighbourhood vectors of the purchases, where parts have several orders."""
+    number = F.regexp_extract("node_id", "[0-9]+", 0).cast("long")
+    nodes = D.dag_nodes(spark, sf).withColumn("vec", F.array(
+        (number % 7).cast("double"), (number % 11).cast("double"), F.lit(1.0)))
+    out = S.neighborhood_vector(nodes, materialize(D.dag_edges(spark, sf), "dag-edges"), 3)
+    return out.select("doc_id", "node_id", *[F.round(F.get("nvec", F.lit(i)), 9).alias(f"v{i}") for i in range(3)])
+
+
 @query
 def roles_vector(spark, sf):
     """Roles vectors of the label nodes: child vectors plus the frame's role vectors.
