@@ -295,6 +295,7 @@ def align(nodes: DataFrame, edges: DataFrame, align_edges: DataFrame,
                 state = step.run(state, flows, live, component, settings)
     state = materialize(state.withColumn("quiet", F.lit(0)), "align-state")
     settled, final_flows, taken = [], [], []
+    fixed, n_fixed = (live.mass_paths, live.edges), None  # the tables of the loop as written last
 
     def note(rows: DataFrame, loops: int, converged: bool) -> None:
         taken.append(rows.select("doc_id").distinct().select(
@@ -334,9 +335,16 @@ def align(nodes: DataFrame, edges: DataFrame, align_edges: DataFrame,
             for component, flows in flows_now.items():
                 final_flows.append(join_salted(flows, done, ["doc_id"], ["child_id"], "left_semi"))
                 flows_now[component] = join_salted(flows, done, ["doc_id"], ["child_id"], "left_anti")
-            live = Network(join_salted(live.mass_paths, done, ["doc_id"], ["node_id"], "left_anti"),
-                           join_salted(live.edges, done, ["doc_id"], ["child_id"], "left_anti"),
-                           live.closure, live.unfed, _still(live.nested, done))
+            # one small table of live documents instead of a filter per loop; the fixed tables are
+            # written anew when half of their documents have left
+            alive = materialize(state.select("doc_id").distinct(), "alive")
+            n_alive = alive.count()
+            n_fixed = n_fixed or n_alive + done.count()
+            kept = [join_salted(t, alive, ["doc_id"], [key], "left_semi") for t, key in zip(fixed, ("node_id", "child_id"))]
+            if 2 * n_alive <= n_fixed:
+                kept = [materialize(t, "live", ("component",)) for t in kept]
+                fixed, n_fixed = tuple(kept), n_alive
+            live = Network(*kept, live.closure, live.unfed, _still(live.nested, done))
         previous = flows_now
     else:
         settled.append(state)
