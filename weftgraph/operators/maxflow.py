@@ -221,6 +221,31 @@ def max_flow_value(flows: DataFrame) -> DataFrame:
             .groupBy("doc_id").agg(F.sum("flow").alias("value")))
 
 
+def cut_certificate(flows: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """``doc_id, value, cut, n_cut, certified``: a proof per document that a flow is a maximum.
+
+    The flow's value has to equal the capacity of the cut, the source terminal has to lie on one
+    side and the sink on the other, and exactly the edges that lead from the source's side to
+    the sink's have to be cut.  No flow is larger than any such cut, so what is certified is a maximum
+    whichever way it was found.
+    """
+    # a vertex that nothing leaves is on the source's side if an uncut edge leads there from it
+    entered = F.col("source_side") & ~F.col("in_cut") & (F.col("to_key") != SINK_TERMINAL)
+    side = flows.select("doc_id", F.col("from_key").alias("to_key"), F.col("source_side").alias("_out"), F.lit(None).cast("boolean").alias("_in"))
+    side = side.unionByName(flows.select("doc_id", "to_key", F.lit(None).cast("boolean").alias("_out"), entered.alias("_in")))
+    side = side.groupBy("doc_id", "to_key").agg(F.coalesce(F.max("_out"), F.max("_in"), F.lit(False)).alias("_to"))
+    both = flows.join(side, ["doc_id", "to_key"])
+    crosses = F.col("source_side") & ~F.col("_to")
+    wrong = (F.col("in_cut") != crosses) | ((F.col("from_key") == SOURCE_TERMINAL) & ~F.col("source_side")) | (
+        (F.col("to_key") == SINK_TERMINAL) & F.col("_to"))
+    per = both.groupBy("doc_id").agg(
+        F.coalesce(F.sum(F.when(F.col("to_key") == SINK_TERMINAL, F.col("flow"))), F.lit(0.0)).alias("value"),
+        F.coalesce(F.sum(F.when(F.col("in_cut"), F.col("capacity"))), F.lit(0.0)).alias("cut"),
+        F.count_if("in_cut").alias("n_cut"), F.max(wrong).alias("_wrong"))
+    near = F.abs(F.col("value") - F.col("cut")) <= F.lit(tolerance) * F.greatest(F.lit(1.0), F.abs("cut"))
+    return per.select("doc_id", "value", "cut", "n_cut", (near & ~F.col("_wrong")).alias("certified"))
+
+
 def component_edge_flows(flows: DataFrame, edges: DataFrame) -> DataFrame:
     """Flows of component edges in the shape of ``saturated_flow``'s result."""
     inner = flows.where("component is not null").select("doc_id", "component", "edge_id", "flow")

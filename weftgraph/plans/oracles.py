@@ -318,6 +318,12 @@ from partedges p join tot on tot.doc_id = p.doc_id and tot.src_node = p.child_id
 group by all having count(*) > 1"""
 ORACLES["max_flow_value"] = f"""with {SUMMARY}
 select doc_id, round(sum(capacity), 6) as value from al group by all"""
+ORACLES["min_cut"] = f"""with {SUMMARY},
+parts as (select doc_id, src_node, sum(capacity) as c from al group by all),
+ways as (select doc_id, child_id, count(*) as n from partedges group by all),
+value as (select p.doc_id, round(sum(least(c, 0.2 * n)), 6) as v from parts p
+          join ways w on w.doc_id = p.doc_id and w.child_id = p.src_node group by all)
+select doc_id, v as value, v as cut, true as certified from value"""
 ORACLES["repaired_reentrancies"] = f"""with {SUMMARY}
 select doc_id, round(sum(capacity), 6) as value, coalesce(max(n), 0) as n_reentrancies from al left join (
   select doc_id, count(*) as n from (

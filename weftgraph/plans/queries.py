@@ -602,6 +602,16 @@ def max_flow_edges(spark, sf):
     return flows.select(F.col("doc_id").cast("long").alias("doc_id"), "edge_id", _r("flow"))
 
 
+@query
+def min_cut(spark, sf):
+    """Maximum flow of the purchases where an order passes at most 0.2 to each part, proved by its
+    cut for every customer."""
+    net = _dag_network(spark, sf)
+    tight = (F.col("edge_type") == "role") & (F.col("component") == "source")
+    flows = materialize(M.max_flow(net.withColumn("capacity", F.when(tight, 0.2).otherwise(F.col("capacity")))), "min-cut")
+    return M.cut_certificate(flows).select(F.col("doc_id").cast("long").alias("doc_id"), _r("value"), _r("cut"), "certified")
+
+
 @query
 def repaired_edge_flows(spark, sf):
     """The same after the repair, with the edges into the sink."""
