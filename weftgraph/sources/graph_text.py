@@ -6,9 +6,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftgraph.lineage import materialize
 from weftgraph.schemas import PARSED_BLOCK
 
 # The text format of graph blocks.
@@ -88,18 +89,63 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.drop(columns="graph").assign(top=tops, triples=triples, failure=failures)
 
 
-def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of a text corpus with metadata and graph text, read in splits.
+HEAD, WHOLE, TAIL, THROUGH = range(4)
+
+
+def _cut_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks of each byte range of a file: those that lie inside it, and the pieces before its
+    first and after its last blank line, whose other parts are in other ranges."""
+    here, lines, seen, out = None, [], False, []
+
+    def close(kind):
+        if kind != WHOLE or lines:
+            out.append((*here, kind, "\n".join(lines)))
+        lines.clear()
+
+    for batch in batches:
+        for file, start, value in batch[["file", "start", "value"]].itertuples(index=False):
+            if (file, start) != here:
+                if here is not None:
+                    close(TAIL if seen else THROUGH)
+                here, seen = (file, start), False
+            if value.strip(" \t\r"):
+                lines.append(value)
+            else:
+                close(WHOLE if seen else HEAD)
+                seen = True
+        yield pd.DataFrame(out, columns=["file", "start", "kind", "text"])
+        out.clear()
+    if here is not None:
+        close(TAIL if seen else THROUGH)
+        yield pd.DataFrame(out, columns=["file", "start", "kind", "text"])
 
-    Compressed files are read as they are.  A block ends at a line that is empty or has
-    only blanks; line ends may be CRLF.  A file is read in splits at its ``\\n\\n``; one
-    that has none (CRLF) is a single split.  A block without a graph (a header
-    comment) is left out.
+
+def text_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """``value``: blocks of lines between lines that are empty or hold only blanks.
+
+    Files are read in byte ranges, whatever their line ends are.  Blocks inside a range never
+    leave their task; only what its ends cut off, two pieces per range at most, is put together
+    by file.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    pieces = lines.mapInPandas(_cut_blocks, "file string, start long, kind int, text string")
+    pieces = materialize(pieces, "block-pieces", ("kind",)).withColumn("kind", F.col("kind").cast("int"))
+    # a block that is cut begins with a tail and ends with the next head
+    upto = Window.partitionBy("file").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    cut = pieces.where(F.col("kind") != WHOLE).withColumn("_n", F.sum((F.col("kind") == TAIL).cast("int")).over(upto))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("start", "kind", "text"))), lambda p: p["text"])
+    joined = cut.groupBy("file", "_n").agg(F.array_join(F.filter(parts, lambda t: t != ""), "\n").alias("value"))
+    return pieces.where(F.col("kind") == WHOLE).select(F.col("text").alias("value")).unionByName(
+        joined.where("value <> ''").select("value"))
+
+
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """Blocks of a corpus as ``metadata`` map and ``graph`` text (``text_blocks``).  A block
+    without a graph (a header comment) is left out.
     """
-    chunks = spark.read.option("lineSep", "\n\n").text(path)
-    raw = chunks.select(F.explode(F.split("value", r"\n[ \t\r]*\n")).alias("value"))
     lines = F.split(F.regexp_replace("value", r"\r", ""), "\n")
-    parts = raw.select(
+    parts = text_blocks(spark, path).select(
         F.array_join(F.filter(lines, lambda s: s.startswith("#")), "\n").alias("head"),
         F.trim(F.array_join(F.filter(lines, lambda s: ~s.startswith("#")), "\n")).alias("graph"))
     return split_metadata(parts.where(F.col("graph") != ""))
