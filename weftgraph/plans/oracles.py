@@ -671,6 +671,9 @@ s as (select count(*) as n, """ + ", ".join(
     f"sum(cast(('0x' || substr(h, {1 + 12 * i}, 12)) as hugeint)) as s{i}" for i in range(5)) + """ from h)
 select sha256(concat_ws('-', n, s0, s1, s2, s3, s4)) as fingerprint, n as n_docs from s"""
 ORACLES["incremental_ids"] = "select doc_id, lang from documents where doc_id not in (select doc_id from labels)"
+ORACLES["content_upsert"] = """select d.doc_id, length(d.text) as n_chars,
+  case when (l.quality is null and d.lang = 'en') or (l.quality = 1 and d.text is not null) then 2 else 1 end as version
+from documents d left join labels l on l.doc_id = d.doc_id where coalesce(l.toxic, 0) <> 1"""
 ORACLES["missing_vectors"] = f"""with {CONV}, {_sentences('conv', 'turn')},
 words as (select doc_id, unnest(toks) as w from tokens),
 m as (select doc_id, count(*) as n_missing from words where not regexp_matches(w, '^[a-z]') group by all)

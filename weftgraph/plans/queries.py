@@ -29,7 +29,7 @@ from weftgraph.settings import AlignSettings
 from weftgraph.sources import corpus as K
 from weftgraph.sources import graph_text as T
 from weftgraph.sources import sinks
-from weftgraph.streaming.incremental import missing_documents
+from weftgraph.streaming.incremental import ContentStore, missing_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -941,6 +941,28 @@ def incremental_ids(spark, sf):
     return missing_documents(docs, D.table(spark, sf, "labels").select("doc_id"))
 
 
+@query
+def content_upsert(spark, sf):
+    """A store of document lengths brought from an older version of the documents to the present one.
+
+    In the older version, documents of good quality had another text and English ones without a label
+    were not there yet; toxic ones have left since.
+    """
+    docs = D.table(spark, sf, "documents").join(D.table(spark, sf, "labels"), "doc_id", "left")
+    good, toxic = F.coalesce(F.col("quality") == 1, F.lit(False)), F.coalesce(F.col("toxic") == 1, F.lit(False))
+    new = F.col("quality").isNull() & F.coalesce(F.col("lang") == "en", F.lit(False))
+    older = docs.where(~new).select("doc_id", F.when(good, F.concat("text", F.lit(" more"))).otherwise(F.col("text")).alias("text"))
+    present = docs.where(~toxic).select("doc_id", "text")
+
+    def measure(rows: DataFrame) -> DataFrame:
+        return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"))
+
+    store = ContentStore(spark, f"{lineage_dir(spark)}/store-{uuid.uuid4().hex}", measure(present).schema)
+    for corpus in (older, present, present):
+        store.upsert(corpus, measure)
+    return store.read().select("doc_id", "n_chars", "version")
+
+
 @query
 def missing_vectors(spark, sf):
     """Conversations with a word that has no vector of its own."""
