@@ -3,7 +3,9 @@
 The number of same-type pairs of a document is the product of its two sides.
 Pairs are therefore never listed: nodes are cut into blocks of bounded size, the
 pairs of *blocks* are the units of work, each unit is one matrix product in one
-task, and only pairs above the threshold leave it.
+task, and only pairs above the threshold leave it.  Blocks gather vectors that point
+alike, so the angle between two blocks bounds the cosines of their pairs, and units that the
+bound excludes are not made.
 """
 
 from __future__ import annotations
@@ -12,8 +14,9 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftgraph.functions import vectors as V
 from weftgraph.lineage import materialize
@@ -43,19 +46,107 @@ def block_nodes(nodes: DataFrame, block_rows: int) -> DataFrame:
             .withColumn("block", F.pmod(F.xxhash64("node_id"), F.col("_blocks"))).drop("_blocks"))
 
 
-def bipartite_blocks(blocked: DataFrame) -> DataFrame:
-    """Pairs of source and summary blocks of the same document and node type."""
-    b = blocked.where("attrib_type <> 'control'").select(*KEY, "attrib_type", "block").distinct()
-    src = b.where("component = 'source'").select(*GROUP, F.col("block").alias("src_block"))
-    smy = b.where("component = 'summary'").select(*GROUP, F.col("block").alias("smy_block"))
-    return src.join(smy, GROUP)
+#: Pivots of one document and node type at most; more nodes make more blocks per pivot.
+PIVOTS = 256
+#: Angles are rounded; a bound gives way by this much (radians).
+SLACK = 1e-6
+
+
+def pivot_blocks(nodes: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes with a ``block`` of vectors that point alike, and the pivots they are gathered around.
+
+    Groups of one document and type that fill several blocks draw about as many pivots by a hash of the
+    node; each node goes to the pivot with the nearest direction, a pivot with many nodes has several
+    blocks.  ``pivot`` is null in small groups and -1 for zero vectors; ``angle`` is that to the pivot.
+    ``nodes`` has ``vec`` and any payload.
+    """
+    sizes = materialize(nodes.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_rows), "pivot-groups")
+    none = [F.lit(None).cast("int").alias("pivot"), F.lit(None).cast("double").alias("angle")]
+    no_pivots = nodes.select(*GROUP, F.lit(0).alias("pivot"), "vec").limit(0)
+    if sizes.isEmpty():
+        return block_nodes(nodes, block_rows).select("*", *none), no_pivots
+    drawn = F.shiftrightunsigned(F.xxhash64(F.lit(101), "component", "node_id"), 1)
+    asked = F.least(F.lit(float(PIVOTS)), F.ceil(F.col("_n") / block_rows)) / F.col("_n")
+    length = V.norm(F.col("vec"))
+    some = join_salted(nodes, sizes, GROUP, ["node_id"]).withColumn("_h", drawn).where(length > 0).select(
+        *GROUP, "vec", "component", "node_id", "_h", (F.col("_h") / F.lit(2.0 ** 63) < asked).alias("_in"))
+    # the first by hash is one in any case
+    least = some.groupBy(*GROUP).agg(F.min("_h").alias("_h"))
+    picked = some.where("_in").unionByName(some.join(least, [*GROUP, "_h"], "left_semi")).dropDuplicates([*GROUP, "component", "node_id"])
+    rank = F.row_number().over(Window.partitionBy(*GROUP).orderBy("_h", "component", "node_id")) - 1
+    pivots = materialize(picked.withColumn("pivot", rank).select(*GROUP, "pivot", "vec"), "pivots")
+    large = block_nodes(join_salted(nodes, sizes.select(*GROUP), GROUP, ["node_id"], "left_semi"), block_rows)
+    units = large.select(*KEY, "attrib_type", "block").distinct()
+    asked_of = units.join(pivots.withColumnRenamed("vec", "_pvec"), GROUP)
+    asked_of = asked_of.toDF(*asked_of.columns)
+    keys, columns = [*KEY, "attrib_type", "block"], list(nodes.columns)
+
+    def nearest(rows: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        rows = rows[columns].copy()
+        rows["pivot"], rows["angle"] = -1, 0.0
+        if len(centres) and len(rows):
+            unit = _unit_rows(rows["vec"])
+            cos = unit @ _unit_rows(centres["_pvec"]).T
+            best = cos.argmax(axis=1)
+            there = unit.any(axis=1)
+            rows["pivot"] = np.where(there, centres["pivot"].to_numpy()[best], -1)
+            rows["angle"] = np.where(there, np.arccos(np.clip(cos[np.arange(len(rows)), best], -1.0, 1.0)), 0.0)
+        return rows
+
+    schema = T.StructType([*nodes.schema.fields, T.StructField("pivot", T.IntegerType()), T.StructField("angle", T.DoubleType())])
+    placed = large.groupBy(*keys).cogroup(asked_of.groupBy(*keys)).applyInPandas(nearest, schema)
+    placed = materialize(placed, "pivot-nodes")
+    n = F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("_blocks")
+    placed = with_totals(placed, [*KEY, "attrib_type", "pivot"], [n], ["node_id"])
+    sub = F.pmod(F.xxhash64("node_id"), F.col("_blocks"))
+    placed = placed.withColumn("block", (F.col("pivot") + 1).cast("long") * F.lit(1 << 32) + sub).drop("_blocks")
+    small = block_nodes(join_salted(nodes, sizes.select(*GROUP), GROUP, ["node_id"], "left_anti"), block_rows)
+    return placed.select(*columns, "block", "pivot", "angle").unionByName(small.select(*columns, "block", *none)), pivots
+
+
+def bipartite_blocks(blocked: DataFrame, pivots: DataFrame | None = None) -> DataFrame:
+    """Pairs of source and summary blocks of the same document and node type.
+
+    With pivots, ``most``: the largest cosine that vectors of the two blocks can have.  It is that
+    of the angle between the pivots less how far the blocks' vectors are from them.
+    """
+    blocked = blocked.where("attrib_type <> 'control'")
+    if pivots is None:
+        b = blocked.select(*KEY, "attrib_type", "block").distinct()
+    else:
+        b = blocked.groupBy(*KEY, "attrib_type", "block").agg(F.max("pivot").alias("pivot"), F.max("angle").alias("angle"))
+    src = b.where("component = 'source'").drop("component").withColumnsRenamed(
+        {"block": "src_block", "pivot": "_p", "angle": "_a"})
+    smy = b.where("component = 'summary'").drop("component").withColumnsRenamed(
+        {"block": "smy_block", "pivot": "_q", "angle": "_b"})
+    units = src.join(smy, GROUP)
+    if pivots is None:
+        return units
+    left = pivots.select(*GROUP, F.col("pivot").alias("_p"), F.col("vec").alias("_pv"))
+    right = pivots.select(*GROUP, F.col("pivot").alias("_q"), F.col("vec").alias("_qv"))
+    dot = V.dot(F.col("_pv"), F.col("_qv")) / (V.norm(F.col("_pv")) * V.norm(F.col("_qv")))
+    apart = left.join(right, GROUP).select(*GROUP, "_p", "_q", F.acos(F.least(F.greatest(dot, F.lit(-1.0)), F.lit(1.0))).alias("_apart"))
+    nearest = F.greatest(F.col("_apart") - F.col("_a") - F.col("_b") - F.lit(SLACK), F.lit(0.0))
+    most = F.when(F.least("_p", "_q") < 0, F.lit(0.0)).otherwise(F.greatest(F.coalesce(F.cos(nearest), F.lit(1.0)), F.lit(0.0)))
+    return units.join(apart, [*GROUP, "_p", "_q"], "left").select(*GROUP, "src_block", "smy_block", most.alias("most"))
 
 
 def blocked_pairs(nodes: DataFrame, payload: list[str], kernel: Callable, schema: str,
-                  block_rows: int) -> DataFrame:
-    """Run ``kernel(source_block, summary_block) -> pairs`` on every block pair."""
-    blocked = block_nodes(nodes.select(*KEY, "node_id", "attrib_type", *payload), block_rows)
-    units = bipartite_blocks(blocked)
+                  block_rows: int, bound: Column | None = None, threshold: float = 0.0) -> DataFrame:
+    """Run ``kernel(source_block, summary_block) -> pairs`` on every block pair that can have a pair.
+
+    ``bound`` is the largest similarity of a pair of blocks as an expression of ``most``, the
+    largest cosine of their vectors, and ``attrib_type``; where it does not pass the threshold the two
+    blocks are never brought together.
+    """
+    chosen = nodes.select(*KEY, "node_id", "attrib_type", *payload)
+    if bound is None:
+        blocked = block_nodes(chosen, block_rows)
+        units = bipartite_blocks(blocked)
+    else:
+        blocked, pivots = pivot_blocks(chosen, block_rows)
+        units = bipartite_blocks(blocked, pivots).where(bound > F.lit(threshold)).drop("most")
+        blocked = blocked.drop("pivot", "angle")
     keys = [*GROUP, "src_block", "smy_block"]
     left = (blocked.where("component = 'source'").withColumnRenamed("block", "src_block")
             .join(units, [*GROUP, "src_block"]))
@@ -101,7 +192,9 @@ def cosine_pairs(nodes: DataFrame, threshold: float, exponent: float = 1.0,
             return _empty_pairs()
         return _emit(src, smy, _cosines(src["vec"], smy["vec"]) ** exponent, threshold)
 
-    return blocked_pairs(nodes, ["vec"], kernel, _pair_schema(nodes), block_rows)
+    # a pair that passes a threshold of 0 or more has a positive cosine
+    bound = F.pow("most", F.lit(exponent)) if threshold >= 0 and exponent > 0 else None
+    return blocked_pairs(nodes, ["vec"], kernel, _pair_schema(nodes), block_rows, bound, threshold)
 
 
 def pair_similarity(nodes: DataFrame, settings: AlignSettings = AlignSettings()) -> DataFrame:
@@ -137,8 +230,15 @@ def pair_similarity(nodes: DataFrame, settings: AlignSettings = AlignSettings())
         *KEY, "node_id", "attrib_type", "vec",
         F.coalesce("nvec", "vec").alias("nvec"), F.coalesce("svec", "vec").alias("svec"),
         F.col("svec").isNotNull().alias("has_sent"))
-    return blocked_pairs(ready, ["vec", "nvec", "svec", "has_sent"], kernel,
-                         _pair_schema(nodes), s.block_rows)
+    # at best the neighbourhoods point alike and the sentences do not dampen
+    near = 1.0 / (1.0 + np.exp((s.skew_x - 1.0) * s.skew_compress)) + s.skew_y
+    far = 1.0 / (1.0 + np.exp(s.skew_x * s.skew_compress)) + s.skew_y
+    kind, at = F.col("attrib_type"), lambda k: F.pow("most", F.lit(power[k]))
+    bound = F.when(kind == "sentence", at("sentence")).otherwise(
+        F.when(kind == "concept", at("concept")).otherwise(at("attribute")) + F.lit(float(max(near, far))))
+    usable = s.similarity_threshold >= 0 and 0 <= s.sentence_dampen <= 1 and min(power.values()) > 0
+    return blocked_pairs(ready, ["vec", "nvec", "svec", "has_sent"], kernel, _pair_schema(nodes), s.block_rows,
+                         bound if usable else None, s.similarity_threshold)
 
 
 def with_tokens(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -397,8 +497,6 @@ def top_alignments(pairs: DataFrame, k: int = 1, by: str = "src_node") -> DataFr
     Spark keeps k rows per node before the shuffle, so a node with very many
     partners costs its task no more than others.
     """
-    from pyspark.sql import Window
-
     other = "smy_node" if by == "src_node" else "src_node"
     w = Window.partitionBy("doc_id", by).orderBy(F.desc("sim"), F.asc(other))
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
