@@ -138,6 +138,7 @@ def test_smatch_of_published_pairs(spark, tmp_path):
     assert (four.smatch_precision, four.smatch_recall) == pytest.approx((0.5, 1 / 3))
     assert four.smatch_f_score == pytest.approx(0.4)
     assert got["lpp_1943.5"].smatch_f_score == 1.0
+    assert all(r.smatch_upper == pytest.approx(r.smatch_f_score) for r in got.values())
 
 
 def test_smatch_against_all_mappings(spark):
@@ -166,7 +167,28 @@ def test_smatch_against_all_mappings(spark):
         spark.createDataFrame(nodes, "pair_id long, side string, node_id long, attrib_type string, label string"),
         spark.createDataFrame(edges, "pair_id long, side string, parent_id long, child_id long, role string"),
         spark.createDataFrame(tops, "pair_id long, side string, node_id long")), restarts=10)
-    assert {r.pair_id: r.smatch_f_score for r in got.collect()} == pytest.approx(best)
+    got = got.collect()
+    assert {r.pair_id: r.smatch_f_score for r in got} == pytest.approx(best)
+    assert {r.pair_id: r.smatch_upper for r in got} == pytest.approx(best)  # proved, not only found
+
+
+def test_matching_bounds_against_all_mappings():
+    rng = random.Random(8)
+    for _ in range(60):
+        n, m = rng.randint(1, 5), rng.randint(1, 5)
+        unary = {(x, u): rng.randint(1, 2) for x in range(n) for u in range(m) if rng.random() < 0.4}
+        joint = {(x, u, y, v): 1 for x in range(n) for u in range(m) for y in range(n) for v in range(m)
+                 if (x == y) == (u == v) and rng.random() < 0.12}
+        top = 0
+        for image in set(itertools.permutations([*range(m), *[None] * n], n)):
+            at = dict(enumerate(image))
+            top = max(top, sum(g for (x, u), g in unary.items() if at[x] == u)
+                      + sum(g for (x, u, y, v), g in joint.items() if at[x] == u and at[y] == v))
+        for found, mapping in ((0, {}), E._climb(unary, joint, 2, 1)):
+            low, high, _ = E.matching_bounds(unary, joint, found, mapping, 10_000)
+            assert low == high == top
+            low, high, _ = E.matching_bounds(unary, joint, found, mapping, 2)
+            assert low <= top <= high
 
 
 def test_kernel_is_near_the_published_values(spark, tmp_path):
@@ -266,3 +288,10 @@ def test_sections(spark):
     assert left == {"source", "source.section_0.body-sub", "source.section_1.body-sub"}
     header = flat_edges.where("edge_type = 'sentence' and component = 'source' and relation = 'sent' and parent_id = 0")
     assert header.count() == 1
+
+
+def test_common_subsequence_of_long_texts(spark):
+    rng = random.Random(3)
+    a = [str(rng.randint(0, 300)) for _ in range(20_000)]
+    b = [w for w in a if rng.random() < 0.9]
+    assert E.rouge_l(pairs_of(spark, [("x", a, b)])).first().rougeL_precision == pytest.approx(len(b) / len(a))

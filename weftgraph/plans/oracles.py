@@ -759,6 +759,9 @@ nodes as (select distinct pair_id, side, -1 as node_id, 'customer' as label from
 edges as (select pair_id, side, -1 as parent_id, o_orderkey * 4096 as child_id, ':' || o_orderpriority as role from o
           union all select pair_id, side, l_orderkey * 4096, l_orderkey * 4096 + l_linenumber + 1, ':line' || l_linenumber from ln)
 """
+# every pair has a mapping: tops match tops
+ORACLES["smatch_check"] = f"""with {PURCHASES}
+select pair_id, true as "right" from nodes group by pair_id having count(distinct side) = 2"""
 ORACLES["smatch_triples"] = f"""with {PURCHASES}
 select pair_id, side, 'instance' as kind, count(*) as n from nodes group by all
 union all select pair_id, side, 'relation', count(*) from edges group by all

@@ -1027,7 +1027,20 @@ def wlk(spark, sf):
 def smatch(spark, sf):
     nodes, edges, tops = D.purchase_pairs(spark, sf)
     out = E.smatch(E.pair_triples(nodes, edges, tops))
-    return out.select("pair_id", _r("smatch_precision"), _r("smatch_recall"), _r("smatch_f_score"))
+    return out.select("pair_id", _r("smatch_precision"), _r("smatch_recall"), _r("smatch_f_score"), _r("smatch_upper"))
+
+
+@query
+def smatch_check(spark, sf):
+    """Whether the mappings of the purchases' graphs match as many triples as they claim, and
+    no more than their upper bound."""
+    nodes, edges, tops = D.purchase_pairs(spark, sf)
+    triples = materialize(E.pair_triples(nodes, edges, tops), "match-triples")
+    found = materialize(E.best_matching(triples), "matchings")
+    counted = E.matched_triples(triples, found).withColumnRenamed("matched", "_counted")
+    both = triples.groupBy("pair_id").agg(F.countDistinct("side").alias("_s")).where("_s = 2").select("pair_id")
+    return both.join(found, "pair_id", "left").join(counted, "pair_id", "left").select(
+        "pair_id", ((F.col("matched") == F.col("_counted")) & (F.col("matched") <= F.col("upper"))).alias("right"))
 
 
 @query
