@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.lineage import materialize
 from weftgraph.operators.graph import KEY, descendants, leaves, roots
-from weftgraph.operators.trees import at_or_below, reentrant_graphs, subtree_sums
+from weftgraph.operators.trees import Climb, at_or_below, climb, subtree_sums
 from weftgraph.settings import MAX_CAPACITY
 from weftgraph.skew import join_salted, with_totals
 
@@ -193,26 +193,24 @@ def count_flow_updates(previous: DataFrame, current: DataFrame, tolerance: float
             .groupBy("doc_id").agg(F.count_if(changed).alias("updates")))
 
 
-def descendant_counts(edges: DataFrame, nodes_roots: DataFrame,
-                      closure: DataFrame | None = None) -> DataFrame:
+def descendant_counts(edges: DataFrame, nodes_roots: DataFrame, closure: DataFrame | None = None,
+                      ways: Climb | None = None) -> DataFrame:
     """Number of distinct descendants of each vertex, itself included.
 
-    Without a closure, trees are counted by doubling, in rows that do not grow with the
-    depth; only graphs in which a vertex has several parents list theirs.
+    Without a closure, trees are counted by doubling (over ``ways`` where they are known), in rows
+    that do not grow with the depth; only graphs in which a vertex has several parents list theirs.
     """
     ends = edges.select(*KEY, F.explode(F.array("parent_id", "child_id")).alias("node_id")) \
         .unionByName(nodes_roots.select(*KEY, "node_id")).distinct()
     if closure is None:
-        multi = materialize(reentrant_graphs(edges), "reentrant-graphs")
-        trees = join_salted(edges, multi, KEY, ["child_id"], "left_anti")
+        ways = ways or climb(edges)
         one = F.lit(1).cast("long").alias("n_desc")
-        plain = join_salted(ends, multi, KEY, ["node_id"], "left_anti")
-        counted = subtree_sums(trees.select(*KEY, F.col("child_id").alias("node_id"), F.col("parent_id").alias("up")).distinct(),
-                               plain.select(*KEY, "node_id", one), ["n_desc"])
-        if multi.isEmpty():
-            return counted
-        other = materialize(join_salted(edges, multi, KEY, ["child_id"], "left_semi"), "reentrant-edges")
-        mine = join_salted(nodes_roots.select(*KEY, "node_id"), multi, KEY, ["node_id"], "left_semi")
+        if ways.other.isEmpty():
+            return subtree_sums(ways, ends.select(*KEY, "node_id", one), ["n_desc"])
+        plain = join_salted(ends, ways.other, KEY, ["node_id"], "left_anti")
+        counted = subtree_sums(ways, plain.select(*KEY, "node_id", one), ["n_desc"])
+        other = materialize(join_salted(edges, ways.other, KEY, ["child_id"], "left_semi"), "reentrant-edges")
+        mine = join_salted(nodes_roots.select(*KEY, "node_id"), ways.other, KEY, ["node_id"], "left_semi")
         return counted.unionByName(descendant_counts(other, mine, descendants(other)))
     below = (closure.where("ancestor <> node_id")
              .groupBy(*KEY, F.col("ancestor").alias("node_id"))
@@ -370,23 +368,21 @@ def low_flow_children(edge_flows: DataFrame, min_flow: float) -> DataFrame:
 
 
 def prune_targets(edge_flows: DataFrame, closure: DataFrame | None, min_flow: float,
-                  edges: DataFrame | None = None) -> DataFrame:
+                  edges: DataFrame | None = None, ways: Climb | None = None) -> DataFrame:
     """Vertices at or below a weak edge.
 
-    With a closure by a join with it; without one from ``edges``: trees by doubling, other
-    graphs by the closure of their edges.
+    With a closure by a join with it; without one from ``edges`` (and ``ways`` where they are known):
+    trees by doubling, other graphs by the closure of their edges.
     """
     weak = low_flow_children(edge_flows, min_flow)
     if closure is None:
-        multi = materialize(reentrant_graphs(edges), "reentrant-graphs")
-        weak = materialize(weak.withColumnRenamed("ancestor", "node_id"), "weak")
-        trees = join_salted(edges, multi, KEY, ["child_id"], "left_anti")
-        parents = trees.select(*KEY, F.col("child_id").alias("node_id"), F.col("parent_id").alias("up")).distinct()
-        hit = at_or_below(parents, join_salted(weak, multi, KEY, ["node_id"], "left_anti"))
-        if multi.isEmpty():
-            return hit
-        other = materialize(join_salted(edges, multi, KEY, ["child_id"], "left_semi"), "reentrant-edges")
-        mine = join_salted(edge_flows, multi, KEY, ["child_id"], "left_semi")
+        ways = ways or climb(edges)
+        weak = weak.withColumnRenamed("ancestor", "node_id")
+        if ways.other.isEmpty():
+            return at_or_below(ways, weak)
+        hit = at_or_below(ways, join_salted(weak, ways.other, KEY, ["node_id"], "left_anti"))
+        other = materialize(join_salted(edges, ways.other, KEY, ["child_id"], "left_semi"), "reentrant-edges")
+        mine = join_salted(edge_flows, ways.other, KEY, ["child_id"], "left_semi")
         return hit.unionByName(prune_targets(mine, descendants(other), min_flow))
     below = join_salted(closure.where("ancestor <> node_id"), weak, [*KEY, "ancestor"],
                         ["node_id"], "left_semi").select(*KEY, "node_id")

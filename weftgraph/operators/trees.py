@@ -9,6 +9,7 @@ thousand vertices takes seventeen rounds.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,38 +20,63 @@ from weftgraph.operators.graph import KEY, dense_ids
 NODE = [*KEY, "node_id"]
 
 
+@dataclass(frozen=True)
+class Climb:
+    """The ways up of all forests: graphs that are none (``other``: ``KEY``), and for every vertex of
+    the others its ancestor 1, 2, 4, ... steps above.  Written once, read by every sum and mark."""
+
+    other: DataFrame
+    steps: tuple[DataFrame, ...]
+
+
+def climb(edges: DataFrame) -> Climb:
+    """A graph is no forest if a vertex has several parents or a way up goes round in a circle."""
+    links = materialize(edges.select(*KEY, F.col("child_id").alias("node_id"), F.col("parent_id").alias("up")).distinct(), "links")
+    multi = links.groupBy(*NODE).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("node_id") == F.col("up")).alias("own"))
+    multi = materialize(multi.where("n > 1 or own").select(*KEY).distinct(), "reentrant-graphs")
+    all_forests = multi.isEmpty()
+    steps = list(steps_up(links if all_forests else links.join(multi, KEY, "left_anti"), keep=True, written=all_forests))
+    last = steps.pop()
+    if not last.isEmpty():
+        circles = materialize(last.select(*KEY).distinct(), "circles")
+        steps = [materialize(s.join(circles, KEY, "left_anti"), "steps") for s in steps]
+        multi = materialize(multi.unionByName(circles), "reentrant-graphs")
+    return Climb(multi, tuple(steps))
+
+
 def reentrant_graphs(edges: DataFrame) -> DataFrame:
-    """Graphs (``KEY``) that are no forests: a vertex has several parents or a way up goes round
-    in a circle."""
-    links = materialize(edges.select(*KEY, "parent_id", "child_id").distinct(), "links")
-    multi = links.groupBy(*KEY, "child_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*KEY)
-    multi = multi.unionByName(links.where("parent_id = child_id").select(*KEY)).distinct()
-    step = links.select(*KEY, F.col("child_id").alias("node_id"), F.col("parent_id").alias("up")).join(multi, KEY, "left_anti")
-    for step in steps_up(step, to_the_end=True):
-        pass
-    return multi.unionByName(step.select(*KEY)).distinct()
+    """Graphs (``KEY``) that are no forests."""
+    return climb(edges).other
 
 
-def steps_up(parents: DataFrame, to_the_end: bool = False) -> Iterator[DataFrame]:
+def steps_up(parents: DataFrame, keep: bool = False, written: bool = False) -> Iterator[DataFrame]:
     """``node_id, up``: the ancestor 1, 2, 4, ... steps above, as long as there is one.
 
-    ``parents`` has one row per vertex with a parent.  On a circle there always is one; the
-    rounds end when the steps are longer than the largest graph has vertices.  ``to_the_end``
-    also gives the last table: empty, or what is on a circle or below one.
+    ``parents`` has one row per vertex with a parent (``written``: it is a written table already).
+    On a circle there always is an ancestor; the rounds end when the steps are longer than the largest graph has
+    vertices.  ``keep`` leaves all tables in place and also gives the last one: empty, or what is
+    on a circle or below one.
     """
-    step = materialize(parents.select(*NODE, "up"), "steps")
+    step = parents.select(*NODE, "up")
+    if not written:
+        step = materialize(step, "steps")
     most = step.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     reach = 1
     while reach <= most and not step.isEmpty():
         yield step
         above = step.select(*KEY, F.col("node_id").alias("up"), F.col("up").alias("_up"))
         old, step = step, materialize(step.join(above, [*KEY, "up"]).select(*NODE, F.col("_up").alias("up")), "steps")
-        discard(old)
+        if not keep:
+            discard(old)
         reach *= 2
-    if to_the_end:
+    if keep:
         yield step
 
 
+def _steps(parents: "DataFrame | Climb") -> "Iterator[DataFrame]":
+    return iter(parents.steps) if isinstance(parents, Climb) else steps_up(parents)
+
+
 def forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``node_id, up``: one parent per vertex, without circles, and the links left over
     (``parent_id, child_id``).
@@ -83,10 +109,10 @@ def forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parents, extra
 
 
-def subtree_sums(parents: DataFrame, values: DataFrame, columns: Sequence[str]) -> DataFrame:
+def subtree_sums(parents: DataFrame | Climb, values: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``values`` (one row per vertex) with every column summed over the vertex and all below it."""
     total = materialize(values.select(*NODE, *columns), "subtree")
-    for step in steps_up(parents):
+    for step in _steps(parents):
         below = step.join(total, NODE).groupBy(*KEY, F.col("up").alias("node_id")).agg(
             *[F.sum(c).alias(f"_{c}") for c in columns])
         old, total = total, materialize(total.join(below, NODE, "left").select(
@@ -95,10 +121,10 @@ def subtree_sums(parents: DataFrame, values: DataFrame, columns: Sequence[str])
     return total
 
 
-def path_sums(parents: DataFrame, values: DataFrame, column: str) -> DataFrame:
+def path_sums(parents: DataFrame | Climb, values: DataFrame, column: str) -> DataFrame:
     """``values`` with the column summed over the vertex and all above it."""
     total = materialize(values.select(*NODE, column), "path")
-    for step in steps_up(parents):
+    for step in _steps(parents):
         above = total.select(*KEY, F.col("node_id").alias("up"), F.col(column).alias("_up"))
         more = step.join(above, [*KEY, "up"]).select(*NODE, "_up")
         old, total = total, materialize(total.join(more, NODE, "left").select(
@@ -107,10 +133,10 @@ def path_sums(parents: DataFrame, values: DataFrame, column: str) -> DataFrame:
     return total
 
 
-def at_or_below(parents: DataFrame, marked: DataFrame) -> DataFrame:
+def at_or_below(parents: DataFrame | Climb, marked: DataFrame) -> DataFrame:
     """Marked vertices and all below one of them."""
     hit = materialize(marked.select(*NODE).distinct(), "below")
-    for step in steps_up(parents):
+    for step in _steps(parents):
         more = step.join(hit.withColumnRenamed("node_id", "up"), [*KEY, "up"], "left_semi").select(*NODE)
         old, hit = hit, materialize(hit.unionByName(more).distinct(), "below")
         discard(old)
@@ -124,7 +150,8 @@ def tree_index(nodes: DataFrame, parents: DataFrame) -> DataFrame:
     ``last``; it has ``last - first + 1`` of them.  Roots of one graph follow each other by id.
     """
     all_ = nodes.select(*NODE).distinct().withColumn("size", F.lit(1).cast("long"))
-    sizes = subtree_sums(parents, all_, ["size"])
+    ways = Climb(parents.select(*KEY).limit(0), tuple(steps_up(parents, keep=True))[:-1])
+    sizes = subtree_sums(ways, all_, ["size"])
     placed = materialize(sizes.join(parents.select(*NODE, "up"), NODE, "left"), "tree-index")
     group = [*KEY, "up"]
     # what the siblings before a vertex take, as running sums that no task holds whole
@@ -132,8 +159,8 @@ def tree_index(nodes: DataFrame, parents: DataFrame) -> DataFrame:
                       group, ["node_id"], "_n")
     before = _before(order, group)
     offset = before.select(*NODE, (F.col("_before") + F.when(F.col("up") == "", 0).otherwise(1)).alias("first"))
-    first = path_sums(parents, offset, "first")
-    depth = path_sums(parents, placed.select(*NODE, F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth")),
+    first = path_sums(ways, offset, "first")
+    depth = path_sums(ways, placed.select(*NODE, F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth")),
                       "depth")
     return placed.join(first, NODE).join(depth, NODE).select(
         *NODE, "up", "depth", "first", (F.col("first") + F.col("size") - 1).alias("last"))

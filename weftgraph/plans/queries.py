@@ -473,10 +473,11 @@ def saturated_flow(spark, sf):
     return _hier_flows(spark, sf).select("doc_id", "child_id", "edge_type", _r("flow"))
 
 
-def _hier_fpn(spark, sf, mode: str = "fpn") -> tuple[DataFrame, DataFrame]:
-    """Flow per node, and the edges of the trees."""
+def _hier_fpn(spark, sf, mode: str = "fpn") -> tuple[DataFrame, TR.Climb]:
+    """Flow per node, and the ways up that its counts are made with."""
     edges, flows = _hier(spark, sf)
-    return W.flow_per_node(flows, W.descendant_counts(edges, D.hier_roots(spark, sf)), mode), edges
+    ways = TR.climb(edges)
+    return W.flow_per_node(flows, W.descendant_counts(edges, D.hier_roots(spark, sf), ways=ways), mode), ways
 
 
 @query
@@ -544,8 +545,8 @@ def flow_updates(spark, sf):
 @query
 def prune_subtrees(spark, sf):
     """Everything at or below a weak order, customer or line."""
-    fpn, edges = _hier_fpn(spark, sf)
-    return W.prune_targets(fpn, None, 15.0, edges).select("doc_id", "node_id")
+    fpn, ways = _hier_fpn(spark, sf)
+    return W.prune_targets(fpn, None, 15.0, ways=ways).select("doc_id", "node_id")
 
 
 @query
