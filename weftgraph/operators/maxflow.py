@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from weftgraph.lineage import discard, materialize
 from weftgraph.operators.flow import (
     SINK_TERMINAL, SOURCE_TERMINAL, build_network, reentrancies, repair_capacities)
+from weftgraph.operators.guard import FAILURE, guarded
 from weftgraph.settings import MAX_CAPACITY
 from weftgraph.skew import join_salted, with_totals
 
@@ -155,6 +156,20 @@ def _solve_one(group: pd.DataFrame) -> pd.DataFrame:
                         source_side=[u in side for u, _ in pairs])
 
 
+def guarded_max_flow(network: DataFrame) -> DataFrame:
+    """``max_flow`` of documents of any number of edges that fit a task, with a ``failure`` column: a
+    document with a capacity that is null, negative or not a number is one row that says so
+    (``guard.split_failures``)."""
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        if not (group["capacity"] >= 0).all():
+            raise ValueError("a capacity is no number or negative")
+        return _solve_one(group)
+
+    typed = network.select(F.col("doc_id").cast("string").alias("doc_id"), *_COLUMNS[1:])
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    return typed.groupBy("doc_id").applyInPandas(guarded(solve, ["doc_id"], names), f"{SCHEMA}, {FAILURE} string")
+
+
 def max_flow(network: DataFrame, group_edges: int = 20_000) -> DataFrame:
     """Flow of every edge, the minimum cut and the source side, per document.
 

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from weftgraph.functions import vectors as V
 from weftgraph.lineage import materialize
 from weftgraph.operators.graph import KEY, k_hop, ring_sums
+from weftgraph.operators.guard import FAILURE, guarded_pair
 from weftgraph.operators.trees import forest, reentrant_graphs
 from weftgraph.settings import AlignSettings
 from weftgraph.skew import join_salted, with_totals
@@ -132,15 +133,20 @@ def bipartite_blocks(blocked: DataFrame, pivots: DataFrame | None = None) -> Dat
 
 
 def blocked_pairs(nodes: DataFrame, payload: list[str], kernel: Callable, schema: str,
-                  block_rows: int, bound: Column | None = None, threshold: float = 0.0) -> DataFrame:
+                  block_rows: int, bound: Column | None = None, threshold: float = 0.0,
+                  keep_failures: bool = False) -> DataFrame:
     """Run ``kernel(source_block, summary_block) -> pairs`` on every block pair that can have a pair.
 
+    With ``keep_failures`` a block pair whose kernel raises is a row with its document and a
+    ``failure`` (``guard.split_failures``) instead of the end of the job.  Blocks are then made by
+    hash alone, since pivots read the vectors.
+
     ``bound`` is the largest similarity of a pair of blocks as an expression of ``most``, the
     largest cosine of their vectors, and ``attrib_type``; where it does not pass the threshold the two
     blocks are never brought together.
     """
     chosen = nodes.select(*KEY, "node_id", "attrib_type", *payload)
-    if bound is None:
+    if bound is None or keep_failures:
         blocked = block_nodes(chosen, block_rows)
         units = bipartite_blocks(blocked)
     else:
@@ -153,6 +159,9 @@ def blocked_pairs(nodes: DataFrame, payload: list[str], kernel: Callable, schema
     right = (blocked.where("component = 'summary'").withColumnRenamed("block", "smy_block")
              .join(units, [*GROUP, "smy_block"]))
     right = right.toDF(*right.columns)  # own column identities, both sides share a scan
+    if keep_failures:
+        names = ["doc_id", "attrib_type", "src_node", "smy_node", "sim"]
+        kernel, schema = guarded_pair(kernel, GROUP, names), f"{schema}, {FAILURE} string"
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(kernel, schema)
 
 
@@ -185,7 +194,7 @@ def _empty_pairs() -> pd.DataFrame:
 
 
 def cosine_pairs(nodes: DataFrame, threshold: float, exponent: float = 1.0,
-                 block_rows: int = 1024) -> DataFrame:
+                 block_rows: int = 1024, keep_failures: bool = False) -> DataFrame:
     """Same-type pairs whose clamped cosine (to the exponent) passes the threshold."""
     def kernel(src: pd.DataFrame, smy: pd.DataFrame) -> pd.DataFrame:
         if src.empty or smy.empty:
@@ -194,10 +203,11 @@ def cosine_pairs(nodes: DataFrame, threshold: float, exponent: float = 1.0,
 
     # a pair that passes a threshold of 0 or more has a positive cosine
     bound = F.pow("most", F.lit(exponent)) if threshold >= 0 and exponent > 0 else None
-    return blocked_pairs(nodes, ["vec"], kernel, _pair_schema(nodes), block_rows, bound, threshold)
+    return blocked_pairs(nodes, ["vec"], kernel, _pair_schema(nodes), block_rows, bound, threshold, keep_failures)
 
 
-def pair_similarity(nodes: DataFrame, settings: AlignSettings = AlignSettings()) -> DataFrame:
+def pair_similarity(nodes: DataFrame, settings: AlignSettings = AlignSettings(),
+                    keep_failures: bool = False) -> DataFrame:
     """Similarity of every same-type pair above the threshold.
 
     ``nodes`` carries ``vec`` (own vector), ``nvec`` (neighbourhood vector), ``svec``
@@ -238,7 +248,7 @@ def pair_similarity(nodes: DataFrame, settings: AlignSettings = AlignSettings())
         F.when(kind == "concept", at("concept")).otherwise(at("attribute")) + F.lit(float(max(near, far))))
     usable = s.similarity_threshold >= 0 and 0 <= s.sentence_dampen <= 1 and min(power.values()) > 0
     return blocked_pairs(ready, ["vec", "nvec", "svec", "has_sent"], kernel, _pair_schema(nodes), s.block_rows,
-                         bound if usable else None, s.similarity_threshold)
+                         bound if usable else None, s.similarity_threshold, keep_failures)
 
 
 def with_tokens(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -37,6 +37,16 @@ select doc_id, attrib_type, count(*) filter (where component = 'source') as n_so
 from emb group by all"""
 ORACLES["pair_cosine"] = f"""with {EMB}
 select doc_id, attrib_type, src_node, smy_node, round(sim, 6) as sim from pairs"""
+# a document fails if the cut vectors, of different lengths, meet in a block pair
+ORACLES["kernel_failures"] = f"""with {EMB},
+last as (select doc_id, max(attrib_type) as label from emb where doc_id = (select max(doc_id) from emb) group by doc_id),
+broken as (select e.doc_id, count(distinct component) as sides,
+                  max(lens) as lens from emb e join last l on l.doc_id = e.doc_id and l.label = e.attrib_type
+           join (select e.doc_id as d, count(distinct e.node_id % 7) as lens from emb e join last l
+                 on l.doc_id = e.doc_id and l.label = e.attrib_type group by all) on d = e.doc_id group by all)
+select doc_id, count(*) as n_pairs, false as failed from pairs
+where doc_id not in (select doc_id from broken where sides = 2 and lens > 1) group by doc_id
+union all select doc_id, 0, true from broken where sides = 2 and lens > 1"""
 ORACLES["sigmoid_skew"] = f"""with {EMB}
 select doc_id, src_node, smy_node, round(1 / (1 + exp(0.5 - sim)) - 0.5, 6) as skew from pairs"""
 ORACLES["node_similarity"] = f"""with {EMB}

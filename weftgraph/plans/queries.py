@@ -21,6 +21,7 @@ from weftgraph.operators import results as R
 from weftgraph.operators import scoring as E
 from weftgraph.operators import similarity as S
 from weftgraph.operators import trees as TR
+from weftgraph.operators.guard import split_failures
 from weftgraph.plans import views as D
 from weftgraph.plans.align import Alignment, StepSets, align
 from weftgraph.plans.align import align_one as align_one_document
@@ -61,6 +62,20 @@ def pair_cosine(spark, sf):
     return _pairs(spark, sf).select("doc_id", "attrib_type", "src_node", "smy_node", _r("sim"))
 
 
+@query
+def kernel_failures(spark, sf):
+    """Pairs per vector document where the vectors of the last document's largest label were cut:
+    that document fails with a message, the others are complete."""
+    nodes = D.emb_nodes(spark, sf)
+    last = nodes.groupBy("doc_id").agg(F.max("attrib_type").alias("_label")).orderBy(F.desc("doc_id")).limit(1)
+    bad = nodes.join(F.broadcast(last.withColumnRenamed("doc_id", "_doc")), (F.col("doc_id") == F.col("_doc")) & (F.col("attrib_type") == F.col("_label")), "left")
+    cut = bad.withColumn("vec", F.when(F.col("_doc").isNotNull(), F.slice("vec", 1, F.col("node_id").cast("int") % 7 + 1)).otherwise(F.col("vec")))
+    found = materialize(S.cosine_pairs(cut.select(*nodes.columns), D.EMB_THRESHOLD, keep_failures=True), "guarded-pairs")
+    good, failures = split_failures(found, "similarity", ["src_node"])
+    return good.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.lit(False).alias("failed")).unionByName(
+        failures.select("doc_id", F.lit(0).cast("long").alias("n_pairs"), F.col("message").isNotNull().alias("failed")))
+
+
 @query
 def sigmoid_skew(spark, sf):
     return _pairs(spark, sf).select("doc_id", "src_node", "smy_node", F.round(
