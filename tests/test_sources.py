@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.sources import graph_text as T
+from weftgraph.sources import sinks
 from weftgraph.streaming.incremental import ContentStore, upsert_arrivals
 
 
@@ -94,3 +95,26 @@ def test_a_repeated_batch_adds_nothing(spark, tmp_path):
     docs(spark, [("b", "changed")]).write.mode("append").json(incoming)
     upsert_arrivals(stream, store, compute, str(tmp_path / "cp1")).awaitTermination(120)
     assert {(r.doc_id, r.n) for r in store.read().collect()} == {("a", 1), ("b", 7)}
+
+
+def test_outputs_are_committed_together(spark, tmp_path):
+    path = str(tmp_path / "out")
+    stats = spark.createDataFrame([("a", 1), ("b", 2)], "doc_id string, n int")
+    flows = spark.createDataFrame([("a", 0.5)], "doc_id string, flow double")
+    with pytest.raises(FileNotFoundError):
+        sinks.committed_path(spark, path)
+    broken = flows.withColumn("flow", F.raise_error(F.lit("midway")).cast("double"))
+    with pytest.raises(Exception, match="midway"):
+        sinks.commit_results(stats, path, flows=broken)
+    with pytest.raises(FileNotFoundError):  # the statistics were written, and nobody sees them
+        sinks.committed_path(spark, path)
+    first = sinks.commit_results(stats, path, flows=flows)
+    with pytest.raises(Exception, match="midway"):
+        sinks.commit_results(stats.limit(1), path, flows=broken)
+    run = sinks.committed_path(spark, path)
+    assert run.endswith(f"/{first}") and spark.read.json(f"{run}/by_document").count() == 2
+    second = sinks.commit_results(stats.limit(1), path, flows=flows)
+    third = sinks.commit_results(stats, path, flows=flows)
+    run = sinks.committed_path(spark, path)
+    assert first < second < third and spark.read.json(f"{run}/by_document").count() == 2
+    assert sorted(int(p.name) for p in (tmp_path / "out" / "runs").iterdir()) == [second, third]

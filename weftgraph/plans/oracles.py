@@ -937,3 +937,4 @@ one as (select con.doc_id as pair_id, round(max(mf), 6) as agg_mean_flow,
 {_ngrams(range(1, 3), SIDES_AS_PAIRS)},
 two as (select p.pair_id, {_rouge_columns(range(1, 3))} from p left join m using (pair_id) group by p.pair_id)
 select * from one join two using (pair_id)"""
+ORACLES["committed_results"] = ORACLES["written_results"]

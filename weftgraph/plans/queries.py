@@ -880,6 +880,18 @@ def written_results(spark, sf):
             .join(flows, "doc_id"))
 
 
+@query
+def committed_results(spark, sf):
+    """Statistics and flows of the vector documents committed together, twice, and read back."""
+    a = _emb_alignment(spark, sf)
+    path = f"{lineage_dir(spark)}/committed-{uuid.uuid4().hex}"
+    for _ in range(2):
+        sinks.commit_results(a.stats(), path, flows=a.flows())
+    run = sinks.committed_path(spark, path)
+    flows = spark.read.json(f"{run}/alignments").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_flows"))
+    return spark.read.json(f"{run}/by_document").select("doc_id", "tot_aligned", "tot_alignable").join(flows, "doc_id")
+
+
 @query
 def corpus_keys(spark, sf):
     return K.corpus_keys(D.conv_sentences(spark, sf))

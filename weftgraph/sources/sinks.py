@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FORMATS = ("txt", "csv", "json")
@@ -61,3 +61,43 @@ def write_results(stats: DataFrame, path: str, fmt: str = "csv", docs: DataFrame
     flat_columns(combined).write.mode(mode).csv(f"{path}/results", header=True, escape='"')
     if failures is not None:
         failures.write.mode(mode).json(f"{path}/failures")
+
+
+# --- several outputs, one commit -------------------------------------------------
+
+def _fs(spark: SparkSession, name: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _numbers(spark: SparkSession, folder: str) -> list[int]:
+    fs, where = _fs(spark, folder)
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def commit_results(stats: DataFrame, path: str, fmt: str = "json", docs: DataFrame | None = None,
+                   flows: DataFrame | None = None, failures: DataFrame | None = None) -> int:
+    """``write_results`` of all outputs as one: readers see all of a run or nothing of it.
+
+    The outputs go to a folder of their own; the run counts from the moment its manifest exists,
+    which is created last and never overwritten.  A run that fails midway leaves a folder that no
+    reader looks at and the next commit deletes; a rerun replaces the run before as a whole.
+    Returns the run's number.
+    """
+    spark = stats.sparkSession
+    number = max([0, *_numbers(spark, f"{path}/manifests"), *_numbers(spark, f"{path}/runs")]) + 1
+    write_results(stats, f"{path}/runs/{number}", fmt, docs, flows, failures)
+    fs, manifest = _fs(spark, f"{path}/manifests/{number}")
+    fs.create(manifest, False).close()
+    for old in _numbers(spark, f"{path}/runs"):
+        if old < number - 1:  # the run before stays for readers that have begun
+            _fs(spark, f"{path}/runs/{old}")[0].delete(_fs(spark, f"{path}/runs/{old}")[1], True)
+    return number
+
+
+def committed_path(spark: SparkSession, path: str) -> str:
+    """Folder of the last run that was committed."""
+    numbers = _numbers(spark, f"{path}/manifests")
+    if not numbers:
+        raise FileNotFoundError(f"no results were committed to {path}")
+    return f"{path}/runs/{numbers[-1]}"
