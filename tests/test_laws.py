@@ -214,6 +214,12 @@ def test_dense_ids_and_salted_joins(spark):
     for how in ("inner", "left", "left_semi", "left_anti"):
         plain = sorted(map(str, df.join(names, ["g"], how).collect()))
         assert sorted(map(str, join_split(df, names, ["g"], ["v"], how, hot_rows=100).collect())) == plain
+    # working columns give way to columns of the tables
+    clash = df.select("*", *[F.col("v").alias(c) for c in ("_SALT", "_parts", "_split", "_part", "_row", "_n", "_first", "_start")])
+    assert join_salted(clash, names, ["g"], ["v"], "left", salt=4).where("_SALT <> v").count() == 0
+    assert join_split(clash, names, ["g"], ["v"], "left", hot_rows=100).columns == [*clash.columns, "x"]
+    assert with_totals(clash, ["g"], [F.count(F.lit(1)).alias("n")], ["v"], 100).columns == [*clash.columns, "n"]
+    assert G.dense_ids(clash, ["g"], ["v"], "n").where("_row <> v or _part <> v").count() == 0
 
 
 def test_adjacency_has_one_form_for_all_vertices(spark):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.vectors import vector_sum
 from weftgraph.lineage import discard, materialize
-from weftgraph.skew import join_salted, with_totals
+from weftgraph.skew import free_names, join_salted, with_totals
 
 KEY = ["doc_id", "component"]
 
@@ -28,18 +28,19 @@ def dense_ids(df: DataFrame, group: Sequence[str], order: Sequence[str],
     whole group.
     """
     keys = [*group, *order]
+    part, row, count, first, start = free_names((df,), "_part", "_row", "_n", "_first", "_start")
     ranged = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-              .withColumn("_part", F.spark_partition_id())
-              .withColumn("_row", F.monotonically_increasing_id()))
+              .withColumn(part, F.spark_partition_id())
+              .withColumn(row, F.monotonically_increasing_id()))
     ranged = materialize(ranged, "dense-ids")
-    parts = ranged.groupBy(*group, "_part").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
-    before = (Window.partitionBy(*group).orderBy("_part")
+    parts = ranged.groupBy(*group, part).agg(
+        F.count(F.lit(1)).alias(count), F.min(row).alias(first))
+    before = (Window.partitionBy(*group).orderBy(part)
               .rowsBetween(Window.unboundedPreceding, -1))
-    starts = parts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return (ranged.join(starts, [*group, "_part"])
-            .withColumn(name, F.col("_start") + F.col("_row") - F.col("_first"))
-            .drop("_part", "_row", "_first", "_start"))
+    starts = parts.withColumn(start, F.coalesce(F.sum(count).over(before), F.lit(0))).drop(count)
+    return (ranged.join(starts, [*group, part])
+            .withColumn(name, F.col(start) + F.col(row) - F.col(first))
+            .drop(part, row, first, start))
 
 
 def assign_ids(nodes: DataFrame, order: Sequence[str] = ("component", "node_id")) -> DataFrame:

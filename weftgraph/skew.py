@@ -12,6 +12,17 @@ SALT = 16
 HOT_ROWS = 1 << 20
 
 
+def free_names(tables: Sequence[DataFrame], *names: str) -> list[str]:
+    """Working column names that no column of the tables has in any letter case."""
+    taken, out = {c.lower() for t in tables for c in t.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def join_salted(big: DataFrame, small: DataFrame, keys: Sequence[str],
                 spread: Sequence[str | Column], how: str = "inner",
                 salt: int | None = None) -> DataFrame:
@@ -26,10 +37,11 @@ def join_salted(big: DataFrame, small: DataFrame, keys: Sequence[str],
     if salt is None:
         return big.join(small, list(keys), how)
     spread_cols = [F.col(c) if isinstance(c, str) else c for c in spread]
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_cols), F.lit(salt)))
+    name, = free_names((big, small), "_salt")
+    left = big.withColumn(name, F.pmod(F.xxhash64(*spread_cols), F.lit(salt)))
     right = small.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+        name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
+    return left.join(right, [*keys, name], how).drop(name)
 
 
 def with_totals(big: DataFrame, keys: Sequence[str], totals: Sequence[Column],
@@ -42,13 +54,14 @@ def with_totals(big: DataFrame, keys: Sequence[str], totals: Sequence[Column],
     keys are copied; their list is broadcast and has at most ``rows / hot_rows`` entries.
     """
     names = list(keys)
-    per = big.groupBy(*names).agg(*totals, F.ceil(F.count(F.lit(1)) / F.lit(hot_rows)).alias("_parts"))
-    hot = per.where("_parts > 1").select(*names, F.col("_parts").alias("_split"))
+    salt, parts, split = free_names((big,), "_salt", "_parts", "_split")
+    per = big.groupBy(*names).agg(*totals, F.ceil(F.count(F.lit(1)) / F.lit(hot_rows)).alias(parts))
+    hot = per.where(F.col(parts) > 1).select(*names, F.col(parts).alias(split))
     spread_cols = [F.col(c) if isinstance(c, str) else c for c in spread]
     left = big.join(F.broadcast(hot), names, "left").withColumn(
-        "_salt", F.coalesce(F.pmod(F.xxhash64(*spread_cols), F.col("_split")), F.lit(0)).cast("long")).drop("_split")
-    right = per.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
-    return left.join(right, [*names, "_salt"]).drop("_salt")
+        salt, F.coalesce(F.pmod(F.xxhash64(*spread_cols), F.col(split)), F.lit(0)).cast("long")).drop(split)
+    right = per.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))).drop(parts)
+    return left.join(right, [*names, salt]).drop(salt)
 
 
 def join_split(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Sequence[str | Column],
@@ -60,11 +73,12 @@ def join_split(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Se
     of hot keys is broadcast and has at most ``rows / hot_rows`` entries.
     """
     names = list(keys)
-    per = big.groupBy(*names).agg(F.ceil(F.count(F.lit(1)) / F.lit(hot_rows)).cast("long").alias("_parts"))
-    hot = F.broadcast(per.where("_parts > 1"))
+    salt, parts = free_names((big, small), "_salt", "_parts")
+    per = big.groupBy(*names).agg(F.ceil(F.count(F.lit(1)) / F.lit(hot_rows)).cast("long").alias(parts))
+    hot = F.broadcast(per.where(F.col(parts) > 1))
     spread_cols = [F.col(c) if isinstance(c, str) else c for c in spread]
     left = big.join(hot, names, "left").withColumn(
-        "_salt", F.coalesce(F.pmod(F.xxhash64(*spread_cols), F.col("_parts")), F.lit(0)).cast("long")).drop("_parts")
+        salt, F.coalesce(F.pmod(F.xxhash64(*spread_cols), F.col(parts)), F.lit(0)).cast("long")).drop(parts)
     right = small.join(hot, names, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-    return left.join(right, [*names, "_salt"], how).drop("_salt")
+        salt, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(parts, F.lit(1)) - 1))).drop(parts)
+    return left.join(right, [*names, salt], how).drop(salt)
