@@ -54,10 +54,40 @@ def test_stages_against_plain_rules(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, _key int, lang_pred string, _hits int, "
+          "size int, copies int, _SALT int, digest string")
+MORE = (0, "", 0, 0, 0, 0, "")
+
+
+def test_odd_documents_pass_every_stage(spark):
+    words = "the quick brown fox jumps over the lazy dog near the old river bank while the children watch it"
+    rows = [(i, f"{words} and number{i} {'word ' * i}", "en", None if i % 2 else "a", 1, *MORE) for i in range(1, 12)]
+    rows += [(20, None, "en", "a", 0, *MORE), (21, "", None, None, 0, *MORE), (22, "12 34", "en", "a", 5, *MORE),
+             (None, " ".join(words.split()[::-1]), None, "a", 9, *MORE), (23, words * 3000, "en", "b", 9, *MORE)]
+    rows += [rows[0]] * 3
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == [c.split()[0] for c in SCHEMA.split(", ")], name
+        got = [r["doc_id"] for r in docs.collect()]
+        assert 23 in got and not {20, 21, 22} & set(got), name
+        if name == "near copies":
+            assert got.count(1) == 1 and None in got  # repeated rows are copies
+    out = corpus_pipeline.STAGES[4][1](spark, docs, SF)
+    assert out.count() == docs.count() and out.columns[0] == "doc_id"
+
+
+def test_empty_table_passes_every_stage(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.collect() == [], name
+
+
 def test_registered():
     names = entry.queries()
     assert names["pipeline"] is corpus_pipeline.run
-    assert {int(n[2:].split("_")[0]) for n in REGISTRY} == set(range(1, 11)) and set(REGISTRY) <= set(names)
+    assert {int(n[2:].split("_")[0]) for n in REGISTRY} == set(range(1, 14)) and set(REGISTRY) <= set(names)
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
