@@ -21,9 +21,10 @@ def _bounded(spark: SparkSession) -> None:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language that can be told go: null, empty and letterless texts among
-    them.  Repeated rows stay or go together."""
+    them.  Profiles and threshold are learned from all labelled training documents.  Repeated rows
+    stay or go together."""
     _bounded(spark)
-    profiles = language.fit_profiles(docs)
+    profiles = language.fit_profiles(docs, fit_docs=None)
     return language.keep_identified(docs, profiles, language.least_score(docs, profiles))
 
 

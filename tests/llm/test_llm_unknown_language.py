@@ -24,3 +24,22 @@ def test_unlearned_scripts_go_and_short_documents_stay(spark):
     for part in (held, short):
         ids = {r["doc_id"] for r in part.collect()}
         assert ids and ids <= kept
+
+
+def test_threshold_and_profiles_are_learned_from_all_documents(spark):
+    """A document that the sample of a large language leaves out counts for both."""
+    letters = "abcdefghijklmnop"
+    name = lambda i: "".join(letters[int(d, 16)] for d in f"{i:x}")
+    rows = [(i, f"kato mato pato sato {name(i)}", "aa") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    drawn = {r["text"] for r in language.training_sample(docs).collect()}
+    learned = {r["text"] for r in language.training_sample(docs, fit_docs=None).collect()}
+    assert drawn < learned and len(learned) > language.FIT_DOCS
+    odd = next(i for i, t, _ in rows if t in learned - drawn)
+    strange = "zwr " * 40_000
+    docs = spark.createDataFrame([(i, strange if i == odd else t, x) for i, t, x in rows], docs.schema)
+    profiles = language.fit_profiles(docs, fit_docs=None)
+    assert profiles.predict("zwr", language.letter_table())[1] > 0
+    few = language.fit_profiles(docs)
+    far = few.predict(strange, language.letter_table())[1]
+    assert language.least_score(docs, few, share=1.0, tail=0.0) == far

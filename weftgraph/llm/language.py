@@ -120,8 +120,9 @@ def training_part(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                    fit_docs: int = FIT_DOCS, seed: int = SEED) -> DataFrame | None:
-    """``lang, text`` of about ``fit_docs`` labelled training documents of each language."""
+                    fit_docs: int | None = FIT_DOCS, seed: int = SEED) -> DataFrame | None:
+    """``lang, text`` of about ``fit_docs`` labelled training documents of each language, of all
+    where that is None."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                        F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(training_part(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -130,16 +131,18 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return None
+    if fit_docs is None:
+        return rows.select("lang", "text")
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, fit_docs / r["n"]))])
     return rows.where(unit_hash(F.lit(seed), F.col("id")) / F.lit(2.0 ** 63) < share[F.col("lang")]).select("lang", "text")
 
 
 def fit_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                 top: int = TOP, fit_docs: int = FIT_DOCS, seed: int = SEED) -> Profiles:
+                 top: int = TOP, fit_docs: int | None = FIT_DOCS, seed: int = SEED) -> Profiles:
     """Profiles from about ``fit_docs`` labelled training documents of each language.
 
-    The sample is drawn by a seeded hash of the id; where a language has fewer documents
-    all are used.  Null labels, null texts and held-out documents are not used.
+    The sample is drawn by a seeded hash of the id; where a language has fewer documents, or
+    ``fit_docs`` is None, all are used.  Null labels, null texts and held-out documents are not used.
     """
     sample = training_sample(docs, id_col, text_col, lang_col, fit_docs, seed)
     if sample is None:
@@ -197,14 +200,14 @@ def language_report(docs: DataFrame) -> DataFrame:
 
 
 def least_score(docs: DataFrame, profiles: Profiles, share: float = SHARE, tail: float = TAIL) -> float:
-    """The score from which a language is told, learned from the sample the profiles are fitted on.
+    """The score from which a language is told, learned from all labelled training documents.
 
     Documents without a letter are not learned from; 0 where there is nothing to learn from.
     """
-    sample = training_sample(docs)
-    if sample is None:
+    rows = training_sample(docs, fit_docs=None)
+    if rows is None:
         return 0.0
-    scores = identify(sample, profiles).where(F.col("lang_pred") != UND)
+    scores = identify(rows, profiles).where(F.col("lang_pred") != UND)
     low = scores.agg(F.percentile_approx("score", tail, 10_000)).first()[0]
     return share * (low or 0.0)
 
