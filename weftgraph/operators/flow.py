@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.lineage import discard, materialize
 from weftgraph.operators.graph import KEY, descendants, leaves, roots
-from weftgraph.operators.trees import Climb, at_or_below, climb, subtree_sums
+from weftgraph.operators.trees import Climb, at_or_below, climb, raked_sums, subtree_sizes
 from weftgraph.settings import MAX_CAPACITY
 from weftgraph.skew import join_salted, with_totals
 
@@ -134,22 +134,51 @@ def parent_shares(edges: DataFrame) -> DataFrame:
         .withColumn("share", F.lit(1.0) / F.col("_n")).drop("_n")
 
 
-def saturated_flow(edges: DataFrame, inflow: DataFrame, nodes_roots: DataFrame) -> DataFrame:
+def saturated_flow(edges: DataFrame, inflow: DataFrame, nodes_roots: DataFrame, ways: Climb | None = None) -> DataFrame:
     """Maximum flow of every edge: alignment capacity summed up the subtrees.
 
-    ``inflow`` is ``(doc_id, component, node_id, capacity)``.  Flow climbs one level
-    per round and is added up at every vertex, so each round is smaller than
-    the one before and hot vertices are summed before the shuffle.  The root's
-    terminal edge is one more row with a null ``parent_id``.
+    ``inflow`` is ``(doc_id, component, node_id, capacity)``.  In forests (``ways``, where they are
+    known with their edges: ``climb(edges, FLOW_EDGE)``) every vertex gives all it has to its one parent, layer by
+    layer.  In other graphs flow climbs one level per round and is added up at every vertex, so each round
+    is smaller than the one before.  The root's terminal edge is one more row with a null ``parent_id``.
     """
-    all_edges = materialize(edges.select(*KEY, "edge_id", "parent_id", "child_id", "edge_type"), "flow-edges")
-    several = all_edges.groupBy(*KEY, "child_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if several.isEmpty():  # every vertex gives all it has to its one parent
-        flow_edges = all_edges.select(*KEY, "edge_id", F.col("child_id").alias("node_id"), "parent_id", F.lit(1.0).alias("share"))
-    else:
-        flow_edges = materialize(parent_shares(acyclic(all_edges)).select(
-            *KEY, "edge_id", F.col("child_id").alias("node_id"), "parent_id", "share"), "flow-shares")
+    top = nodes_roots.select(*KEY, "node_id")
     first = inflow.groupBy(*KEY, "node_id").agg(F.sum("capacity").alias("mass"))
+    if ways is None or not ways.whole or not ways.other.isEmpty():
+        all_edges = materialize(edges.select(*KEY, "edge_id", "parent_id", "child_id", "edge_type"), "flow-edges")
+        if ways is None and all_edges.groupBy(*KEY, "child_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            ways = climb(all_edges, FLOW_EDGE)
+        if ways is None or not ways.whole or not ways.other.isEmpty():
+            flows, arrived = _level_flow(all_edges, first)
+            return flows.unionByName(_drained(arrived, top), allowMissingColumns=True)
+    parts, rest = raked_sums(ways, first, ["mass"])
+    if not parts:
+        return _drained(first, top).select(*KEY, F.lit(None).cast(dict(edges.dtypes)["edge_id"]).alias("edge_id"), F.lit(None).cast(
+            dict(edges.dtypes)["parent_id"]).alias("parent_id"), "child_id", "edge_type", "flow")
+    both = reduce(DataFrame.unionByName, [p.select(*KEY, "node_id", "up", *FLOW_EDGE, "n", "mass") for p in parts])
+    flows = both.where("n > 0").select(*KEY, "edge_id", F.col("up").alias("parent_id"), F.col("node_id").alias("child_id"),
+                                       "edge_type", F.coalesce("mass", F.lit(0.0)).alias("flow"))
+    arrived = both.select(*KEY, "node_id", "mass").unionByName(rest)
+    return flows.unionByName(_drained(arrived, top), allowMissingColumns=True)
+
+
+#: What ``saturated_flow`` asks ``climb`` to keep of every edge.
+FLOW_EDGE = ("edge_id", "edge_type")
+
+
+def _drained(arrived: DataFrame, top: DataFrame) -> DataFrame:
+    """Terminal edges of the roots with all that arrived there."""
+    drained = (arrived.join(top, [*KEY, "node_id"], "left_semi")
+               .groupBy(*KEY, "node_id").agg(F.sum("mass").alias("flow")))
+    return top.join(drained, [*KEY, "node_id"], "left").select(
+        *KEY, F.col("node_id").alias("child_id"), F.lit("terminal").alias("edge_type"),
+        F.coalesce("flow", F.lit(0.0)).alias("flow"))
+
+
+def _level_flow(all_edges: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Flow of every edge and what arrived at every vertex, level by level."""
+    flow_edges = materialize(parent_shares(acyclic(all_edges)).select(
+        *KEY, "edge_id", F.col("child_id").alias("node_id"), "parent_id", "share"), "flow-shares")
     mass = materialize(first, "flow-mass")
     arrived, carried = mass, None
     while True:
@@ -163,18 +192,10 @@ def saturated_flow(edges: DataFrame, inflow: DataFrame, nodes_roots: DataFrame)
         mass = step.groupBy(*KEY, F.col("parent_id").alias("node_id")).agg(F.sum("flow").alias("mass"))
         arrived = arrived.unionByName(mass)
     if carried is None:
-        flows = all_edges.withColumn("flow", F.lit(0.0))
-    else:
-        summed = carried.groupBy(*KEY, "edge_id").agg(F.sum("flow").alias("flow"))
-        flows = (all_edges.join(summed, [*KEY, "edge_id"], "left")
-                 .withColumn("flow", F.coalesce("flow", F.lit(0.0))))
-    top = nodes_roots.select(*KEY, "node_id")
-    drained = (arrived.join(top, [*KEY, "node_id"], "left_semi")
-               .groupBy(*KEY, "node_id").agg(F.sum("mass").alias("flow")))
-    terminal = top.join(drained, [*KEY, "node_id"], "left").select(
-        *KEY, F.col("node_id").alias("child_id"), F.lit("terminal").alias("edge_type"),
-        F.coalesce("flow", F.lit(0.0)).alias("flow"))
-    return flows.unionByName(terminal, allowMissingColumns=True)
+        return all_edges.withColumn("flow", F.lit(0.0)), arrived
+    summed = carried.groupBy(*KEY, "edge_id").agg(F.sum("flow").alias("flow"))
+    return (all_edges.join(summed, [*KEY, "edge_id"], "left")
+            .withColumn("flow", F.coalesce("flow", F.lit(0.0)))), arrived
 
 
 def feedable(nodes: DataFrame, edges: DataFrame, closure: DataFrame) -> DataFrame:
@@ -204,21 +225,31 @@ def descendant_counts(edges: DataFrame, nodes_roots: DataFrame, closure: DataFra
                       ways: Climb | None = None) -> DataFrame:
     """Number of distinct descendants of each vertex, itself included.
 
-    Without a closure, trees are counted by doubling (over ``ways`` where they are known), in rows
-    that do not grow with the depth; only graphs in which a vertex has several parents list theirs.
+    Without a closure, trees are counted layer by layer and by doubling (over ``ways`` where they are known),
+    in rows that do not grow with the depth; only graphs in which a vertex has several parents list theirs.
     """
-    ends = edges.select(*KEY, F.explode(F.array("parent_id", "child_id")).alias("node_id")) \
-        .unionByName(nodes_roots.select(*KEY, "node_id")).distinct()
     if closure is None:
         ways = ways or climb(edges)
+        sizes = subtree_sizes(ways)
+        # a vertex with a null key is one vertex and has nothing below it
+        known = reduce(and_, [F.col(c).isNotNull() for c in (*KEY, "node_id")])
+        tops = nodes_roots.select(*KEY, "node_id").distinct()
+        if ways.other.isEmpty():
+            mine = tops
+        else:
+            mine = join_salted(tops, ways.other, KEY, ["node_id"], "left_anti")
+            sizes = join_salted(sizes, ways.other, KEY, ["node_id"], "left_anti")
+        alone = mine.where(known).join(sizes.join(tops, [*KEY, "node_id"], "left_semi"), [*KEY, "node_id"], "left_anti")
+        odd = sizes.where(~known).select(*KEY, "node_id").unionByName(mine.where(~known)).distinct()
         one = F.lit(1).cast("long").alias("n_desc")
+        counted = sizes.where(known).unionByName(alone.unionByName(odd).select(*KEY, "node_id", one))
         if ways.other.isEmpty():
-            return subtree_sums(ways, ends.select(*KEY, "node_id", one), ["n_desc"])
-        plain = join_salted(ends, ways.other, KEY, ["node_id"], "left_anti")
-        counted = subtree_sums(ways, plain.select(*KEY, "node_id", one), ["n_desc"])
+            return counted
         other = materialize(join_salted(edges, ways.other, KEY, ["child_id"], "left_semi"), "reentrant-edges")
         mine = join_salted(nodes_roots.select(*KEY, "node_id"), ways.other, KEY, ["node_id"], "left_semi")
         return counted.unionByName(descendant_counts(other, mine, descendants(other)))
+    ends = edges.select(*KEY, F.explode(F.array("parent_id", "child_id")).alias("node_id")) \
+        .unionByName(nodes_roots.select(*KEY, "node_id")).distinct()
     below = (closure.where("ancestor <> node_id")
              .groupBy(*KEY, F.col("ancestor").alias("node_id"))
              .agg(F.count(F.lit(1)).alias("_below")))
