@@ -46,14 +46,62 @@ def sentence_number(part_ix: Column, position: Column) -> Column:
     return F.shiftleft(part, PART_SHIFT) + _below(position.cast("long"), PART_SHIFT, "sentences in a part")
 
 
-def explode_triples(sentences: DataFrame) -> DataFrame:
+#: Names of a sentence that are looked up in its own row; a sentence with more is joined by name.
+ROW_NAMES = 256
+
+
+def explode_triples(sentences: DataFrame, *more: str) -> DataFrame:
     """One row per triple of the sentences' graphs, with its position."""
-    return sentences.select(*SENT, F.posexplode("triples").alias("pos", "t")).select(
-        *SENT, "pos", F.col("t.source").alias("variable"), F.col("t.role").alias("role"),
+    return sentences.select(*SENT, *more, F.posexplode("triples").alias("pos", "t")).select(
+        *SENT, *more, "pos", F.col("t.source").alias("variable"), F.col("t.role").alias("role"),
         F.col("t.target").alias("target"), F.col("t.token_ix").alias("token_ix"),
         F.col("t.role_token_ix").alias("role_token_ix"))
 
 
+def _row_names() -> Column:
+    """Variables of the row's instance triples with their nodes; none where a part of the key is null."""
+    placed = F.transform("triples", lambda t, i: F.struct(
+        t["source"].alias("variable"), t["role"].alias("role"), i.alias("pos")))
+    names = F.transform(F.filter(placed, lambda t: t["role"] == ":instance"), lambda t: F.struct(
+        t["variable"].alias("variable"), inner_id(F.col("sent_ix"), t["pos"]).alias("node_id")))
+    known = F.col("doc_id").isNotNull() & F.col("component").isNotNull() & F.col("sent_ix").isNotNull()
+    return F.when(known, names).otherwise(F.filter(names, lambda n: F.lit(False)))
+
+
+def _named(names: str, variable: str) -> Column:
+    """Nodes of the names that are equal to a column."""
+    return F.transform(F.filter(names, lambda n: n["variable"] == F.col(variable)), lambda n: n["node_id"])
+
+
+def link_names(sentences: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Triples with ``heads`` and ``tails``, the nodes that a triple's variable and its target name in the
+    sentence, and sentences with ``tops``, those that ``top`` names.
+
+    Names are looked up in the sentence's own row, so triples are not shuffled.  Sentences of which
+    several rows have the key, or that have more than ``ROW_NAMES`` names, are joined by key and name.
+    """
+    odd = materialize(sentences.groupBy(*SENT).agg(F.count(F.lit(1)).alias("n"), F.max(F.size(F.filter(
+        "triples", lambda t: t["role"] == ":instance"))).alias("w")).where(f"n > 1 or w > {ROW_NAMES}").select(*SENT), "odd-sentences")
+    all_plain = odd.isEmpty()
+    plain = sentences if all_plain else join_salted(sentences, odd, SENT, ["text"], "left_anti")
+    named = plain.withColumn("_names", _row_names())
+    triples = (explode_triples(named, "_names").withColumn("heads", _named("_names", "variable"))
+               .withColumn("tails", _named("_names", "target")).drop("_names"))
+    tops = named.withColumn("tops", _named("_names", "top")).drop("_names")
+    if all_plain:
+        return triples, tops
+    rows = join_salted(sentences, odd, SENT, ["text"], "left_semi")
+    other = explode_triples(rows)
+    names = _variables(other).groupBy(*SENT, "variable").agg(F.collect_list("node_id").alias("_ids"))
+
+    def linked(table: DataFrame, column: str, out: str) -> DataFrame:
+        ids = names.withColumnsRenamed({"variable": column, "_ids": out})
+        return table.join(ids, [*SENT, column], "left").withColumn(out, F.coalesce(out, F.array().cast("array<bigint>")))
+
+    joined = linked(linked(other, "variable", "heads"), "target", "tails")
+    return triples.unionByName(joined), tops.unionByName(linked(rows, "top", "tops"))
+
+
 def _node_id() -> Column:
     return inner_id(F.col("sent_ix"), F.col("pos"))
 
@@ -74,11 +122,8 @@ def _variables(triples: DataFrame) -> DataFrame:
 
 def role_edges(triples: DataFrame) -> DataFrame:
     """One edge per triple between two variables of the sentence."""
-    names = _variables(triples)
-    head = names.withColumnRenamed("node_id", "parent_id")
-    tail = names.select(*SENT, F.col("variable").alias("target"), F.col("node_id").alias("child_id"))
-    rel = triples.where("role <> ':instance'")
-    return _role_columns(rel.join(head, [*SENT, "variable"]).join(tail, [*SENT, "target"]))
+    rel = triples.where("role <> ':instance'").withColumn("parent_id", F.explode("heads"))
+    return _role_columns(rel.withColumn("child_id", F.explode("tails")))
 
 
 def _role_columns(joined: DataFrame) -> DataFrame:
@@ -92,20 +137,17 @@ def _role_columns(joined: DataFrame) -> DataFrame:
 
 def attribute_nodes(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Constants: a node and a role edge per triple whose target is no variable."""
-    names = _variables(triples)
-    tail = names.select(*SENT, F.col("variable").alias("target"))
-    const = triples.where("role <> ':instance'").join(tail, [*SENT, "target"], "left_anti")
+    const = triples.where(F.col("role") != ":instance").where(F.size("tails") == 0)
     nodes = const.select(
         *SENT, _node_id().alias("node_id"), F.lit("attribute").alias("attrib_type"), "variable",
         X.constant_value(F.col("target"))["text"].alias("constant"), "role", "token_ix",
         X.constant_value(F.col("target"))["text"].alias("descr"), F.lit(False).alias("is_root"))
-    head = names.withColumnRenamed("node_id", "parent_id")
-    edges = _role_columns(const.withColumn("child_id", _node_id()).join(head, [*SENT, "variable"]))
+    edges = _role_columns(const.withColumn("child_id", _node_id()).withColumn("parent_id", F.explode("heads")))
     return nodes, edges
 
 
-def sentence_nodes(sentences: DataFrame, triples: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sentence node with an edge from its document node and one to the graph's top."""
+def sentence_nodes(sentences: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sentence node with an edge from its document node and one to each of the graph's ``tops``."""
     base = sentences.withColumn("node_id", sentence_base(F.col("sent_ix")))
     nodes = base.select(
         *SENT, "node_id", F.lit("sentence").alias("attrib_type"), X.shorten(F.col("text")).alias("descr"),
@@ -113,8 +155,7 @@ def sentence_nodes(sentences: DataFrame, triples: DataFrame) -> tuple[DataFrame,
     above = base.select(*KEY, F.col("node_id").alias("edge_id"), F.col("doc_node").alias("parent_id"),
                         F.col("node_id").alias("child_id"), F.lit("sentence").alias("edge_type"),
                         F.lit("sent").alias("relation"))
-    top = _variables(triples).withColumnRenamed("variable", "top").withColumnRenamed("node_id", "child_id")
-    below = base.join(top, [*SENT, "top"]).select(
+    below = base.withColumn("child_id", F.explode("tops")).select(
         *KEY, (F.col("node_id") + 1).alias("edge_id"), F.col("node_id").alias("parent_id"), "child_id",
         F.lit("sentence").alias("edge_type"), F.lit("sent-root").alias("relation"))
     return nodes, above.unionByName(below)
@@ -189,12 +230,11 @@ def build_graph(sentences: DataFrame, intermediate: bool = False,
     ``sentences`` has ``doc_id, component, sent_ix, text, top, triples``.  Decorators
     are functions ``(nodes, edges) -> (nodes, edges)`` and run in order.
     """
-    placed = place_sentences(sentences, intermediate)
-    triples = explode_triples(sentences)
+    triples, topped = link_names(sentences)
     concepts, roles = concept_nodes(triples), role_edges(triples)
     attributes, attribute_edges = attribute_nodes(triples)
-    sent_nodes, sent_edges = sentence_nodes(placed, triples)
-    doc_nodes, doc_edges = document_nodes(placed)
+    sent_nodes, sent_edges = sentence_nodes(place_sentences(topped, intermediate))
+    doc_nodes, doc_edges = document_nodes(place_sentences(sentences, intermediate))
     nodes = _conform([doc_nodes, sent_nodes, concepts, attributes], NODE_COLUMNS, _TYPES)
     edges = _conform([doc_edges, sent_edges, roles, attribute_edges], EDGE_COLUMNS, _TYPES)
     for decorate in decorators or []:
