@@ -1,6 +1,7 @@
 """Names of a sentence are looked up in its own row."""
 
 import pytest
+
 from weftgraph.operators import build as B
 
 TRIPLE = "array<struct<source string, role string, target string, token_ix array<int>, role_token_ix array<int>>>"

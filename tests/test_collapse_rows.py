@@ -2,6 +2,7 @@
 
 from weftgraph.operators import graph as G
 
+
 def test_collapsing_joins_only_rows_near_the_doc_ids(spark):
     nodes = spark.createDataFrame([
         (1, "source", 0, "doc", "source", True), (1, "source", 1, "doc", "source.section_0", False), (1, "source", 2, "doc", "source.section_0.header", False),

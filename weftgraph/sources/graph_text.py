@@ -74,19 +74,32 @@ def parse_graph(text: str) -> tuple[str, list[dict]]:
     return top, triples
 
 
+#: Characters of graph text that are parsed before their rows leave the task.
+PARSE_CHARS = 1 << 18
+
+
+def _slices(batch: pd.DataFrame, sizes: pd.Series, limit: int) -> Iterator[pd.DataFrame]:
+    """Consecutive rows of about ``limit`` characters, one row at least."""
+    part = (sizes.cumsum() - sizes) // limit
+    for _, rows in batch.groupby(part.to_numpy(), sort=False):
+        yield rows
+
+
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        tops, triples, failures = [], [], []
-        for graph in batch["graph"]:
-            try:
-                top, found = parse_graph(graph)
-                failure = None
-            except ValueError as e:
-                top, found, failure = None, None, str(e)
-            tops.append(top)
-            triples.append(found)
-            failures.append(failure)
-        yield batch.drop(columns="graph").assign(top=tops, triples=triples, failure=failures)
+        # triples are many times as large as their text, so a batch is parsed in slices
+        for rows in _slices(batch, batch["graph"].str.len(), PARSE_CHARS):
+            tops, triples, failures = [], [], []
+            for graph in rows["graph"]:
+                try:
+                    top, found = parse_graph(graph)
+                    failure = None
+                except ValueError as e:
+                    top, found, failure = None, None, str(e)
+                tops.append(top)
+                triples.append(found)
+                failures.append(failure)
+            yield rows.drop(columns="graph").assign(top=tops, triples=triples, failure=failures)
 
 
 HEAD, WHOLE, TAIL, THROUGH = range(4)
