@@ -145,3 +145,19 @@ def test_fit_counts_fills_large_budgets_to_the_word():
         take = mixing.fit_counts(lengths, counts, budget)
         assert all(0 <= t <= c for t, c in zip(take, counts))
         assert sum(a * b for a, b in zip(lengths, take)) == budget
+
+
+def test_rows_of_a_small_plan_are_not_shuffled(spark, monkeypatch):
+    df = spark.createDataFrame(docs(5), SCHEMA).drop("size", "copies")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small = mixing.mix(df)
+        assert "SortMergeJoin" not in small._jdf.queryExecution().executedPlan().toString()
+        one = sorted(map(repr, small.collect()))
+        monkeypatch.setattr(mixing, "PLAN_BYTES", 0)
+        large = mixing.mix(df)
+        assert "SortMergeJoin" in large._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(repr, large.collect())) == one and len(one) == df.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -27,6 +27,10 @@ MOST = 2.0
 SEED = 20_240_607
 #: Words of budget that the table of reachable sums covers; more is filled greedily first.
 WINDOW = 1 << 16
+#: Bytes of a plan that is sent to the executors; a larger one is joined by a shuffle of the rows.
+PLAN_BYTES = 1 << 23
+#: Bytes of a line of the plan besides the source's name.
+PLAN_ROW = 128
 #: Documents of one source and length that are ranked together.
 RANKED = 512
 
@@ -170,7 +174,13 @@ def _with_copies(rows: DataFrame, slim: DataFrame, names: Sequence[str], source_
     by_length = plan.join(sources.select(_source_key(F.col("source")).alias("_src"), "source_size", "target"), "_src")
     by_length = by_length.select(*[F.col(a).alias(b) for a, b in zip(
         ("_src", "size", "_base", "_last", "_some", "source_size", "target"), (src, size, base, last, some, goal_size, goal))])
-    out = join_split(rows.withColumn(src, _source_key(F.col(source_col).cast("string"))), by_length, [src, size], [key])
+    rows = rows.withColumn(src, _source_key(F.col(source_col).cast("string")))
+    n, letters = plan.agg(F.count(F.lit(1)), F.sum(F.octet_length("_src"))).first()
+    if PLAN_ROW * n + (letters or 0) <= PLAN_BYTES:
+        # the rows stay where they are, with their texts
+        out = rows.join(F.broadcast(by_length), [src, size])
+    else:
+        out = join_split(rows, by_length, [src, size], [key])
     # of equal rows at the cut as many are taken as the budget has room for
     cut = (F.col(key) == F.col(last)) & F.col(some).isNotNull()
     whole = out.where(~cut).withColumn(copies, F.col(base) + (F.col(key) <= F.col(last)).cast("int"))
