@@ -64,3 +64,10 @@ def test_groups_of_one_block_are_not_cut(spark):
     found = S.cosine_pairs(df, 0.3)
     assert "CoGroup" not in found._jdf.queryExecution().toString()
     assert [tuple(r)[:4] for r in found.collect()] == [(1, "concept", 1, 2)]
+
+
+def test_nodes_and_edges_may_come_from_one_table(spark):
+    one = spark.createDataFrame([(1, "source", i, max(i - 1, 0), [float(i)]) for i in range(3)], "doc_id long, component string, node_id long, up long, vec array<double>")
+    edges = one.where("node_id > 0").withColumnRenamed("node_id", "child_id").withColumnRenamed("up", "parent_id")
+    out = S.neighborhood_vector(one.select("doc_id", "component", "node_id", "vec"), edges, 1, AlignSettings(neighbor_weights=(0.0, 1.0)))
+    assert sorted((r.node_id, r.nvec) for r in out.collect()) == [(0, [1.0]), (1, [1.0]), (2, [1.0])]
