@@ -3,17 +3,21 @@
 One rule for documents of every size: excess moves towards the sink over shortest residual
 ways, shared over the open edges by what they still take.  Large documents are solved in
 rounds of joins over all of them together, so none has to fit into a task; small ones go
-through the same rounds, one document after the other, in a grouped function.  What a
+through the same rounds in arrays of many documents (``operators.batches``).  What a
 document gets depends neither on its size nor on which others are solved with it.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.lineage import discard, materialize
+from weftgraph.operators.batches import column, expand, in_batches
 from weftgraph.operators.flow import (
     SINK_TERMINAL, SOURCE_TERMINAL, build_network, reentrancies, repair_capacities)
 from weftgraph.operators.guard import FAILURE, guarded
@@ -95,65 +99,114 @@ SCHEMA = ("doc_id string, from_key string, to_key string, capacity double, edge_
           "component string, edge_id string, flow double, in_cut boolean, source_side boolean")
 
 
-def _levels(rest: dict, start: str, towards: bool, closed: str | None = None) -> dict:
-    """Shortest residual distances to or from a node."""
-    near: dict = {}
-    for (u, v), r in rest.items():
-        if r > TOLERANCE and closed not in (u, v):
-            near.setdefault(v if towards else u, []).append(u if towards else v)
-    dist, step = {start: 0}, [start]
-    while step:
-        step = [y for x in step for y in near.get(x, ()) if y not in dist and not dist.update({y: dist[x] + 1})]
-    return dist
+class _Networks:
+    """The rounds of ``_drain`` for many small documents at once, each by itself.
 
+    ``starts`` are the first edges of the documents.  Vertices are numbered by document and name, arcs
+    by their ends; a round looks only at the arcs of the vertices that have something to push.
+    """
 
-def _drain_one(rest: dict, excess: dict, target: str, closed: str) -> None:
-    """The rounds of ``_drain`` for one document."""
-    out: dict = {}
-    for u, v in sorted(rest):
-        out.setdefault(u, []).append(v)
-    while True:
-        dist, moved = _levels(rest, target, True, closed), False
+    def __init__(self, from_key: pa.Array, to_key: pa.Array, capacity: np.ndarray, starts: np.ndarray):
+        n = len(capacity)
+        docs = len(starts)
+        doc = np.repeat(np.arange(docs), np.diff(np.append(starts, n)))
+        coded = pa.concat_arrays([from_key, to_key]).dictionary_encode()
+        names = coded.dictionary
+        place = np.empty(len(names) + 1, dtype=np.int64)
+        place[pc.array_sort_indices(names).to_numpy()] = np.arange(len(names))
+        place[-1] = len(names)
+        wide = len(names) + 1
+        name = place[coded.indices.fill_null(len(names)).to_numpy(zero_copy_only=False)]
+        vertices, ends = np.unique(np.concatenate([doc, doc]) * wide + name, return_inverse=True)
+        self.doc, name, size = vertices // wide, vertices % wide, len(vertices)
+        self.at = {t: name == (place[i] if (i := names.index(t).as_py()) >= 0 else wide)
+                   for t in (SOURCE_TERMINAL, SINK_TERMINAL)}
+        self.docs, self.tail, self.head = docs, ends[:n], ends[n:]
+        limited = capacity < MAX_CAPACITY
+        bound = 2 * np.bincount(doc[limited], capacity[limited], docs) + 1
+        some = np.bincount(doc[limited], minlength=docs) > 0
+        self.own = np.where(limited | ~some[doc], capacity, bound[doc])
+        arcs, row = np.unique(np.concatenate([self.tail * size + self.head, self.head * size + self.tail]), return_inverse=True)
+        self.row = row[:n]
+        self.cap = np.bincount(self.row, self.own, len(arcs))
+        self.u, self.v = arcs // size, arcs % size
+        self.back = np.searchsorted(arcs, self.v * size + self.u)
+        self.first = np.searchsorted(self.u, np.arange(size + 1))
+        fed = self.at[SOURCE_TERMINAL][self.u]
+        self.rest = np.where(fed, 0.0, self.cap + np.where(self.at[SOURCE_TERMINAL][self.v], self.cap[self.back], 0.0))
+        self.excess = np.zeros(size)
+        self.excess[self.v[fed]] = self.cap[fed]
+
+    def out(self, vertices: np.ndarray) -> np.ndarray:
+        first = self.first[vertices]
+        return expand(first, self.first[vertices + 1] - first)
+
+    def levels(self, start: np.ndarray, towards: bool, closed: np.ndarray | None = None) -> np.ndarray:
+        """Shortest residual distances to or from the start vertices, -1 where there is no way."""
+        dist = np.full(len(self.doc), -1)
+        dist[start], step, k = 0, start, 0
+        while len(step):
+            arcs = self.out(step)
+            ahead = self.v[arcs]
+            ok = (self.rest[self.back[arcs] if towards else arcs] > TOLERANCE) & (dist[ahead] < 0)
+            if closed is not None:
+                ok &= ~closed[ahead]
+            step, k = np.unique(ahead[ok]), k + 1
+            dist[step] = k
+        return dist
+
+    def drain(self, target: str, closed: str) -> None:
+        end, shut = self.at[target], self.at[closed]
+        going = np.ones(self.docs, dtype=bool)
         while True:
-            push = {}
-            for u in sorted(excess):
-                if excess[u] <= TOLERANCE or u in (target, closed) or u not in dist:
-                    continue
-                nearer = [v for v in out.get(u, ()) if rest[u, v] > TOLERANCE and dist.get(v) == dist[u] - 1 and v != closed]
-                room = sum(rest[u, v] for v in nearer)
-                push.update({(u, v): rest[u, v] * min(1.0, excess[u] / room) for v in nearer})
-            if not push:
-                break
-            moved = True
-            change: dict = {}
-            for (u, v), d in push.items():
-                change[u, v] = change.get((u, v), 0.0) + d
-                change[v, u] = change.get((v, u), 0.0) - d
-                excess[u] -= d
-                excess[v] = excess.get(v, 0.0) + d
-            for arc, d in change.items():
-                rest[arc] = max(rest[arc] - d, 0.0)
-        if not moved:
-            return
+            hot = np.flatnonzero(~(self.excess <= TOLERANCE) & ~end & ~shut & going[self.doc])
+            going = np.zeros(self.docs, dtype=bool)
+            going[self.doc[hot]] = True
+            dist = self.levels(np.flatnonzero(end & going[self.doc]), True, shut)
+            moved, hot = np.zeros(self.docs, dtype=bool), hot[dist[hot] > 0]
+            while len(hot):
+                arcs = self.out(hot)
+                arcs = arcs[(self.rest[arcs] > TOLERANCE) & (dist[self.v[arcs]] == dist[self.u[arcs]] - 1)]
+                if not len(arcs):
+                    break
+                u, v, r = self.u[arcs], self.v[arcs], self.rest[arcs]
+                begin = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
+                part = self.excess[u[begin]] / np.add.reduceat(r, begin)
+                d = r * np.repeat(np.where(part < 1.0, part, 1.0), np.diff(np.append(begin, len(u))))
+                self.excess[u[begin]] -= np.add.reduceat(d, begin)
+                np.add.at(self.excess, v, d)
+                for change, by in ((arcs, r - d), (self.back[arcs], self.rest[self.back[arcs]] + d)):
+                    self.rest[change] = np.where(by < 0.0, 0.0, by)
+                moved[self.doc[u[begin]]] = True
+                hot = np.unique(np.concatenate([u[begin], v]))
+                hot = hot[(dist[hot] > 0) & ~(self.excess[hot] <= TOLERANCE)]
+            if not moved.any():
+                return
+            going = moved
+
+    def solved(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``flow, in_cut, source_side`` of every edge."""
+        self.drain(SINK_TERMINAL, SOURCE_TERMINAL)
+        self.drain(SOURCE_TERMINAL, SINK_TERMINAL)
+        side = self.levels(np.flatnonzero(self.at[SOURCE_TERMINAL]), False) >= 0
+        all_, sent = self.cap[self.row], self.cap[self.row] - self.rest[self.row]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            flow = np.where(all_ > 0, np.where(sent < 0.0, 0.0, sent) * self.own / all_, 0.0)
+        return flow, side[self.tail] & ~side[self.head], side[self.tail]
+
+
+def _solve_batch(table: pa.Table, starts: np.ndarray) -> pa.Table:
+    capacity = column(table, "capacity").cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
+    found = _Networks(column(table, "from_key"), column(table, "to_key"), capacity, starts).solved()
+    for name, values in zip(("flow", "in_cut", "source_side"), found):
+        table = table.append_column(name, pa.array(values))
+    return table
 
 
 def _solve_one(group: pd.DataFrame) -> pd.DataFrame:
-    limited = group["capacity"] < MAX_CAPACITY
-    bound = 2 * group.loc[limited, "capacity"].sum() + 1
-    own = group["capacity"].where(limited | (not limited.any()), bound).tolist()
-    pairs, caps = list(zip(group["from_key"], group["to_key"])), {}
-    for (u, v), c in zip(pairs, own):
-        caps[u, v] = caps.get((u, v), 0.0) + c
-        caps.setdefault((v, u), 0.0)
-    rest = {(u, v): 0.0 if u == SOURCE_TERMINAL else c + (caps[v, u] if v == SOURCE_TERMINAL else 0.0)
-            for (u, v), c in caps.items()}
-    excess = {v: c for (u, v), c in caps.items() if u == SOURCE_TERMINAL}
-    _drain_one(rest, excess, SINK_TERMINAL, SOURCE_TERMINAL)
-    _drain_one(rest, excess, SOURCE_TERMINAL, SINK_TERMINAL)
-    side = _levels(rest, SOURCE_TERMINAL, False)
-    flow = [max(caps[a] - rest[a], 0.0) * c / caps[a] if caps[a] > 0 else 0.0 for a, c in zip(pairs, own)]
-    return group.assign(flow=flow, in_cut=[u in side and v not in side for u, v in pairs],
-                        source_side=[u in side for u, _ in pairs])
+    ends = (pa.array(group[c], pa.string()) for c in ("from_key", "to_key"))
+    found = _Networks(*ends, group["capacity"].to_numpy(dtype=float), np.zeros(1, dtype=np.int64)).solved()
+    return group.assign(**dict(zip(("flow", "in_cut", "source_side"), found)))
 
 
 def guarded_max_flow(network: DataFrame) -> DataFrame:
@@ -170,20 +223,25 @@ def guarded_max_flow(network: DataFrame) -> DataFrame:
     return typed.groupBy("doc_id").applyInPandas(guarded(solve, ["doc_id"], names), f"{SCHEMA}, {FAILURE} string")
 
 
+def _as_schema(network: DataFrame) -> DataFrame:
+    kinds = [c.split() for c in SCHEMA.split(", ")][:len(_COLUMNS)]
+    return network.select(*[F.col(c).cast(kind).alias(c) for c, kind in kinds])
+
+
 def max_flow(network: DataFrame, group_edges: int = 20_000) -> DataFrame:
     """Flow of every edge, the minimum cut and the source side, per document.
 
-    Documents of up to ``group_edges`` edges take the rounds in a grouped function, larger
-    ones as joins; both follow one rule and give the same flows.
+    Documents of up to ``group_edges`` edges take the rounds in a function over many of them at once,
+    larger ones as joins; both follow one rule and give the same flows.
     """
     typed = network.select(F.col("doc_id").cast("string").alias("doc_id"), *_COLUMNS[1:])
     large = materialize(typed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
                         .where(F.col("_n") > group_edges).select("doc_id"), "large-networks")
     if large.isEmpty():
-        return typed.groupBy("doc_id").applyInPandas(_solve_one, SCHEMA)
+        return in_batches(_as_schema(typed), ["doc_id"], _solve_batch, SCHEMA)
     spread = ["from_key", "to_key"]
     small = join_salted(typed, large, ["doc_id"], spread, "left_anti")
-    return small.groupBy("doc_id").applyInPandas(_solve_one, SCHEMA).unionByName(
+    return in_batches(_as_schema(small), ["doc_id"], _solve_batch, SCHEMA).unionByName(
         spread_max_flow(join_salted(typed, large, ["doc_id"], spread, "left_semi")))
 
 
