@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.operators import maxflow as M
+from weftgraph.operators import scoring as E
 from weftgraph.operators.batches import in_batches
 
 
@@ -51,3 +52,32 @@ def test_small_documents_are_solved_many_at_a_time(spark):
         assert (r.in_cut, r.source_side) == (spread[k].in_cut, spread[k].source_side)
     proofs = M.cut_certificate(solved).where(F.col("cut") < 1e9).collect()
     assert proofs and all(r.certified for r in proofs)
+
+
+def _pairs(seed, n):
+    rng, rows = random.Random(seed), []
+    for p in range(n):
+        for side in "ab":
+            ids = list(range(rng.randint(1, 5)))
+            rows += [(p, side, "instance", ":instance", x, None, rng.choice("xyz")) for x in ids]
+            rows += [(p, side, "relation", rng.choice([":r", ":s"]), x, rng.choice(ids), "") for x in ids[1:]]
+    return rows
+
+
+def test_pairs_are_searched_many_at_a_time(spark):
+    triples = spark.createDataFrame(_pairs(3, 25), "pair_id long, side string, kind string, role string, x long, y long, label string")
+    found = E.best_matching(triples)
+    plan = found._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
+    unary, joint = E.matching_gains(triples)
+    one, two = {}, {}
+    for r in unary.collect():
+        one.setdefault(r.pair_id, {})[r.x, r.u] = r.gain
+    for r in joint.collect():
+        two.setdefault(r.pair_id, {})[r.x, r.u, r.y, r.v] = r.gain
+    want = {}
+    for p in one.keys() | two.keys():
+        a, b = dict(sorted(one.get(p, {}).items())), dict(sorted(two.get(p, {}).items()))
+        want[p] = E.matching_bounds(a, b, *E._climb(a, b, 4, 7), 40)
+    got = {r.pair_id: (r.matched, r.upper, {m.x: m.u for m in r.mapping}) for r in found.collect()}
+    assert got == {p: (low, high, {x: u for x, u in m.items() if u is not None}) for p, (low, high, m) in want.items()}
