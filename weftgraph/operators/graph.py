@@ -11,11 +11,15 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.vectors import vector_sum
 from weftgraph.lineage import discard, materialize
+from weftgraph.operators.batches import column, in_batches
 from weftgraph.skew import free_names, join_salted, with_totals
 
 KEY = ["doc_id", "component"]
@@ -335,9 +339,61 @@ def rake(hung: DataFrame, written: bool = True) -> tuple[list[DataFrame], DataFr
     return layers, hung.select(*columns)
 
 
-def weak_components(edges: DataFrame) -> DataFrame:
+#: Edges of a graph whose components are labelled in one task.
+COMPONENT_EDGES = 200_000
+
+
+def _labelled(table: pa.Table, starts: np.ndarray) -> pa.Table:
+    """Components of many graphs at once: every round takes the smallest label of the neighbours and then that
+    label's own."""
+    graph = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, table.num_rows)))
+    coded = pa.concat_arrays([column(table, "parent_id"), column(table, "child_id")]).dictionary_encode()
+    names = coded.dictionary
+    order = pc.array_sort_indices(names).to_numpy()
+    place = np.empty(len(names), dtype=np.int64)
+    place[order] = np.arange(len(names))
+    # vertices are numbered by graph and id, so the smallest number is the smallest id
+    vertices, ends = np.unique(np.concatenate([graph, graph]) * len(names) + place[coded.indices.to_numpy()], return_inverse=True)
+    u, v = np.split(ends, 2)
+    label = np.arange(len(vertices))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, u, label[v])
+        np.minimum.at(new, v, label[u])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    first = pa.array(starts[vertices // len(names)])
+    of = lambda x: names.take(pa.array(order[vertices[x] % len(names)]))
+    return pa.table({**{k: table.column(k).take(first) for k in KEY}, "node_id": of(np.arange(len(vertices))), "component_root": of(label)})
+
+
+def weak_components(edges: DataFrame, graph_edges: int = COMPONENT_EDGES) -> DataFrame:
     """Smallest vertex id of each vertex's weakly connected component.
 
+    Graphs of up to ``graph_edges`` edges are shuffled once and labelled where their edges meet, larger
+    ones by joins.
+    """
+    links = edges.where(reduce(and_, [F.col(c).isNotNull() for c in (*KEY, "parent_id", "child_id")])).select(*KEY, "parent_id", "child_id")
+    if getattr(edges, "_weft_path", None) is None:
+        links = materialize(links, "component-links")
+    sizes = links.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))
+    large = materialize(sizes.where(F.col("_n") > graph_edges).select(*KEY), "large-graphs")
+    if large.isEmpty():
+        small = links
+    else:
+        small, spread = (join_salted(links, large, KEY, ["child_id"], how) for how in ("left_anti", "left_semi"))
+    kinds = {**dict(links.dtypes), "node_id": dict(links.dtypes)["child_id"]}
+    kinds["component_root"] = kinds["node_id"]
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*KEY, "node_id", "component_root"))
+    found = materialize(in_batches(small, KEY, _labelled, schema), "components")
+    return found if large.isEmpty() else found.unionByName(spread_components(spread))
+
+
+def spread_components(edges: DataFrame) -> DataFrame:
+    """The same by joins, for graphs of any size.
+
     Leaves (``rake``) hand their smallest id to their parent and take its component in the end; only what is
     left, with the parents as vertices, goes through rounds over all its edges.
     """
