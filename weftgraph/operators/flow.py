@@ -14,11 +14,13 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.lineage import discard, materialize
+from weftgraph.operators.batches import in_batches
 from weftgraph.operators.graph import KEY, descendants, leaves, roots
 from weftgraph.operators.trees import Climb, at_or_below, climb, raked_sums, subtree_sizes
 from weftgraph.settings import MAX_CAPACITY
@@ -328,7 +330,7 @@ def first_visit_counts(edges: DataFrame, nodes_roots: DataFrame, group_edges: in
     """Descendants per edge as a depth-first walk in edge order counts them; a root's own row has no
     edge id.
 
-    Graphs of up to ``group_edges`` rows are walked in a grouped function, one after the other;
+    Graphs of up to ``group_edges`` rows are walked one after the other in a function over many of them;
     larger ones, and any with a null key or id, by joins.  Both give the same counts.
     """
     rows = edges.select(*KEY, F.col("edge_id").cast("string").alias("edge_id"), "parent_id", "child_id",
@@ -342,24 +344,27 @@ def first_visit_counts(edges: DataFrame, nodes_roots: DataFrame, group_edges: in
                                     | F.col("component").isNull()).select(*KEY), "large-graphs")
     kinds = dict(rows.dtypes)
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        top = group["_top"].to_numpy()
-        links = group[~top]
-        counts, own = _first_walk(links["edge_id"].tolist(), links["parent_id"].tolist(), links["child_id"].tolist(),
-                                  group.loc[top, "parent_id"].tolist())
-        done = pd.concat([links[[*KEY, "edge_id"]], group.loc[top, [*KEY, "edge_id"]]])
-        return done.assign(n_desc=[*counts, *own])
+    def walk(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        eids, parents, children, tops = (table.column(c).to_pylist() for c in ("edge_id", "parent_id", "child_id", "_top"))
+        n_desc = np.zeros(table.num_rows, dtype=np.int64)
+        for start, end in zip(starts, [*starts[1:], table.num_rows]):
+            links = [i for i in range(start, end) if not tops[i]]
+            own = [i for i in range(start, end) if tops[i]]
+            counts, sizes = _first_walk([eids[i] for i in links], [parents[i] for i in links], [children[i] for i in links],
+                                        [parents[i] for i in own])
+            n_desc[links], n_desc[own] = counts, sizes
+        return table.select([*KEY, "edge_id"]).append_column("n_desc", pa.array(n_desc))
 
     schema = f"doc_id {kinds['doc_id']}, component {kinds['component']}, edge_id string, n_desc long"
     if other.isEmpty():
-        return rows.groupBy(*KEY).applyInPandas(walk, schema)
+        return in_batches(rows, KEY, walk, schema)
     hit = reduce(and_, [F.col(f"_{k}").eqNullSafe(F.col(k)) for k in KEY])
     keys = F.broadcast(other.withColumnsRenamed({k: f"_{k}" for k in KEY})) if other.count() < 10_000 else \
         other.withColumnsRenamed({k: f"_{k}" for k in KEY})
     small, large = rows.join(keys, hit, "left_anti"), rows.join(keys, hit, "left_semi")
     spread = spread_first_visit_counts(large.where("not _top").drop("_top"),
                                        large.where("_top").select(*KEY, F.col("parent_id").alias("node_id")))
-    return small.groupBy(*KEY).applyInPandas(walk, schema).unionByName(spread)
+    return in_batches(small, KEY, walk, schema).unionByName(spread)
 
 
 def spread_first_visit_counts(edges: DataFrame, nodes_roots: DataFrame) -> DataFrame:
