@@ -9,6 +9,9 @@ document gets depends neither on its size nor on which others are solved with it
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import partial
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -195,12 +198,12 @@ class _Networks:
         return flow, side[self.tail] & ~side[self.head], side[self.tail]
 
 
-def _solve_batch(table: pa.Table, starts: np.ndarray) -> pa.Table:
+def _solve_batch(keep: list[str], table: pa.Table, starts: np.ndarray) -> pa.Table:
     capacity = column(table, "capacity").cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
     found = _Networks(column(table, "from_key"), column(table, "to_key"), capacity, starts).solved()
     for name, values in zip(("flow", "in_cut", "source_side"), found):
         table = table.append_column(name, pa.array(values))
-    return table
+    return table.select(keep)
 
 
 def _solve_one(group: pd.DataFrame) -> pd.DataFrame:
@@ -223,26 +226,30 @@ def guarded_max_flow(network: DataFrame) -> DataFrame:
     return typed.groupBy("doc_id").applyInPandas(guarded(solve, ["doc_id"], names), f"{SCHEMA}, {FAILURE} string")
 
 
-def _as_schema(network: DataFrame) -> DataFrame:
-    kinds = [c.split() for c in SCHEMA.split(", ")][:len(_COLUMNS)]
-    return network.select(*[F.col(c).cast(kind).alias(c) for c, kind in kinds])
+def _small_flow(network: DataFrame, keep: list[str]) -> DataFrame:
+    kinds = dict(c.split() for c in SCHEMA.split(", "))
+    read = [c for c in _COLUMNS if c in keep or c in _COLUMNS[:4]]
+    rows = network.select(*[F.col(c).cast(kinds[c]).alias(c) for c in read])
+    return in_batches(rows, ["doc_id"], partial(_solve_batch, keep), ", ".join(f"{c} {kinds[c]}" for c in keep))
 
 
-def max_flow(network: DataFrame, group_edges: int = 20_000) -> DataFrame:
+def max_flow(network: DataFrame, group_edges: int = 20_000, columns: Sequence[str] | None = None) -> DataFrame:
     """Flow of every edge, the minimum cut and the source side, per document.
 
     Documents of up to ``group_edges`` edges take the rounds in a function over many of them at once,
-    larger ones as joins; both follow one rule and give the same flows.
+    larger ones as joins; both follow one rule and give the same flows.  ``columns``: what the caller reads, if
+    not all; the edges' other names are then not shuffled.
     """
+    keep = [c.split()[0] for c in SCHEMA.split(", ") if columns is None or c.split()[0] in columns]
     typed = network.select(F.col("doc_id").cast("string").alias("doc_id"), *_COLUMNS[1:])
     large = materialize(typed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
                         .where(F.col("_n") > group_edges).select("doc_id"), "large-networks")
     if large.isEmpty():
-        return in_batches(_as_schema(typed), ["doc_id"], _solve_batch, SCHEMA)
+        return _small_flow(typed, keep)
     spread = ["from_key", "to_key"]
     small = join_salted(typed, large, ["doc_id"], spread, "left_anti")
-    return in_batches(_as_schema(small), ["doc_id"], _solve_batch, SCHEMA).unionByName(
-        spread_max_flow(join_salted(typed, large, ["doc_id"], spread, "left_semi")))
+    return _small_flow(small, keep).unionByName(
+        spread_max_flow(join_salted(typed, large, ["doc_id"], spread, "left_semi")).select(*keep))
 
 
 def spread_max_flow(network: DataFrame) -> DataFrame:

@@ -612,7 +612,7 @@ def _dag_network(spark, sf) -> DataFrame:
 
 @query
 def max_flow_value(spark, sf):
-    return M.max_flow_value(M.max_flow(_dag_network(spark, sf))).select(
+    return M.max_flow_value(M.max_flow(_dag_network(spark, sf), columns=("doc_id", "to_key", "flow"))).select(
         F.col("doc_id").cast("long").alias("doc_id"), _r("value"))
 
 

@@ -129,12 +129,14 @@ def dag_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     li = table(spark, sf_dir, "lineitem").join(o.select("o_orderkey", "o_custkey"),
                                               F.col("l_orderkey") == F.col("o_orderkey"))
+    # numbers are shuffled, not the ids made of them
+    li = li.select("o_custkey", "l_orderkey", "l_partkey").distinct()
     top = o.select(F.col("o_custkey").alias("doc_id"), _id("o", "o_orderkey").alias("edge_id"),
                    _id("c", "o_custkey").alias("parent_id"), _id("o", "o_orderkey").alias("child_id"),
                    F.lit("sentence").alias("edge_type"))
     parts = li.select(F.col("o_custkey").alias("doc_id"), _id("e", "l_orderkey", "l_partkey").alias("edge_id"),
                       _id("o", "l_orderkey").alias("parent_id"), _id("p", "l_partkey").alias("child_id"),
-                      F.lit("role").alias("edge_type")).distinct()
+                      F.lit("role").alias("edge_type"))
     return top.unionByName(parts).withColumn("component", F.lit("source"))
 
 
@@ -167,8 +169,9 @@ def dag_summary(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     li = li.join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     doc = F.col("o_custkey").alias("doc_id")
     brand = F.concat(F.lit("b"), F.col("p_brand"))
-    align = (li.groupBy(doc, _id("p", "l_partkey").alias("src_node"), brand.alias("smy_node"))
-             .agg((F.sum("l_discount") / F.count(F.lit(1)) + F.lit(0.1) * F.count(F.lit(1))).alias("capacity")))
+    align = (li.groupBy("o_custkey", "l_partkey", "p_brand")
+             .agg((F.sum("l_discount") / F.count(F.lit(1)) + F.lit(0.1) * F.count(F.lit(1))).alias("capacity"))
+             .select(doc, _id("p", "l_partkey").alias("src_node"), brand.alias("smy_node"), "capacity"))
     align = materialize(align, "dag-align")
     leaf = align.select("doc_id", F.lit("summary").alias("component"), F.col("smy_node").alias("node_id")).distinct()
     tops = leaf.select("doc_id", "component").distinct().withColumn("node_id", F.lit("m"))
