@@ -9,7 +9,10 @@ from weftgraph.operators import flow as W
 from weftgraph.operators import graph as G
 from weftgraph.operators import maxflow as M
 from weftgraph.operators import scoring as E
+from weftgraph.operators import similarity as S
+from weftgraph.operators import trees as TR
 from weftgraph.operators.batches import in_batches
+from weftgraph.settings import AlignSettings
 
 
 def test_batches_hold_whole_groups(spark):
@@ -174,3 +177,40 @@ def test_first_visits_are_counted_many_graphs_at_a_time(spark):
     assert "FlatMapGroupsInPandas" not in _plan(found) and found.count() == 36
     rows = lambda t: sorted((r.doc_id, r.edge_id or "", r.n_desc) for r in t.collect())
     assert rows(found) == rows(W.first_visit_counts(edges, tops, group_edges=0))
+
+
+@pytest.mark.parametrize("direction", ["all", "descendant", "ancestor"])
+def test_rings_of_small_graphs_are_found_together(spark, monkeypatch, direction):
+    rng, nodes, edges = random.Random(8), [], []
+    for d in range(12):
+        n = rng.randint(1, 9)
+        nodes += [(d, "c", f"n{i}", [rng.random(), float(i)]) for i in range(n)]
+        links = {(rng.randrange(i), i) for i in range(1, n)} | {(rng.randrange(i), i) for i in range(1, n) if d % 2}
+        edges += [(d, "c", f"n{a}", f"n{b}") for a, b in sorted(links)]
+    nodes = spark.createDataFrame(nodes, "doc_id long, component string, node_id string, vec array<double>").repartition(3)
+    edges = spark.createDataFrame(edges, "doc_id long, component string, parent_id string, child_id string").repartition(3)
+    settings = AlignSettings(neighbor_direction=direction, neighbor_weights=(0.0, 1.0, 0.5, 0.25))
+    rows = lambda t: {(r.doc_id, r.node_id): [round(x, 9) for x in r.nvec] for r in t.collect()}
+    found = S.neighborhood_vector(nodes, edges, 2, settings)
+    plan = _plan(found)
+    assert "MapInArrow" in plan and found.count() == nodes.count()
+    together = rows(found)
+    monkeypatch.setattr(S, "DENSE_ROWS", 0)
+    assert together == rows(S.neighborhood_vector(nodes, edges, 2, settings))
+
+
+def test_flow_value_reads_only_what_it_names(spark):
+    schema = "doc_id string, from_key string, to_key string, capacity double, edge_type string, component string, edge_id string"
+    net = spark.createDataFrame(_networks(9, 12), schema)
+    few = M.max_flow(net, columns=("doc_id", "to_key", "flow"))
+    assert few.columns == ["doc_id", "to_key", "flow"]
+    values = lambda t: {r.doc_id: r.value for r in M.max_flow_value(t).collect()}
+    assert values(few) == pytest.approx(values(M.max_flow(net)))
+    assert values(M.max_flow(net, group_edges=4, columns=("doc_id", "to_key", "flow"))) == pytest.approx(values(few), abs=1e-6)
+
+
+def test_paths_are_summed_together(spark):
+    parents = spark.createDataFrame([("g", "c", i, (i - 1) // 2) for i in range(1, 9)], "doc_id string, component string, node_id long, up long")
+    values = spark.createDataFrame([("g", "c", i, i, 1) for i in range(9)], "doc_id string, component string, node_id long, a long, b long")
+    got = {r.node_id: (r.a, r.b) for r in TR.path_sums(parents, values, "a", "b").collect()}
+    assert got[7] == (7 + 3 + 1, 4) and got[0] == (0, 1) and got[6] == (6 + 2, 3) and len(got) == 9
